@@ -85,7 +85,7 @@ class Pseudonyms:
         r"""|(?P<secret>(?<=["'])[0-9a-f]{32,}(?=["'])|(?<=["'])[0-9A-F]{32,}(?=["']))"""
         r"""|(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?)(?![0-9A-Za-z])"""
         r"""|(?<![0-9A-Za-z.+])(?P<ipv4>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9A-Za-z]|\.[0-9])"""
-        r"""|(?<![0-9A-Za-z])(?P<phone>\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .\-][0-9]{4})(?![0-9A-Za-z])"""
+        r"""|(?<![0-9A-Za-z])(?P<phone>\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|\+[2-9][0-9]{0,2}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ \-]?[0-9]{2,4}){2,3}|\([0-9]{3}\)[ ]?[0-9]{3}[ .\-][0-9]{4})(?![0-9A-Za-z])"""
         r"""|(?<![0-9A-Za-z])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?P<sep>[./])[0-9]{2}(?P=sep)[0-9]{4})(?![0-9A-Za-z]|[.\-/][0-9])"""
         r"""|(?<![0-9A-Za-z\-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z]|-[0-9])"""
         r"""|(?<![0-9A-Za-z])(?P<card>[0-9](?:[ \-]?[0-9]){12,18})(?![0-9A-Za-z])"""
@@ -150,14 +150,10 @@ class Pseudonyms:
 
     def ipv4(self, s: str) -> str | None:
         parts = s.split(".")
-        if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts) or parts[0] in ("0", "127"):
+        if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
             return None
-        # Addresses of the form 0.x and 127.x name no host, so none is permuted onto them.
-        first = int(parts[0]) - 1 - (int(parts[0]) > 127)
-        v = first << 24 | int(parts[1]) << 16 | int(parts[2]) << 8 | int(parts[3])
-        v = self.f.below(v, 254 << 24, "ipv4", self.undo)
-        first = (v >> 24) + 1
-        return f"{first + (first >= 127)}.{v >> 16 & 255}.{v >> 8 & 255}.{v & 255}"
+        v = self.f.below(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, "ipv4", self.undo)
+        return ".".join(map(str, v.to_bytes(4, "big")))
 
     def date(self, s: str) -> str | None:
         iso = s[4] == "-"
