@@ -4,15 +4,16 @@ A document's set holds its distinct 4-word shingles. Shingle hashes fall into gr
 point, and two sets overlap in at most the sum of the coordinate minima of their points. The index has two levels:
 
 * Tiles, the distributed upper level. For two linked sets of n1 and n2 shingles, at most r = 3 (n1 + n2) / 37 shingles
-  are in only one of them. Cut the hash range into r + 1 blocks: at least one block is equal in both. So every
-  document goes to the tile of each of its non-empty blocks, and linked documents meet in some tile. Documents with an
-  empty block use 2 (r + 1) blocks as well; one whose blocks are mostly empty there also meets others by its empty ones.
+  are in only one of them. Cut the hash range into r + 1 + s blocks: at least s + 1 blocks are equal in both. So every
+  document goes to the tile of each of its non-empty blocks, and linked documents with at most s empty blocks meet in
+  some tile. A document with more uses twice as many blocks as well, and there its empty ones too if they are many.
 * A bulk-loaded R-tree over the group-count points of a tile's members. A probe descends into nodes whose summed
   minima with the node's upper corner reach the overlap that a link needs.
 
-Surviving pairs are verified on the whole sets. First each member is tried against its tile's pivots only, which
-connects groups of copies through a few stars; then tiles that still hold two or more components try all pairs across
-components that the bound leaves. No link is lost, and links inside a component need not be listed.
+Surviving pairs are verified on the whole sets. First each member is tried against the pivots of its tiles only: against
+the smallest one, then against others where that has not connected them. This joins groups of copies through a few
+stars. Then tiles that still hold two or more components try all pairs across components that the bound leaves. No link
+is lost, and links inside a component need not be listed.
 """
 
 from __future__ import annotations
@@ -33,6 +34,13 @@ GROUPS = 128
 FANOUT = 16
 #: Members of a tile that one task holds at a time; a larger tile is cut into chunks, and pairs of chunks are joined.
 TILE = 2048
+#: Empty blocks that a set may have before it needs the doubled blocks: this many, and a 32nd of the blocks.
+SLACK = 3
+#: Members of a star that one task verifies against its pivot.
+STAR = 4096
+#: Rows of the broadcast filter that keeps texts of uninvolved documents out of the shuffle; a fixed bound. When all
+#: slots are taken, the filter lets everything pass, and the join behind it decides alone.
+SLOTS = 1 << 20
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 
@@ -94,18 +102,18 @@ def tile_keys(s: np.ndarray) -> np.ndarray:
     """The tiles of one set."""
     out, content = [], mix(s ^ _MULT[2])
     for family, r in _families(len(s)):
+        blocks = r + 1 + SLACK + (r + 1) // 32
         for doubled in (0, 1):
-            blocks = (r + 1) << doubled
+            blocks <<= doubled
             of = ((s >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
             at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             salt = np.uint64((family * 2 + doubled) << 40)
             out.append(mix(np.add.reduceat(content, at) ^ mix((of[at] | salt) * _MULT[3])))
-            empty = blocks - len(at)
-            if doubled and empty >= r + 2:
+            if blocks - len(at) < blocks - r:
+                break
+            if doubled:
                 none = np.setdiff1d(np.arange(blocks, dtype=np.uint64), of[at])
                 out.append(mix(mix((none | salt) * _MULT[3]) ^ _EMPTY))
-            if not empty:
-                break
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -311,21 +319,67 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(a, b)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (star, salt, member, node, shingles), a star's pivot first: the members that link with their pivot."""
+    star, pivot = None, None
     for b in batches:
-        raw, offsets = text_column(b)
-        sets = [signed(s) for s in shingle_sets(raw, offsets)]
-        ends = np.cumsum([0, *map(len, sets)])
-        values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["node", "shingles"])
-
-
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of document ids, those whose whole sets link."""
+        stars, member, nodes, col = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)
+        cuts, values = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        out = []
+        for i in range(b.num_rows):
+            s = values[cuts[i] : cuts[i + 1]]
+            if not member[i]:
+                star, pivot = stars[i], s.copy()
+            elif star == stars[i] and len(pivot) and len(s):
+                at = np.minimum(np.searchsorted(pivot, s), len(pivot) - 1)
+                if 37 * int((pivot[at] == s).sum()) >= 17 * (len(pivot) + len(s)):
+                    out.append((star, nodes[i]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=_PAIRS)
+
+
+def _with_text(docs: DataFrame, roles: DataFrame) -> DataFrame:
+    """roles (node, ...) with the documents' texts, one row a role and document row."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    taken = roles.select(slot("node").alias("_slot")).distinct()
+    near = docs.withColumn("_slot", slot("doc_id")).join(F.broadcast(taken), "_slot", "left_semi").drop("_slot")
+    return near.join(roles, near["doc_id"] == roles["node"])
+
+
+def _star_verified(stars: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) with one a for each b, those whose sets link. Each set is moved once; a large star is salted,
+    and its pivot copied to every salt."""
+    sized = stars.groupBy("a").agg(F.count(F.lit(1)).alias("k")).withColumn("salts", (F.col("k") / STAR).cast("long") + 1)
+    member = stars.join(sized, "a").select(F.col("a").alias("star"), F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.lit(1).alias("member"), F.col("b").alias("node"))
+    pivot = sized.select(F.col("a").alias("star"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("a").alias("node"))
+    roles = written(member.unionByName(pivot), "ngram-roles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], _set_column(b)], names=["star", "salt", "member", "node", "shingles"])
+
+    rows = _with_text(docs, roles).select("star", "salt", "member", "node", "text")
+    sets = rows.mapInArrow(run, "star long, salt long, member int, node long, shingles array<long>")
+    return sets.repartition("star", "salt").sortWithinPartitions("star", "salt", "member").mapInArrow(_star_links, "a long, b long").distinct()
+
+
+def _set_column(b: pa.RecordBatch) -> pa.ListArray:
+    sets = [signed(s) for s in shingle_sets(*text_column(b))]
+    values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), values)
+
+
+def _pair_verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those whose sets link."""
     pairs = written(pairs.distinct(), "ngram-pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").dropDuplicates(["doc_id"])
-    sets = written(texts.mapInArrow(_sets, "node long, shingles array<long>"), "ngram-sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _set_column(b)], names=["node", "shingles"])
+
+    texts = _with_text(docs, nodes).select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    sets = written(texts.dropDuplicates(["node"]), "ngram-sets")
     one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(one, "a").join(two, "b").where(37 * both >= 17 * (F.size("sa") + F.size("sb"))).select("a", "b")
@@ -363,11 +417,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     tiles = written(shared.distinct().join(nodes.select("fp", "node"), "fp").select("tile", "chunk", "node"), "ngram-tiles")
     placed = tiles.join(nodes.select("node", "n", "point"), "node")
     stars = placed.select("tile", "chunk", "node", "n", "point").repartition("tile", "chunk").sortWithinPartitions("tile", "chunk", "node").mapInArrow(_stars, "a long, b long")
-    edges = written(_verified(stars, docs), "ngram-links")
-    if edges.head(1):
-        found = components(edges)
-    else:
-        found = spark.createDataFrame([], "node long, component long")
+    stars = written(stars.distinct(), "ngram-stars")
+    edges = written(_star_verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), docs), "ngram-links")
+    found = components(edges) if edges.head(1) else spark.createDataFrame([], "node long, component long")
+    ends = stars
+    for k in "ab":
+        ends = ends.join(found.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")), k, "left")
+    apart = written(ends.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "ngram-apart")
+    if apart.head(1):
+        edges = edges.unionByName(written(_pair_verified(apart, docs), "ngram-links"))
+        found = components(edges) if edges.head(1) else found
     labelled = tiles.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), (F.max("chunk") + 1).alias("chunks")).where("lo <> hi").select("tile", "chunks")
     open_tiles = written(labelled.join(mixed, "tile").join(nodes.select("node", "n", "point"), "node"), "ngram-open")
@@ -375,7 +434,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         grid = open_tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         grid = grid.select("tile", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component", "n", "point")
         rest = grid.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "node").mapInArrow(_across, "a long, b long")
-        more = written(_verified(rest, docs), "ngram-links")
+        more = written(_pair_verified(rest, docs), "ngram-links")
         if more.head(1):
             found = components(edges.union(more))
     member = sets.join(nodes.select("fp", "node"), "fp", "left").join(found, "node", "left")

@@ -17,8 +17,9 @@ from tallyframe.llm.common import SPACE, table
 
 #: Words of a window; a repeated window is one found twice or more in its text.
 WINDOW = 8
-#: Rows of the sample that costs and selectivities are measured on; it decides the order of rules alone.
-SAMPLE_ROWS = 2000
+#: Rows of the sample that costs and selectivities are measured on, and characters of each; it decides the order of
+#: rules alone.
+SAMPLE_ROWS, SAMPLE_CHARS = 256, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -97,28 +98,27 @@ def with_steps(df: DataFrame, steps: tuple, gate: Column | None = None) -> DataF
 def measured(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules with cost (seconds a row) and rejected (share of rows) on at most sample_rows rows of df, ordered by
     rejection per cost. df holds _t and the base columns. Without rows, the given order."""
-    sample = df.select("_t").limit(sample_rows).repartition(1).persist()
-    try:
-        rows = sample.count()
-        if not rows:
-            return list(rules)
-        base = with_steps(sample, base_steps())
-        plain = base.agg(F.sum("_n_words"), F.sum("_n_dup_lines"))
-
-        def seconds(query: DataFrame) -> tuple[float, object]:
-            query.collect()  # compiles
-            began = time.perf_counter()
-            row = query.collect()[0]
-            return time.perf_counter() - began, row
-
-        floor, _ = seconds(plain)
-        out = []
-        for r in rules:
-            took, row = seconds(with_steps(base, r.steps).agg(F.sum("_n_words"), F.sum("_n_dup_lines"), F.count_if(r.reject)))
-            out.append(Rule(r.name, r.reject, r.steps, max(took - floor, 1e-4) / rows, row[2] / rows))
-        return sorted(out, key=lambda r: (-r.rejected / r.cost, r.cost))
-    finally:
-        sample.unpersist()
+    spark = df.sparkSession
+    # Taken partition by partition until there are enough, and kept as a local relation of the plan: no scan of all.
+    some = df.select(F.left("_t", F.lit(SAMPLE_CHARS)).alias("_t")).limit(sample_rows)._jdf
+    taken = some.collectAsList()
+    rows = taken.size()
+    if not rows:
+        return list(rules)
+    base = with_steps(DataFrame(spark._jsparkSession.createDataFrame(taken, some.schema()), spark), base_steps())
+
+    def seconds(query: DataFrame) -> tuple[float, object]:
+        query.collect()  # compiles
+        began = time.perf_counter()
+        row = query.collect()[0]
+        return time.perf_counter() - began, row
+
+    floor, _ = seconds(base.agg(F.sum("_n_words"), F.sum("_n_dup_lines")))
+    out = []
+    for r in rules:
+        took, row = seconds(with_steps(base, r.steps).agg(F.sum("_n_words"), F.sum("_n_dup_lines"), F.count_if(r.reject)))
+        out.append(Rule(r.name, r.reject, r.steps, max(took - floor, 1e-4) / rows, row[2] / rows))
+    return sorted(out, key=lambda r: (-r.rejected / r.cost, r.cost))
 
 
 def cascade(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -137,7 +137,11 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that no rule rejects, with its columns as they are. A null or empty text is rejected (it has
     under 20 words); repeated rows are judged each for itself."""
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
-    return cascade(plain, base_rules() + content_rules(), "_text").where("_rejected_by is null").select("_row.*")
+    judged = cascade(plain, base_rules() + content_rules(), "_text")
+    # A filter on _rejected_by itself would be pushed below the steps, with their expressions copied into it again and
+    # again; through a random number it isn't, and the steps are computed once.
+    kept = judged.select("_row", F.when(F.isnull("_rejected_by"), F.rand(0)).alias("_pass"))
+    return kept.where("_pass is not null").select("_row.*")
 
 
 def quality(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ pieces in a row. Pieces repeat; each distinct one is encoded once while it stays
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 
@@ -39,6 +40,7 @@ class Encoder:
     """encode(texts) -> one bytes object a text: its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
