@@ -13,8 +13,8 @@ import unicodedata
 
 import numpy as np
 
-#: Pieces kept by one Python worker; when full, the cache starts again. About 150 MB.
-CACHE_PIECES = 400_000
+#: Pieces kept by one Python worker; when full, the cache starts again. About 200 MB.
+CACHE_PIECES = 1_000_000
 _WORDS = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 #: White space outside ASCII, and separators that some regex engines count as such: such texts are encoded whole.
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -60,10 +60,10 @@ class Encoder:
         glue = b" " if self.drops_space else b""
         text = glue.join(pieces).decode("utf-8")
         ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        if self.drops_space:
-            want = [len(unicodedata.normalize("NFC", p.decode()).lower().encode()) for p in pieces]
+        if self.drops_space and not text.isascii():
+            want = [len(p) if p.isascii() else len(unicodedata.normalize("NFC", p.decode()).lower().encode()) for p in pieces]
         else:
-            want = [len(p) for p in pieces]
+            want = list(map(len, pieces))
         ends, reach = np.cumsum(want), np.cumsum(self.sizes[ids])
         at = np.searchsorted(reach, ends)
         if len(ids) == 0 or at[-1] != len(ids) - 1 or not np.array_equal(reach[np.minimum(at, len(ids) - 1)], ends):
@@ -72,27 +72,29 @@ class Encoder:
         return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _learn(self, missing: list[bytes]) -> None:
-        plain, other = [], []
-        for p in missing:
-            easy = b"<|" not in p and not p.isspace() and (self.drops_space or p[:1].isspace())
-            (plain if easy else other).append(p)
-        for i in range(0, len(plain), 256):
-            part = plain[i : i + 256]
-            self.cache.update(zip(part, self._joined(part), strict=True))
-        for i in range(0, len(other), 256):
-            part = other[i : i + 256]
-            self.cache.update(zip(part, self._each(part), strict=True))
+        if self.drops_space and b"<|" not in b" ".join(missing):
+            plain, other = missing, []
+        else:
+            easy = [b"<|" not in p and (self.drops_space or (p[:1].isspace() and not p[-1:].isspace())) for p in missing]
+            plain = [p for p, e in zip(missing, easy, strict=True) if e]
+            other = [p for p, e in zip(missing, easy, strict=True) if not e]
+        for pieces, learn in ((plain, self._joined), (other, self._each)):
+            for i in range(0, len(pieces), 512):
+                part = pieces[i : i + 512]
+                self.cache.update(zip(part, learn(part), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if self.drops_space:  # it lower-cases all but its special tokens, and so may we: fewer pieces
+            texts = [t if b"<|" in t else t.lower() for t in texts]
         cut = bytes.split if self.drops_space else _WORDS.findall
         odd = [bool(_ODD.search(t)) for t in texts] if not self.drops_space and any(b in t for t in texts for b in (b"\xc2", b"\xe1", b"\xe2", b"\xe3", b"\x1c", b"\x1d", b"\x1e", b"\x1f")) else [False] * len(texts)
         lists = [[] if o else cut(t) for t, o in zip(texts, odd, strict=True)]
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
         have = self.cache
-        missing = list({p for pieces in lists for p in pieces if p not in have})
+        missing = set().union(*lists).difference(have)
         if missing:
-            self._learn(missing)
+            self._learn(list(missing))
         get = have.__getitem__
         return [self._each([t])[0] if o else b"".join(map(get, pieces)) for t, o, pieces in zip(texts, odd, lists, strict=True)]
 
