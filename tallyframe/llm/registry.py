@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ngram_join", "quality_rules", "pii", "packing", "token_files", "mixing")
+MODULES = ("ngram_join", "quality_rules", "pii", "packing", "token_files", "mixing", "media", "warc")
 
 
 def queries() -> dict:
