@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ngram_join", "quality_rules", "pii", "packing", "token_files", "mixing", "media", "warc")
+MODULES = ("quality_model", "language_id", "mixing", "packing", "pii", "media", "quality_rules", "token_files", "warc", "ngram_join")
 
 
 def queries() -> dict:
