@@ -18,6 +18,7 @@ CACHE_PIECES = 1_000_000
 _WORDS = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 #: White space outside ASCII, and separators that some regex engines count as such: such texts are encoded whole.
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_ODD_BYTES = (b"\xc2", b"\xe1", b"\xe2", b"\xe3", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -72,31 +73,52 @@ class Encoder:
         return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _learn(self, missing: list[bytes]) -> None:
-        if self.drops_space and b"<|" not in b" ".join(missing):
-            plain, other = missing, []
+        """Fills the cache for keys of missing; see _keys for what a key stands for."""
+        special = b"<|" in b" ".join(missing)
+        if self.drops_space:
+            plain = [(k, k) for k in missing if not (special and b"<|" in k)]
         else:
-            easy = [b"<|" not in p and (self.drops_space or (p[:1].isspace() and not p[-1:].isspace())) for p in missing]
-            plain = [p for p, e in zip(missing, easy, strict=True) if e]
-            other = [p for p, e in zip(missing, easy, strict=True) if not e]
-        for pieces, learn in ((plain, self._joined), (other, self._each)):
-            for i in range(0, len(pieces), 512):
-                part = pieces[i : i + 512]
-                self.cache.update(zip(part, learn(part), strict=True))
+            plain = [(k, k if k[0] == 10 else b" " + k) for k in missing if k and k[0] != 255 and k != b"\n" and not (special and b"<|" in k)]
+        for i in range(0, len(plain), 512):
+            keys, pieces = zip(*plain[i : i + 512], strict=True)
+            self.cache.update(zip(keys, self._joined(pieces), strict=True))
+        if len(plain) < len(missing):
+            rest = list(set(missing).difference(k for k, _ in plain))
+            self.cache.update(zip(rest, self._each([k if self.drops_space else _piece(k) for k in rest]), strict=True))
+
+    def _keys(self, text: bytes) -> list[bytes]:
+        """The cache keys of a text's pieces in order. A vocabulary that drops white space has the words themselves. For
+        the other, where single spaces and line ends are the only white space, keys are what lies between single spaces
+        (a line end counts as one, and stays at the front); the first key gets a mark, as no space precedes it. Other
+        texts are cut by the pattern, and the pieces are marked as complete."""
+        if self.drops_space:
+            return text.split()
+        if any(x in text for x in (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\xff")):
+            return [b"\xff" + p for p in _WORDS.findall(text)]
+        keys = text.replace(b"\n", b" \n").split(b" ")
+        keys[0] = b"\xff" + keys[0]
+        return keys
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if self.drops_space:  # it lower-cases all but its special tokens, and so may we: fewer pieces
             texts = [t if b"<|" in t else t.lower() for t in texts]
-        cut = bytes.split if self.drops_space else _WORDS.findall
-        odd = [bool(_ODD.search(t)) for t in texts] if not self.drops_space and any(b in t for t in texts for b in (b"\xc2", b"\xe1", b"\xe2", b"\xe3", b"\x1c", b"\x1d", b"\x1e", b"\x1f")) else [False] * len(texts)
-        lists = [[] if o else cut(t) for t, o in zip(texts, odd, strict=True)]
+            odd = [False] * len(texts)
+        else:
+            odd = [any(x in t for x in _ODD_BYTES) and bool(_ODD.search(t)) for t in texts]
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        have = self.cache
-        missing = set().union(*lists).difference(have)
+        lists = [[] if o else self._keys(t) for t, o in zip(texts, odd, strict=True)]
+        missing = set().union(*lists).difference(self.cache)
         if missing:
             self._learn(list(missing))
-        get = have.__getitem__
-        return [self._each([t])[0] if o else b"".join(map(get, pieces)) for t, o, pieces in zip(texts, odd, lists, strict=True)]
+        get = self.cache.__getitem__
+        return [self._each([t])[0] if o else b"".join(map(get, keys)) for t, o, keys in zip(texts, odd, lists, strict=True)]
+
+
+def _piece(key: bytes) -> bytes:
+    if key[:1] == b"\xff":
+        return key[1:]
+    return key if key[:1] == b"\n" else b" " + key
 
 
 def slices(raw: np.ndarray, offsets: np.ndarray, budget: int = 1 << 20):
