@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions.metrics import _f1, metric
 from tallyframe.functions.text import tokens
@@ -27,7 +28,7 @@ def lcs_lists(a: list, b: list) -> int:
     return len(b) - bin(row).count("1")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _lcs_long(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in rows:
         yield pd.Series([None if x is None or y is None else lcs_lists(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")

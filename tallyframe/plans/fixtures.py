@@ -50,7 +50,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = FIXTURES[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql.replace("{S}", "string").replace('"', "`"), **used)
+    for name in ("condition", "rank", "round"):
+        sql = sql.replace(f'"{name}"', f"`{name}`")
+    return spark.sql(sql.replace("{S}", "string"), **used)
 
 
 def duck(name: str) -> str:

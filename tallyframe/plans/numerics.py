@@ -1,6 +1,243 @@
-"""Queries, with their oracle SQL."""
+"""Queries over vectors, logits, sequences, plans and streams, with their oracle SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tallyframe.functions import vectors as v
+from tallyframe.operators import planning, sequences
+from tallyframe.plans.fixtures import fixture, table, with_fixtures
+from tallyframe.streaming import monitor
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def embeddings(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", v.doubles(F.col("embedding")).alias("x"))
+
+
+E = "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"
+N = "greatest(sqrt(list_sum(list_transform({x}, lambda z: z * z))), 1e-8)"
+DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+
+
+def _dot(a: str, b: str) -> str:
+    return DOT.replace("{a}", a).replace("{b}", b)
+
+
+def _norm(x: str) -> str:
+    return N.replace("{x}", x)
+
+
+@query(E + f""", q AS (SELECT label AS query_label, min(vec_id) AS q FROM e GROUP BY 1), p AS (SELECT q.query_label, e.*, b.x AS y FROM q JOIN e b ON b.vec_id = q.q CROSS JOIN e),
+s AS (SELECT query_label, vec_id, round({_dot('x', 'y')} / ({_norm('x')} * {_norm('y')}), 6) AS score FROM p)
+SELECT query_label, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+def cosine_topk(spark, sf_dir):
+    """Queries are one vector a label, so the broadcast side has as many rows as there are labels (ten)."""
+    e = embeddings(spark, sf_dir)
+    q = e.groupBy(F.col("label").alias("query_label")).agg(F.min_by("x", "vec_id").alias("y"))
+    s = e.join(F.broadcast(q)).select("query_label", "vec_id", F.round(v.cosine(F.col("x"), F.col("y")), 6).alias("score"))
+    w = Window.partitionBy("query_label").orderBy(F.desc("score"), "vec_id")
+    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+
+
+CENTRES = """, u AS (SELECT label, generate_subscripts(x, 1) AS d, unnest(x) AS z FROM e), m AS (SELECT label, d, avg(z) AS z FROM u GROUP BY 1, 2), c AS (SELECT label, list(z ORDER BY d) AS y FROM m GROUP BY 1)"""
+
+
+@query(E + CENTRES + f" SELECT label, round(list_sum(list_transform(y, lambda z: z / {_norm('y')})), 6) AS total, round(list_max(y) / {_norm('y')}, 6) AS top FROM c")
+def mean_pool(spark, sf_dir):
+    e = embeddings(spark, sf_dir).groupBy("label").agg(F.collect_list("x").alias("rows"))
+    p = e.select("label", v.mean_pool(F.col("rows"), F.transform("rows", lambda x: F.lit(1))).alias("p"))
+    return p.select("label", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.array_max("p"), 6).alias("top"))
+
+
+@query(E + CENTRES + f""", s AS (SELECT e.vec_id, c.label, round({_dot('e.x', 'c.y')} / {_norm('c.y')}, 6) AS score FROM e CROSS JOIN c)
+SELECT vec_id, label AS predicted, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rn FROM s) WHERE rn = 1""")
+def embedding_label(spark, sf_dir):
+    """The label vectors are ten rows: their broadcast is bounded by the number of labels."""
+    e = embeddings(spark, sf_dir)
+    dims = e.select("label", F.posexplode("x").alias("d", "z")).groupBy("label", "d").agg(F.avg("z").alias("z"))
+    centre = dims.groupBy("label").agg(v.unit(F.transform(F.array_sort(F.collect_list(F.struct("d", "z"))), lambda x: x["z"])).alias("y"))
+    every = centre.agg(F.array_sort(F.collect_list(F.struct("label", "y"))).alias("labels"))
+    scored = e.join(F.broadcast(every)).select("vec_id", F.transform("labels", lambda c: F.struct(F.round(v.dot(F.col("x"), c["y"]), 6).alias("score"), (-c["label"]).alias("neg"))).alias("s"))
+    best = scored.select("vec_id", F.array_max("s").alias("b"))
+    return best.select("vec_id", (-F.col("b.neg")).alias("predicted"), F.col("b.score").alias("score"))
+
+
+LSE = "(list_max(x) + ln(list_sum(list_transform(x, lambda z: exp(z - list_max(x))))))"
+
+
+@query(E + f" SELECT vec_id, round(x[label + 1] - {LSE}, 6) AS logprob, list_position(x, list_max(x))::INT - 1 AS predicted FROM e")
+def label_logprob(spark, sf_dir):
+    x = F.col("x")
+    return embeddings(spark, sf_dir).select("vec_id", F.round(v.token_logprob(x, F.col("label")), 6).alias("logprob"), v.argmax(x).alias("predicted"))
+
+
+@query(E + """, h AS (SELECT vec_id, x, list_filter(range(64), lambda i: x[i + 1] >= 0.35) AS hits FROM e) SELECT vec_id, array_to_string(CASE WHEN len(hits) > 0 THEN hits ELSE [list_position(x, list_max(x)) - 1] END, ',') AS labels FROM h""")
+def sigmoid_multilabel(spark, sf_dir):
+    shifted = F.transform("x", lambda z: z - 0.35)
+    e = embeddings(spark, sf_dir).select("vec_id", shifted.alias("x"))
+    return e.select("vec_id", F.array_join(v.sigmoid_labels(F.col("x")).cast("array<string>"), ",").alias("labels"))
+
+
+@query(E + """, p AS (SELECT a.vec_id, a.x AS s, b.x AS t FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+u AS (SELECT vec_id, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS sv, unnest(t) AS tv FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sv DESC, i) AS sr, row_number() OVER (PARTITION BY vec_id ORDER BY tv DESC, i) AS tr FROM u),
+c AS (SELECT a.vec_id, a.i AS s, b.i AS e, a.sv + b.tv AS score, a.sr, b.tr FROM r a JOIN r b ON a.vec_id = b.vec_id AND a.sr <= 20 AND b.tr <= 20 AND b.i >= a.i AND b.i - a.i + 1 <= 16),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, sr, tr) AS rn FROM c)
+SELECT vec_id, s::INT AS s, e::INT AS e, round(score, 6) AS score FROM k WHERE rn = 1""")
+def span_search(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
+    b = e.join(nxt, "vec_id").select("vec_id", v.best_span(F.col("x"), F.col("y"), 16).alias("b")).where("b is not null")
+    return b.select("vec_id", "b.s", "b.e", F.round("b.score", 6).alias("score"))
+
+
+LABELLED = """SELECT event_id // 40 AS seq, event_id AS pos, CASE event_id % 7 WHEN 0 THEN 'B-per' WHEN 1 THEN 'I-per' WHEN 2 THEN 'I-loc' WHEN 3 THEN 'O' WHEN 4 THEN 'loc' WHEN 5 THEN 'I-loc' ELSE 'O' END AS label, event_type AS token FROM events"""
+
+
+@query(f"""WITH t AS ({LABELLED}), p AS (SELECT *, CASE WHEN label = 'O' THEN 'O' WHEN label[2] = '-' THEN label[1] ELSE 'B' END AS pre, CASE WHEN label[2] = '-' THEN label[3:] ELSE label END AS kind FROM t),
+l AS (SELECT *, lag(pre) OVER w AS lp, lag(kind) OVER w AS lk FROM p WINDOW w AS (PARTITION BY seq ORDER BY pos)),
+s AS (SELECT *, sum(CASE WHEN pre <> 'O' AND (pre = 'B' OR lp IS NULL OR lp = 'O' OR lk <> kind) THEN 1 ELSE 0 END) OVER (PARTITION BY seq ORDER BY pos) AS span FROM l)
+SELECT seq, first(kind) AS type, min(pos) AS first_pos, max(pos) AS last_pos, string_agg(token, ' ' ORDER BY pos) AS text FROM s WHERE pre <> 'O' GROUP BY seq, span""")
+def bio_decode(spark, sf_dir):
+    rows = spark.sql(LABELLED.replace("event_id // 40", "event_id div 40").replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    return sequences.bio_spans(rows)
+
+
+@query("""WITH b AS (SELECT doc_id, list_transform(string_split(source, ''), lambda c: ascii(c)::BIGINT) AS ids FROM documents), m AS (SELECT max(len(ids)) AS n FROM b)
+SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(n - len(ids)), lambda i: 0::BIGINT)), ',') AS ids, len(ids)::INT AS n_real FROM b, m""")
+def pad_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("source", ""), lambda c: F.ascii(c).cast("bigint")).alias("ids"))
+    n = rows.agg(F.max(F.size("ids")).alias("n"))
+    return rows.join(F.broadcast(n)).select("doc_id", F.array_join(v.pad(F.col("ids"), F.col("n")).cast("array<string>"), ",").alias("ids"), F.size("ids").alias("n_real"))
+
+
+@query("SELECT vec_id, array_to_string(list_concat(x[1:4], x[-12:]), ',') AS kept FROM (SELECT vec_id, list_transform(range(64), lambda i: vec_id + i) AS x FROM embeddings)")
+def context_budget(spark, sf_dir):
+    ids = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("vec_id") + i)
+    return table(spark, sf_dir, "embeddings").select("vec_id", ids.alias("x")).select("vec_id", F.array_join(v.head_and_tail(F.col("x"), 16).cast("array<string>"), ",").alias("kept"))
+
+
+@query("""WITH t AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity AS left_at, l_quantity + 3 AS right_at FROM lineitem), s AS (SELECT o_orderkey AS k, 10.0::DOUBLE AS a, 20.0::DOUBLE AS b FROM orders)
+SELECT t.k AS l_orderkey, count(*) AS tokens FROM t JOIN s ON t.k = s.k AND t.left_at < s.b AND t.right_at > s.a GROUP BY 1""")
+def offset_overlap(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").alias("left"), (F.col("l_quantity") + 3).alias("right"))
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(10.0).alias("start"), F.lit(20.0).alias("end"))
+    return sequences.overlapping(t, s, "l_orderkey").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("tokens"))
+
+
+# --- planning ------------------------------------------------------------------------------------------------------
+
+TASKS = ("classification", "image_classification", "multiple_choice", "multilabel_classification", "qa", "numeric_qa", "summarization", "token_classification", "relation_extraction", "generation", "unknown")
+METRICS = ("accuracy", "macro_f1", "set_f1", "exact_match", "qa_f1", "numeric_match", "rouge_l")
+_fits = " ".join(f"WHEN '{t}' THEN metric IN ({', '.join(repr(m) for m in ms)})" for t, ms in planning.TASK_METRICS.items())
+
+
+@query(f"SELECT task, metric, CASE task {_fits} ELSE false END AS fits FROM (SELECT unnest({list(TASKS)}) AS task) CROSS JOIN (SELECT unnest({list(METRICS)}) AS metric)")
+def method_matches_task(spark, sf_dir):
+    one = lambda name, xs: spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in xs])).alias(name))
+    return one("task", TASKS).crossJoin(one("metric", METRICS)).withColumn("fits", planning.metric_fits(F.col("task"), F.col("metric")))
+
+
+#: (name, config type, architecture, pipeline, library, kind)
+MODELS = (
+    ("org/bert-base", "bert", "BertForSequenceClassification", "", "", "sequence_classifier"),
+    ("org/all-mini", "bert", "BertModel", "sentence-similarity", "", "sentence_encoder"),
+    ("org/x-gguf", "", "", "", "", "gguf"),
+    ("org/ner", "bert", "BertForTokenClassification", "", "", "token_classifier"),
+    ("org/mlm", "roberta", "RobertaForMaskedLM", "", "", "masked_lm"),
+    ("org/squad", "bert", "BertForQuestionAnswering", "", "", "extractive_qa"),
+    ("org/picture", "clip", "CLIPModel", "", "", "zero_shot_image"),
+    ("org/paligemma-3b", "", "", "", "", "paligemma"),
+    ("org/q", "qwen2_vl", "", "", "", "vlm_processor"),
+    ("org/chatty", "internvl_chat", "InternVLChatModel", "", "", "vlm_chat"),
+    ("org/kimi-vl-a3b", "", "KimiForCausalLM", "", "", "unsupported_model"),
+    ("org/gpt", "gpt2", "GPT2LMHeadForCausalLM", "", "", "causal_lm"),
+    ("org/model-awq", "", "", "", "", "unsupported_model"),
+    ("org/vit-b", "vit", "ViTModel", "", "timm", "unsupported_image"),
+    ("org/enc", "electra", "ElectraModel", "", "", "sentence_encoder"),
+    ("org/flan-t5-xl", "", "", "", "", "seq2seq_lm"),
+    ("org/deberta-x", "", "", "", "", "sequence_classifier"),
+    ("org/plain", "", "", "", "", "causal_lm"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{m[0]}', '{m[5]}')" for m in MODELS) + ") AS t(name, kind)")
+def model_type(spark, sf_dir):
+    df = spark.createDataFrame([m[:5] for m in MODELS], "name string, config string, arch string, tag string, lib string")
+    kind = planning.model_type(F.col("name"), F.col("config"), F.array(F.col("arch")), F.col("tag"), F.col("lib"))
+    return df.select("name", kind.alias("kind"))
+
+
+#: (id, has_gold, task, method, image?, label map?, model type, labels, problem type, protocol, metric)
+PLANS = (
+    (1, True, "classification", "auto", False, True, "causal_lm", [], "", "tagged_label_generation_accuracy", "accuracy"),
+    (2, False, "classification", "auto", False, True, "causal_lm", [], "", "unsupported", None),
+    (3, True, "classification", "rouge_l", False, True, "causal_lm", [], "", "unsupported", None),
+    (4, True, "classification", "macro_f1", False, True, "sequence_classifier", ["Positive", "Negative", "LABEL_3"], "", "classifier_label_accuracy", "macro_f1"),
+    (5, True, "classification", "", False, True, "sequence_classifier", ["entailment", "neutral"], "", "zero_shot_nli_accuracy", "accuracy"),
+    (6, True, "classification", "", False, True, "sequence_classifier", ["LABEL_0", "LABEL_1"], "", "unsupported", None),
+    (7, True, "multiple_choice", "", False, False, "causal_lm", [], "", "tagged_multiple_choice_accuracy", "accuracy"),
+    (8, True, "multiple_choice", "", False, False, "masked_lm", [], "", "masked_choice_likelihood", "accuracy"),
+    (9, True, "multilabel_classification", "", False, True, "sequence_classifier", ["positive", "negative"], "multi_label_classification", "multilabel_classifier_set_f1", "set_f1"),
+    (10, True, "multilabel_classification", "", False, True, "causal_lm", [], "", "tagged_set_generation", "set_f1"),
+    (11, True, "qa", "", False, False, "extractive_qa", [], "", "extractive_qa", "qa_f1"),
+    (12, True, "numeric_qa", "", False, False, "causal_lm", [], "", "tagged_answer_exact_match", "numeric_match"),
+    (13, True, "summarization", "auto", False, False, "sentence_encoder", [], "", "unsupported", None),
+    (14, True, "token_classification", "", False, True, "token_classifier", [], "", "token_entity_set_f1", "set_f1"),
+    (15, True, "image_classification", "", True, True, "zero_shot_image", [], "", "zero_shot_image_accuracy", "accuracy"),
+    (16, True, "image_classification", "", True, True, "causal_lm", [], "", "unsupported", None),
+    (17, True, "generation", "", False, False, "seq2seq_lm", [], "", "tagged_answer_exact_match", "exact_match"),
+    (18, True, "classification", "", False, True, "sentence_encoder", [], "", "embedding_label_similarity", "accuracy"),
+    (19, True, "classification", "", False, True, "masked_lm", [], "", "masked_label_likelihood", "accuracy"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({p[0]}, '{p[9]}', {('NULL' if p[10] is None else repr(p[10]))})" for p in PLANS) + ") AS t(id, protocol, metric)")
+def protocol_choice(spark, sf_dir):
+    df = spark.createDataFrame([p[:9] for p in PLANS], "id int, has_gold boolean, task string, method string, image boolean, named boolean, model_type string, labels array<string>, problem_type string")
+    named = F.create_map(F.lit("0"), F.lit("Positive"), F.lit("1"), F.lit("negative"), F.lit("-1"), F.lit("other"))
+    df = df.withColumns({"label_map": F.when(F.col("named"), named).otherwise(F.create_map().cast("map<string,string>")), "image_column": F.lit("picture"), "context_column": F.lit("para[].text")})
+    df = df.withColumn("columns", F.when(F.col("image"), F.array(F.lit("picture"), F.lit("label"))).otherwise(F.array(F.lit("question"), F.lit("para"))))
+    return planning.choose_protocol(df).select("id", "protocol", "metric")
+
+
+@query(with_fixtures("results") + """ SELECT ordinal, concat_ws(',', CASE WHEN "rank" IS NULL OR "rank" < 2 THEN 'rank' END, CASE WHEN score IS NULL THEN 'score' END, CASE WHEN ordinal % 5 = 0 THEN 'checksum' END) AS violations FROM results""")
+def handoff_validation(spark, sf_dir):
+    rows = fixture(spark, sf_dir, "results").select("ordinal", F.concat("condition", F.lit("-1")).alias("candidate_id"), "model", (F.col("rank") - 1).alias("rank"), "score")
+    rows = rows.withColumn("checksum", F.when(F.expr("ordinal % 5 = 0"), "xyz").otherwise(F.sha2(F.col("model"), 256)))
+    return rows.select("ordinal", F.array_join(planning.violations(planning.candidate_rules()), ",").alias("violations"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'missing task' WHEN event_id % 3 = 1 THEN 'unknown zeta' ELSE '' END AS error FROM events")
+def context_validation(spark, sf_dir):
+    doc = F.expr("""case event_id % 3 when 0 then '{"dataset": "a"}' when 1 then '{"dataset": "a", "task": "qa", "zeta": 1}' else '{"dataset": "a", "task": "qa", "notes": ""}' end""")
+    return table(spark, sf_dir, "events").select("event_id", planning.closed_world(doc, ("dataset", "task"), ("notes",)).alias("error"))
+
+
+# --- streams, run over a bounded table -----------------------------------------------------------------------------
+
+
+@query(with_fixtures("results") + """ SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, dataset, count(*) AS results, count_if(status = 'ok' AND score IS NOT NULL AND labeled_total > 0) AS successes,
+  max(CASE WHEN status = 'ok' AND score IS NOT NULL AND labeled_total > 0 THEN score END) AS best_score FROM results GROUP BY 1, 2""")
+def windowed_outcomes(spark, sf_dir):
+    return monitor.windowed_outcomes(fixture(spark, sf_dir, "results")).drop("window_end")
+
+
+@query(with_fixtures("results") + """, g AS (SELECT model, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY model ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM results),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY model ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT model, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS results FROM s GROUP BY model, k""")
+def model_sessions(spark, sf_dir):
+    return monitor.sessions(fixture(spark, sf_dir, "results"))

@@ -87,10 +87,10 @@ def join_results_last_wins(spark, sf_dir):
     return joins.join_last(left, right, ["dataset", "model"]).select("ordinal", "dataset", "model", "status", "score")
 
 
-@query(O + """ SELECT DISTINCT dataset, model FROM o EXCEPT SELECT dataset, model FROM o WHERE outcome = 'success' AND score >= 0.9 AND metric = 'macro_f1'""")
+@query(O + """ SELECT DISTINCT dataset, model FROM o EXCEPT SELECT dataset, model FROM o WHERE outcome = 'success' AND score >= 0.2 AND metric = 'macro_f1'""")
 def expected_missing(spark, sf_dir):
     rows = outcomes(spark, sf_dir)
-    return joins.missing_pairs(rows.select("dataset", "model").distinct(), rows.where("outcome = 'success' and score >= 0.9 and metric = 'macro_f1'"), ["dataset", "model"])
+    return joins.missing_pairs(rows.select("dataset", "model").distinct(), rows.where("outcome = 'success' and score >= 0.2 and metric = 'macro_f1'"), ["dataset", "model"])
 
 
 @query(O + """, n AS (SELECT dataset, model, "condition" || '#' || "rank" AS c, min(ordinal) AS first FROM o GROUP BY ALL),
@@ -328,11 +328,11 @@ def pivot_models(spark, sf_dir):
     return agg.pivot_models(best.join(ranking.task_ids(rows).select("dataset", "model", "task_index"), ["dataset", "model"]), 3)
 
 
-@query(O + """, d AS (SELECT DISTINCT dataset, model FROM o WHERE outcome = 'success' AND score >= 0.9 AND labeled_total = 4), p AS (SELECT dataset, model, min(ordinal) AS first_ordinal FROM o GROUP BY 1, 2)
+@query(O + """, d AS (SELECT DISTINCT dataset, model FROM o WHERE outcome = 'success' AND score >= 0.2 AND labeled_total = 4), p AS (SELECT dataset, model, min(ordinal) AS first_ordinal FROM o GROUP BY 1, 2)
 SELECT p.*, (row_number() OVER (ORDER BY first_ordinal) - 1)::INT AS task_index FROM p WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.dataset = p.dataset AND d.model = p.model) AND NOT (dataset = 'click' AND model = 'm3')""")
 def retry_manifest(spark, sf_dir):
     rows = outcomes(spark, sf_dir)
-    done = rows.withColumn("outcome", F.when(F.expr("score >= 0.9 and labeled_total = 4"), F.col("outcome")))
+    done = rows.withColumn("outcome", F.when(F.expr("score >= 0.2 and labeled_total = 4"), F.col("outcome")))
     excluded = rows.where("dataset = 'click' and model = 'm3'").select("dataset", "model").distinct()
     return recovery.untried_or_failed(rows, done, excluded, ["dataset", "model"])
 
@@ -363,19 +363,19 @@ def salvage_lanes(spark, sf_dir):
     return recovery.number_lanes(rows, "lane", ["ordinal"]).select("ordinal", "lane", "task_index")
 
 
-@query(O + """, g AS (SELECT DISTINCT model FROM o WHERE "round" = 1 AND outcome = 'success' AND score >= 0.9 AND dataset = 'click')
+@query(O + """, g AS (SELECT DISTINCT model FROM o WHERE "round" = 1 AND outcome = 'success' AND score >= 0.2 AND dataset = 'click')
 SELECT ordinal, o.model, g.model IS NOT NULL AS passed FROM o LEFT JOIN g ON o.model = g.model WHERE "round" = 2""")
 def smoke_gate(spark, sf_dir):
     rows = outcomes(spark, sf_dir)
-    passing = rows.where("round = 1 and outcome = 'success' and score >= 0.9 and dataset = 'click'")
+    passing = rows.where("round = 1 and outcome = 'success' and score >= 0.2 and dataset = 'click'")
     return joins.gate(rows.where("round = 2"), passing, "model").select("ordinal", "model", "passed")
 
 
-@query(O + """, e AS (SELECT DISTINCT model FROM o WHERE dataset = 'view' AND "rank" <= 3 AND score >= 0.9), f AS (SELECT DISTINCT model FROM o WHERE dataset = 'click' AND "rank" >= 6 AND score >= 0.9)
+@query(O + """, e AS (SELECT DISTINCT model FROM o WHERE dataset = 'view' AND "rank" <= 3 AND score >= 0.2), f AS (SELECT DISTINCT model FROM o WHERE dataset = 'click' AND "rank" >= 6 AND score >= 0.2)
 SELECT coalesce(e.model, f.model) AS model, CASE WHEN f.model IS NULL THEN 'missing' WHEN e.model IS NULL THEN 'unexpected' ELSE 'covered' END AS state FROM e FULL JOIN f ON e.model = f.model""")
 def coverage_audit(spark, sf_dir):
     rows = fixture(spark, sf_dir, "results")
-    return recovery.coverage(rows.where("dataset = 'view' and rank <= 3 and score >= 0.9"), rows.where("dataset = 'click' and rank >= 6 and score >= 0.9"), "model")
+    return recovery.coverage(rows.where("dataset = 'view' and rank <= 3 and score >= 0.2"), rows.where("dataset = 'click' and rank >= 6 and score >= 0.2"), "model")
 
 
 @query(O + """, p AS (SELECT dataset, model, "round" AS r, ordinal FROM o WHERE "condition" = 'B_method1_only' AND "rank" = 1), n AS (SELECT dataset, model, r, count(*) AS k, min(ordinal) AS first_plan FROM p GROUP BY 1, 2, 3),

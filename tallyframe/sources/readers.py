@@ -97,7 +97,7 @@ def last_json_object(text: str | None) -> str | None:
     return found
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def embedded_object(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Column form of last_json_object; there is no native incremental decoder."""
     for s in rows:
