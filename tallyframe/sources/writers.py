@@ -19,7 +19,7 @@ def write_csv(df: DataFrame, path: str, columns: list[str], text_counts: tuple[s
     have = set(df.columns)
     cell = lambda c: F.col(f"`{c}`") if c in have else F.lit(None).cast("string")
     cols = [(F.concat(F.lit("'"), cell(c)) if c in text_counts else cell(c)).alias(c) for c in columns]
-    df.select(*cols).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    df.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
