@@ -43,7 +43,7 @@ class Feistel:
 
     def digits(self, value: int, n: int, kind: str, radix: int = 10, undo: bool = False) -> int:
         if n < 2:
-            shift = self._round(kind, n, radix, 0, 0)
+            shift = 1 + self._round(kind, n, radix, 0, 0) % (radix - 1)
             return (value - shift if undo else value + shift) % radix**n
         left = n // 2
         sizes = (radix**left, radix ** (n - left))
