@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -24,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
+        own = tempfile.mkdtemp(prefix="tallyframe-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -33,6 +37,12 @@ def work_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tallyframe/{tag}-{uuid.uuid4().hex}"
 
 
+def clear_work(spark: SparkSession) -> None:
+    """Deletes all written tables and files below the shared folder; results that read them are gone, too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tallyframe")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet into the shared folder and read back: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, work_path(df.sparkSession, tag)
