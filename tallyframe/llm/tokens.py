@@ -13,8 +13,9 @@ import unicodedata
 
 import numpy as np
 
-#: Pieces kept by one Python worker; when full, the cache starts again. About 200 MB.
-CACHE_PIECES = 1_000_000
+#: Pieces kept by one Python worker, in two generations: when the younger is half of this, it becomes the older, and
+#: what is still used moves back. About 250 MB.
+CACHE_PIECES = 1_200_000
 _WORDS = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 #: White space outside ASCII, and separators that some regex engines count as such: such texts are encoded whole.
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -51,6 +52,7 @@ class Encoder:
         for t, i in vocab.items():
             self.sizes[i] = len(t) - 4 * (self.drops_space and t.endswith("</w>"))
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _each(self, pieces: list[bytes]) -> list[bytes]:
         found = self.tok.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
@@ -105,10 +107,13 @@ class Encoder:
             odd = [False] * len(texts)
         else:
             odd = [any(x in t for x in _ODD_BYTES) and bool(_ODD.search(t)) for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
+        if 2 * len(self.cache) > CACHE_PIECES:
+            self.old, self.cache = self.cache, {}
         lists = [[] if o else self._keys(t) for t, o in zip(texts, odd, strict=True)]
         missing = set().union(*lists).difference(self.cache)
+        again = missing.intersection(self.old)
+        self.cache.update((k, self.old[k]) for k in again)
+        missing -= again
         if missing:
             self._learn(list(missing))
         get = self.cache.__getitem__
