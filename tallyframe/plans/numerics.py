@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import vectors as v
-from tallyframe.operators import planning, sequences
+from tallyframe.operators import planning, selection, sequences
 from tallyframe.plans.fixtures import fixture, table, with_fixtures
 from tallyframe.streaming import monitor
 
@@ -228,6 +228,49 @@ def context_validation(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", planning.closed_world(doc, ("dataset", "task"), ("notes",)).alias("error"))
 
 
+# --- selection -----------------------------------------------------------------------------------------------------
+
+
+@query(with_fixtures("results") + """, n AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY ordinal) AS n FROM results), p AS (SELECT * FROM n WHERE n <= 9 ORDER BY ordinal LIMIT 30), d AS (SELECT dataset FROM p GROUP BY 1 ORDER BY min(ordinal) LIMIT 3)
+SELECT ordinal, dataset, model FROM p WHERE dataset IN (SELECT dataset FROM d)""")
+def cycle_selection(spark, sf_dir):
+    """A limit is what this operator does."""
+    return selection.cycle_selection(fixture(spark, sf_dir, "results"), 9, 30, 3).select("ordinal", "dataset", "model")
+
+
+@query(with_fixtures("results") + """, e AS (SELECT DISTINCT model FROM results WHERE status = 'failed' AND dataset = 'error' AND "rank" = 1),
+r AS (SELECT o.ordinal, o.model, o."rank" - 1 AS r, o.score, CASE WHEN o.status = 'unsupported' THEN 'gated_model' WHEN o."rank" < 2 THEN 'invalid_rank' WHEN o.score IS NULL THEN 'non_finite_or_missing_score' WHEN e.model IS NOT NULL THEN 'already_evaluated_or_excluded' END AS own,
+  CASE WHEN o."rank" = 1 THEN o.ordinal + 1 ELSE o."rank" - 1 END AS place FROM results o LEFT JOIN e ON o.model = e.model WHERE dataset = 'view'),
+d AS (SELECT *, CASE WHEN own IS NULL AND row_number() OVER (PARTITION BY model, own IS NULL ORDER BY place, ordinal) > 1 THEN 'duplicate_model' ELSE own END AS reason FROM r),
+t AS (SELECT *, coalesce(sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY place, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM d)
+SELECT ordinal, model, r AS rank, score, reason FROM t WHERE taken < 4""")
+def convert_candidates(spark, sf_dir):
+    rows = fixture(spark, sf_dir, "results")
+    records = rows.where("dataset = 'view'").select("ordinal", F.lit("").alias("model_name"), "model", (F.col("rank") - 1).alias("rank"), "score", F.lit(None).cast("double").alias("link_probability"), F.lit(False).alias("gated"), F.when(F.col("status") == "unsupported", "Gated").alias("access_status"))
+    return selection.convert_candidates(records, rows.where("status = 'failed' and dataset = 'error' and rank = 1"), 4)
+
+
+@query(with_fixtures("results") + """ SELECT dataset, model, 'result_audit' AS stage, status FROM results WHERE status <> 'planned' AND NOT (status = 'ok' AND score IS NOT NULL AND labeled_total > 0)
+UNION ALL SELECT dataset, model, 'result_audit', 'missing' FROM (SELECT DISTINCT dataset, model FROM results EXCEPT SELECT dataset, model FROM results WHERE "condition" = 'A_merged' AND "rank" = 1 AND "round" = 1)""")
+def failure_rows(spark, sf_dir):
+    rows = fixture(spark, sf_dir, "results")
+    return selection.failure_rows(rows).unionByName(selection.missing_rows(rows, rows.where("condition = 'A_merged' and rank = 1 and round = 1")))
+
+
+@query(with_fixtures("results") + """, m AS (SELECT 0 AS s, ordinal, dataset, model, 'status ' || status AS message FROM results WHERE status IN ('failed', 'unsupported') UNION ALL SELECT 1, ordinal, dataset, model, 'no score in ' || metric FROM results WHERE score IS NULL),
+d AS (SELECT dataset, model, message, min(struct_pack(s, ordinal)) AS f FROM m GROUP BY 1, 2, 3) SELECT dataset, model, string_agg(message, ' | ' ORDER BY f) AS reasons FROM d GROUP BY 1, 2""")
+def failure_reasons(spark, sf_dir):
+    rows = fixture(spark, sf_dir, "results")
+    a = rows.where("status in ('failed', 'unsupported')").select("dataset", "model", "ordinal", F.concat(F.lit("status "), "status").alias("message"))
+    b = rows.where("score is null").select("dataset", "model", "ordinal", F.concat(F.lit("no score in "), "metric").alias("message"))
+    return selection.failure_reasons(a, b)
+
+
+@query("SELECT source AS label, (row_number() OVER (ORDER BY source) - 1)::INT AS label_id FROM (SELECT DISTINCT source FROM documents)")
+def label_ids(spark, sf_dir):
+    return selection.label_map(table(spark, sf_dir, "documents"), "source")
+
+
 # --- streams, run over a bounded table -----------------------------------------------------------------------------
 
 

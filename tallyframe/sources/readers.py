@@ -104,6 +104,60 @@ def embedded_object(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(last_json_object, na_action="ignore")
 
 
+def parse_choices(text: str | None) -> list[str] | None:
+    """A list of choices from JSON or a Python literal: a list, or a dict with 'text'."""
+    import ast
+    import json
+
+    for parser in (json.loads, ast.literal_eval):
+        try:
+            found = parser((text or "").strip())
+        except (ValueError, SyntaxError):
+            continue
+        found = found.get("text") if isinstance(found, dict) else found
+        if isinstance(found, list):
+            return [str(x) for x in found]
+    return None
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def choices(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Column form of parse_choices; Python literals have no native parser."""
+    for s in rows:
+        yield s.map(parse_choices)
+
+
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of a small workbook as text columns, blanks as nulls; the first row names them."""
+    import re
+    import zipfile
+    from xml.etree import ElementTree
+
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(path) as z:
+        sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in si.iter(f"{space}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+    rows = []
+    for row in sheet.iter(f"{space}row"):
+        cells: dict[int, str] = {}
+        for i, c in enumerate(row):
+            letters = re.match("[A-Z]+", c.get("r") or "")
+            at = i
+            if letters:
+                at = 0
+                for ch in letters.group():
+                    at = at * 26 + ord(ch) - 64
+                at -= 1
+            value = "".join(t.text or "" for t in c.iter(f"{space}t")) or (c.findtext(f"{space}v") or "")
+            cells[at] = shared[int(value)] if c.get("t") == "s" and value else value
+        rows.append(cells)
+    names = [rows[0][i] for i in sorted(rows[0])] if rows else []
+    data = [tuple(r.get(i) or None for i in range(len(names))) for r in rows[1:]]
+    return spark.createDataFrame(data, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+
+
 #: Named sources: name -> (spark, location) -> DataFrame.
 SOURCES = {"parquet": lambda s, p: s.read.parquet(p), "csv": read_csv, "jsonl": read_jsonl, "conditions": read_conditions}
 

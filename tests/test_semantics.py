@@ -192,3 +192,33 @@ def test_loop(spark, tmp_path):
     seen = spark.createDataFrame([("d", "m0")], "dataset string, model string")
     out = loop.SelectionLoop(candidates, evaluate, str(tmp_path), rounds=5, minimum=0.01).run(seen)
     assert sorted((r["round"], r.model) for r in out.collect()) == [(1, "m1"), (2, "m2")]
+
+
+def test_selection(spark):
+    from tallyframe.operators import selection as sel
+
+    close = lambda x: sel.closest_label(lit(x), F.array(F.lit("World"), F.lit("Sci/Tech"), F.lit("Sports")))
+    assert one(spark, close("sports"), close("TECH"), close("World News"), close("cooking")) == ["Sports", "Sci/Tech", "World", ""]
+    assert one(spark, sel.error_line(lit("x\nValueError: a\nOSError: b\nTypeError: c")), sel.error_line(lit("fine")), sel.error_line(lit("y" * 20), 10)) == ["TypeError: c", "fine", "y" * 7 + "..."]
+    files = F.array(*map(F.lit, ["m-Q8_0.gguf", "m-Q4_K_M-00002-of-00002.gguf", "m-Q4_K_M-00001-of-00002.gguf", "mmproj-q4_k_m.gguf", "read.me"]))
+    assert one(spark, sel.weight_file(files), sel.missing_shards(lit("m-00001-of-00002.gguf"), F.array(F.lit("m-00001-of-00002.gguf"))), sel.missing_shards(lit("m.gguf"), files)) == ["m-Q4_K_M-00001-of-00002.gguf", ["m-00002-of-00002.gguf"], []]
+    df = spark.createDataFrame([(i, "abc"[i % 3], None if i % 4 else "x", "y") for i in range(12)], "ordinal long, dataset string, a string, b string")
+    assert sel.answer_column(df, ["none", "a", "b"], 8) == "b" and sel.answer_column(df, ["none"], 8) == ""
+    assert [r.ordinal for r in sel.first_pairs_then_datasets(df, 5, 2).orderBy("ordinal").collect()] == [0, 1, 3, 4]
+    a, b = (sel.hashed_sample(df.repartition(n), "ordinal", 5, 7).orderBy("sample_index").collect() for n in (1, 4))
+    assert [r.ordinal for r in a] == [r.ordinal for r in b] and [r.sample_index for r in a] == list(range(5)) and sel.hashed_sample(df, "ordinal", 0, 7).count() == 12
+    tasks, audit = sel.task_and_audit(df, F.expr("ordinal % 5 = 1"))
+    assert [(r.ordinal, r.task_index) for r in tasks.collect()] == [(1, 0), (6, 1), (11, 2)] and audit.count() == 12
+    cache = spark.createDataFrame([("s", " s ", [1.0, 0.0]), ("s", "t", [1.0, 0.0]), ("s", "s", [0.0, 0.0]), ("s", "s", [float("nan"), 1.0]), ("s", None, None)], "summary string, cached_summary string, vector array<double>")
+    assert [r.current for r in sel.current_cache(cache, 2).collect()] == [True, False, False, False, False]
+    over = sel.overlay(spark.createDataFrame([("d", "x", "y")], "k string, p string, q string"), spark.createDataFrame([("d", None, "z")], "k string, p string, q string"), "k")
+    assert [tuple(r) for r in over.collect()] == [("d", "x", "z")]
+
+
+def test_paths_and_values(spark):
+    from tallyframe.sources.readers import parse_choices
+
+    df = spark.createDataFrame([([("u1", ["i", None]), (None, ["j"])],)], "turns array<struct<utterance:string, acts:array<string>>>")
+    assert df.select(text.path_value("turns[].utterance"), text.path_value("turns.acts", 1)).collect()[0][:] == (["u1"], ["i", "j"])
+    assert one(spark, text.prompt_value(F.array(F.lit("a"), lit(None), F.lit("b")), "array<string>"), text.prompt_value(lit(None), "string"), text.prompt_value(F.struct(F.lit(1).alias("x")), "struct<x:int>")) == ["a\nb", "", '{"x":1}']
+    assert one(spark, text.tagged_prompt(lit("Q "), ["a", "b"]))[0].startswith('Choose one of: "a", "b".') and parse_choices("['x', 1]") == ["x", "1"] and parse_choices('{"text": ["t"]}') == ["t"] and parse_choices("no") is None

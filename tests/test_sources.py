@@ -63,6 +63,7 @@ def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("a|b", 1.5), (None, 2.0)], "name string, score double")
     assert writers.markdown(df).splitlines()[2:] == ["| a\\|b | 1.5 |", "|  | 2.0 |"]
     writers.write_xlsx(df, str(tmp_path / "r.xlsx"))
+    assert [tuple(r) for r in readers.read_xlsx(spark, str(tmp_path / "r.xlsx")).collect()] == [("a|b", "1.5"), (None, "2.0")]
     sheet = zipfile.ZipFile(tmp_path / "r.xlsx").read("xl/worksheets/sheet1.xml").decode()
     assert "<v>1.5</v>" in sheet and "a|b" in sheet
     docs = writers.handoffs(spark.createDataFrame([("d", 2, "n", 0.1), ("d", 1, "m", 0.2)], "dataset string, final_rank int, model string, score double")).collect()
