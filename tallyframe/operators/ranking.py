@@ -9,11 +9,11 @@ from tallyframe.functions.contract import result_outcome
 
 #: Protocols whose accuracies are comparable with each other.
 ACCURACY_PROTOCOLS = (
+    "multiple_choice_accuracy",
     "label_generation_accuracy",
+    "label_logprob_accuracy",
     "tagged_label_generation_accuracy",
-    "label_likelihood_accuracy",
     "classifier_label_accuracy",
-    "embedding_label_similarity",
     "zero_shot_nli_accuracy",
 )
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the decision tables.
-ACTIONABLE = ("never_attempted", "planned_only", "missing_output", "runtime_failure", "stale_adapter", "dataset_context")
-SALVAGE = ("incompatible", "stale_adapter")
-EXPLICIT_ROUTES = ("explicit_source_override", "active_coverage_run")
+ACTIONABLE = ("dataset_context", "missing_output", "never_attempted", "planned_only", "runtime_failure", "stale_adapter")
+SALVAGE = ("dataset_context", "missing_output", "never_attempted", "runtime_failure")
+EXPLICIT_ROUTES = ("active_coverage_run", "explicit_source_override")
 
 
 def failure_category(status: Column, reason: Column) -> Column:

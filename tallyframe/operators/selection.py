@@ -14,7 +14,7 @@ LABEL_FAMILIES = (
     (("world news", "worldpost", "the worldpost", "international"), ("world",)),
 )
 #: Quantisations of weight files, best first; and marks of projector files.
-QUANTISATIONS = ("q4_k_m", "q4_k_s", "q4_0", "q5_k_m", "q5_k_s", "q5_0", "q8_0", "q6_k", "q3_k_m", "q2_k", "f16", "bf16", "f32")
+QUANTISATIONS = ("q4_k_m", "q5_k_m", "q4_k_s", "q5_0", "q4_0", "q3_k_m", "q6_k", "q8_0", "f16", "bf16")
 PROJECTORS = ("mmproj", "projector")
 #: Error lines that a log is searched for; the last of the last kind decides.
 ERRORS = ("HTTPStatusError: Client error", "OSError: ", "ValueError: ", "RuntimeError: ", "TypeError: ", "KeyError: ", "ImportError: ", "ModuleNotFoundError: ")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions.text import normalize_entity_type
+
 
 def bio_spans(tokens: DataFrame, key: str = "seq", pos: str = "pos", label: str = "label", token: str = "token") -> DataFrame:
     """(key, type, first_pos, last_pos, text): runs of B-/I- labels. O closes; B or another type opens; a label without
     a prefix opens too."""
-    has = F.col(label).rlike("^[BI]-")
-    prefix = F.when(F.col(label) == "O", "O").when(has, F.left(label, F.lit(1))).otherwise("B")
-    kind = F.when(has, F.substring(label, 3, 10**6)).otherwise(F.col(label))
+    has = F.col(label).rlike("^[BIbi]-")
+    prefix = F.when(F.upper(label) == "O", "O").when(has, F.upper(F.left(label, F.lit(1)))).otherwise("B")
+    kind = normalize_entity_type(F.when(has, F.substring(label, 3, 10**6)).otherwise(F.col(label)))
     w = Window.partitionBy(key).orderBy(pos)
     rows = tokens.withColumns({"_p": prefix, "_t": kind}).withColumns({"_lp": F.lag("_p").over(w), "_lt": F.lag("_t").over(w)})
     opens = (F.col("_p") == "B") | F.col("_lp").isNull() | (F.col("_lp") == "O") | (F.col("_lt") != F.col("_t"))

@@ -219,10 +219,10 @@ def pair_protocols(spark, sf_dir):
 
 # --- comparison ----------------------------------------------------------------------------------------------------
 
-METHODS = {"method1": ("A_merged", "B_method1_only"), "method2": ("A_merged", "C_method2_only"), "baseline": ("D_baseline",)}
+METHODS = {"method1": ("B_method1_only",), "method2": ("C_method2_only",), "baseline": ("D_baseline",)}
 POOL = O + """, g AS (SELECT dataset, model, "condition" || '#' || "rank" AS c, "condition" AS cn, "rank" AS ck, CASE WHEN outcome = 'success' THEN score END AS score, metric, ordinal FROM o),
 x AS (SELECT g.*, k.k AS max_rank FROM g CROSS JOIN (VALUES (1), (5)) AS k(k)),
-i AS (SELECT dataset, model, ordinal, metric, max_rank, ck <= max_rank AND cn IN ('A_merged', 'B_method1_only') AS i1, ck <= max_rank AND cn IN ('A_merged', 'C_method2_only') AS i2, ck <= max_rank AND cn = 'D_baseline' AS i3, score FROM x),
+i AS (SELECT dataset, model, ordinal, metric, max_rank, ck <= max_rank AND cn = 'B_method1_only' AS i1, ck <= max_rank AND cn = 'C_method2_only' AS i2, ck <= max_rank AND cn = 'D_baseline' AS i3, score FROM x),
 b AS (SELECT dataset, max_rank, {cols} FROM i GROUP BY dataset, max_rank)"""
 _cols = ", ".join(
     f"arg_max(model, struct_pack(s := score, o := -ordinal)) FILTER (WHERE i{n} AND score IS NOT NULL) AS {m}_model, max(score) FILTER (WHERE i{n}) AS {m}_score, "
@@ -356,7 +356,7 @@ def recovery_routes(spark, sf_dir):
     return routed(spark, sf_dir).select("ordinal", "category", "route")
 
 
-@query(ROUTES + """, l AS (SELECT *, CASE WHEN category NOT IN ('incompatible', 'stale_adapter') THEN 'deferred' WHEN route = 'blocked_remote_code' THEN 'blocked' WHEN route IN ('explicit_source_override', 'active_coverage_run') THEN 'explicit' WHEN route = 'generic_retry' THEN 'generic' ELSE 'deferred' END AS lane FROM r)
+@query(ROUTES + """, l AS (SELECT *, CASE WHEN category NOT IN ('dataset_context', 'missing_output', 'never_attempted', 'runtime_failure') THEN 'deferred' WHEN route = 'blocked_remote_code' THEN 'blocked' WHEN route IN ('explicit_source_override', 'active_coverage_run') THEN 'explicit' WHEN route = 'generic_retry' THEN 'generic' ELSE 'deferred' END AS lane FROM r)
 SELECT ordinal, lane, (row_number() OVER (PARTITION BY lane ORDER BY ordinal) - 1)::INT AS task_index FROM l""")
 def salvage_lanes(spark, sf_dir):
     rows = routed(spark, sf_dir).withColumn("lane", recovery.salvage_lane(F.col("category"), F.col("route")))

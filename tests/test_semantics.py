@@ -159,7 +159,7 @@ def test_recovery_tables(spark):
     c = lambda s, r: recovery.failure_category(lit(s), lit(r))
     assert one(spark, c("untried", ""), c("unsupported", "x no direct adapter exists y"), c("unsupported", None), c("failed", "")) == ["never_attempted", "stale_adapter", "incompatible", "runtime_failure"]
     lane = lambda k, r: recovery.salvage_lane(lit(k), lit(r))
-    assert one(spark, lane("incompatible", "generic_retry"), lane("runtime_failure", "generic_retry"), lane("stale_adapter", "blocked_remote_code")) == ["generic", "deferred", "blocked"]
+    assert one(spark, lane("runtime_failure", "generic_retry"), lane("incompatible", "generic_retry"), lane("missing_output", "blocked_remote_code"), lane("never_attempted", "active_coverage_run")) == ["generic", "deferred", "blocked", "explicit"]
 
 
 def test_dialogue(spark):
