@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.text import normalize_entity_type
@@ -26,3 +26,31 @@ def overlapping(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """tokens (key, left, right) that overlap spans (key, start, end): an equi join on the key with the range condition."""
     hit = (F.col("left") < F.col("end")) & (F.col("right") > F.col("start")) & (F.col("right") > F.col("left"))
     return tokens.join(spans, key).where(hit)
+
+
+def answer_or_null(windows: DataFrame, key: str, max_tokens: int = 64) -> DataFrame:
+    """windows (key, window, start, end: logits): the best span over the windows of a key, the first of equals, and the
+    best null score (place 0 of both); answered only if the span's score is strictly greater."""
+    from tallyframe.functions.vectors import best_span
+
+    w = windows.withColumns({"_b": best_span(F.col("start"), F.col("end"), max_tokens), "_null": F.get("start", F.lit(0)) + F.get("end", F.lit(0))})
+    best = w.groupBy(key).agg(F.max(F.when(F.col("_b").isNotNull(), F.struct(F.col("_b.score").alias("score"), (-F.col("window")).alias("w"), F.col("_b.s").alias("s"), F.col("_b.e").alias("e")))).alias("b"), F.max("_null").alias("null_score"))
+    ok = F.coalesce(F.col("b.score") > F.col("null_score"), F.lit(False))
+    return best.select(key, F.col("b.score").alias("span_score"), "null_score", F.when(ok, -F.col("b.w")).alias("window"), F.when(ok, F.col("b.s")).alias("s"), F.when(ok, F.col("b.e")).alias("e"))
+
+
+def piece_offsets(text: Column, pieces: Column) -> Column:
+    """array<struct<s, e>> of pieces found one after another in a text, case-folded; (0, 0) for one that isn't there."""
+    low = F.lower(text)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+
+    def step(acc: Column, raw: Column) -> Column:
+        p = F.lower(F.trim(raw))
+        rest = F.substring(low, acc["at"] + 1, 2**30)
+        k = F.when(p == "", 0).otherwise(F.instr(rest, p))
+        s = (acc["at"] + k - 1).cast("int")
+        e = (s + F.length(p)).cast("int")
+        hit = F.struct(F.when(k > 0, s).otherwise(0).alias("s"), F.when(k > 0, e).otherwise(0).alias("e"))
+        return F.struct(F.when(k > 0, e).otherwise(acc["at"]).cast("int").alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
+
+    return F.aggregate(pieces, start, step)["out"]

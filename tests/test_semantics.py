@@ -222,3 +222,37 @@ def test_paths_and_values(spark):
     assert df.select(text.path_value("turns[].utterance"), text.path_value("turns.acts", 1)).collect()[0][:] == (["u1"], ["i", "j"])
     assert one(spark, text.prompt_value(F.array(F.lit("a"), lit(None), F.lit("b")), "array<string>"), text.prompt_value(lit(None), "string"), text.prompt_value(F.struct(F.lit(1).alias("x")), "struct<x:int>")) == ["a\nb", "", '{"x":1}']
     assert one(spark, text.tagged_prompt(lit("Q "), ["a", "b"]))[0].startswith('Choose one of: "a", "b".') and parse_choices("['x', 1]") == ["x", "1"] and parse_choices('{"text": ["t"]}') == ["t"] and parse_choices("no") is None
+
+
+def test_planning_tables(spark):
+    from tallyframe.operators import planning as pl
+
+    kinds = [("x-gguf", "auto", "", [], False, False, False, "gguf"), ("m", "gguf", "", [], False, False, False, "gguf"), ("m", "auto", "voxtral", [], False, False, False, "voxtral"), ("m", "auto", "z", ["XChatModel"], True, True, False, "vlm_chat"),
+             ("m", "auto", "llava", ["LlavaForConditionalGeneration"], True, True, False, "vlm_processor"), ("m", "causal_lm", "clip", ["CLIPModel"], False, False, False, "causal_lm"), ("m", "auto", "clip", [], False, False, False, "zero_shot_image"),
+             ("sentence-t5-x", "auto", "t5", ["T5ForSequenceClassification"], False, False, True, "sentence_encoder"), ("m", "auto", "t5", ["T5Model"], False, False, True, "seq2seq_lm"), ("m", "auto", "gpt", [], False, False, False, "causal_lm")]
+    df = spark.createDataFrame(kinds, "name string, explicit string, config string, architectures array<string>, vision boolean, text_part boolean, encoder_decoder boolean, want string")
+    assert all(r[0] == r.want for r in df.select(pl.loaded_model_type().alias("kind"), "want").collect())
+    p = lambda t, k, n: pl.default_protocol(F.lit(t), F.lit(k), F.lit(n))
+    assert one(spark, p("qa", "extractive_qa", False), p("x", "extractive_qa", True), p("multiple_choice", "causal_lm", False), p("multilabel_classification", "causal_lm", True), p("x", "masked_lm", False), p("x", "sequence_classifier", True), p("x", "causal_lm", True), p("x", "gguf", False)) == [
+        "extractive_qa", "unsupported", "tagged_multiple_choice_accuracy", "tagged_set_generation", "unsupported", "unsupported", "tagged_label_generation_accuracy", "tagged_answer_exact_match"]
+    m = lambda *kv: F.create_map(*[F.lit(x) for x in kv])
+    cols = lambda *c: F.array(*[F.lit(x) for x in c])
+    t = lambda task, lm, c: pl.refined_task(F.lit(task), lm, c, F.lit("image"), F.lit("choices"))
+    assert one(spark, t("generation", m("0", "False", "1", "true"), cols("passage", "question")), t("generation", m("0", "a", "1", "b"), cols("text")), t("generation", m("0", "a", "1", "b"), cols("image")), t("qa", m("0", "a", "1", "b"), cols("text"))) == ["boolean_qa", "classification", "generation", "qa"]
+    assert len(one(spark, pl.next_steps(cols("invalid_outputs", "weak_target_label"), F.lit("boolean_qa")))[0]) == 3 and len(one(spark, pl.next_steps(cols("none"), F.lit("qa")))[0]) == 1
+    rows = [("k", False, "", "causal_lm", True, "", [], [], "missing_plan"), ("k", True, "Gated repo x", "causal_lm", True, "", [], [], "gated_or_inaccessible_model"), ("k", True, None, "causal_lm", False, "", [], [], "known_dataset_contract"), ("d", True, "", "causal_lm", False, "", [], [], "no_validated_gold_contract"),
+            ("q", True, "", "extractive_qa", True, "", [], [], "extractive_qa_adapter"), ("v", True, "", "vlm_chat", True, "", [], [], "standard_vlm_adapter"), ("d", True, "", "sequence_classifier", True, "multilabel_classification", ["entailment"], [], "zero_shot_nli_multilabel_adapter"),
+            ("d", True, "", "causal_lm", True, "", [], ["GptForCausalLM"], "causal_architecture_routing"), ("d", True, "", "causal_lm", True, "", [], [], "still_incompatible")]
+    df = spark.createDataFrame(rows, "dataset string, has_plan boolean, notes string, kind string, has_gold boolean, task string, labels array<string>, architectures array<string>, want string")
+    got = pl.unsupported_recovery(df, ("k",), ("q",), ("v",)).collect()
+    assert all(r.recovery_reason == r.want for r in got) and sum(r.selected for r in got) == 5
+
+
+def test_answer_windows_and_offsets(spark):
+    from tallyframe.operators import sequences as sq
+
+    w = [(1, 0, [5.0, 1.0, 3.0], [1.0, 0.0, 2.0]), (1, 1, [0.0, 9.0, 0.0], [0.0, 0.0, 1.0]), (2, 0, [9.0, 0.0], [9.0, 0.0])]
+    got = {r.k: r for r in sq.answer_or_null(spark.createDataFrame(w, "k int, window int, start array<double>, end array<double>"), "k").collect()}
+    assert tuple(got[1])[1:] == (10.0, 6.0, 1, 1, 2) and got[2].window is None and got[2].span_score == got[2].null_score == 18.0
+    found = one(spark, sq.piece_offsets(lit("The cat, the dog"), F.array(*map(F.lit, [" the", "CAT", "", "bird", "the", "g"]))))[0]
+    assert [tuple(x) for x in found] == [(0, 3), (4, 7), (0, 0), (0, 0), (9, 12), (15, 16)]
