@@ -32,7 +32,7 @@ _ENTRY = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("offset", "<i8"), ("leng
 _FOOTER = "<qq8s"
 #: The dictionary's size, and the bounds of the sample that it is trained on: documents, and bytes of ids of each.
 DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_BYTES = 64 << 10, 1000, 8 << 10
-LEVEL = 1
+LEVEL = 3
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
