@@ -37,7 +37,7 @@ TILE = 2048
 #: Empty blocks that a set may have before it needs the doubled blocks: this many, and a 32nd of the blocks.
 SLACK = 3
 #: Members of a star that one task verifies against its pivot.
-STAR = 4096
+STAR = 512
 #: Rows of the broadcast filter that keeps texts of uninvolved documents out of the shuffle; a fixed bound. When all
 #: slots are taken, the filter lets everything pass, and the join behind it decides alone.
 SLOTS = 1 << 20
