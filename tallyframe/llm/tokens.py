@@ -110,10 +110,9 @@ class Encoder:
         if 2 * len(self.cache) > CACHE_PIECES:
             self.old, self.cache = self.cache, {}
         lists = [[] if o else self._keys(t) for t, o in zip(texts, odd, strict=True)]
-        missing = set().union(*lists).difference(self.cache)
-        again = missing.intersection(self.old)
-        self.cache.update((k, self.old[k]) for k in again)
-        missing -= again
+        wanted = set().union(*lists).difference(self.cache)
+        missing = wanted.difference(self.old)  # differences with a dict look up the few, intersections the many
+        self.cache.update((k, self.old[k]) for k in wanted - missing)
         if missing:
             self._learn(list(missing))
         get = self.cache.__getitem__
