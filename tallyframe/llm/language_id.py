@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import fold, prepare, table, text_column
@@ -143,16 +143,13 @@ def predict(net: Network, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
 def training_windows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, bytes]]:
     """(language, window) of at most `rows` documents that are not held out, as many of each language as there are, up
     to an equal share; sorted."""
-    known = docs.where("doc_id is not null and lang is not null and text is not null").where(fold(F.col("doc_id")) != 0)
+    known = docs.where("doc_id is not null and lang is not null").where(fold(F.col("doc_id")) != 0)
     ids = known.select("doc_id", "lang")
-    languages = sorted(r[0] for r in ids.select("lang").distinct().limit(1000).collect())
-    share = max(1, rows // max(1, len(languages)))
-    parts = [ids.where(F.col("lang") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(share) for x in languages]
-    if not parts:
-        return []
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.union(p)
+    languages = ids.select("lang").distinct().count()
+    share = max(1, rows // max(1, languages))
+    own = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # The limit is pushed below the shuffle: a task sends at most `share` ids of a language.
+    chosen = ids.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= share).limit(rows + languages)
     texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
