@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def doubles(c: Column) -> Column:
     return c.cast("array<double>")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once: an expression used inside a lambda is evaluated for every item."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -20,8 +27,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column, floor: float = 1e-8) -> Column:
     """a over its norm, the norm at least `floor`."""
-    n = F.greatest(norm(a), F.lit(floor))
-    return F.transform(a, lambda x: x / n)
+    return bind(F.greatest(norm(a), F.lit(floor)), lambda n: F.transform(a, lambda x: x / n))
 
 
 def cosine(a: Column, b: Column, floor: float = 1e-8) -> Column:
@@ -34,8 +40,7 @@ def argmax(a: Column) -> Column:
 
 
 def log_sum_exp(a: Column) -> Column:
-    top = F.array_max(a)
-    return top + F.ln(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    return bind(F.array_max(a), lambda top: top + F.ln(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - top))))
 
 
 def token_logprob(logits: Column, token: Column) -> Column:
@@ -43,8 +48,7 @@ def token_logprob(logits: Column, token: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    z = log_sum_exp(a)
-    return F.transform(a, lambda x: F.exp(x - z))
+    return bind(log_sum_exp(a), lambda z: F.transform(a, lambda x: F.exp(x - z)))
 
 
 def sigmoid_labels(logits: Column) -> Column:
@@ -62,14 +66,18 @@ def top_positions(a: Column, k: int) -> Column:
 def best_span(start: Column, end: Column, max_tokens: int = 64, top: int = 20) -> Column:
     """struct<score, s, e>: the best start and end of the top candidates with s <= e < s + max_tokens; the first of
     equals in the order of candidates. null without one."""
-    starts, ends = top_positions(start, top), top_positions(end, top)
+    def pick(both: Column) -> Column:
+        """Ends are in falling order, so the first that fits a start is its best."""
+
+        def of_start(s: Column, k: Column) -> Column:
+            fits = F.filter(both["ends"], lambda e: (e["i"] >= s["i"]) & (e["i"] - s["i"] + 1 <= max_tokens))
+            e = F.try_element_at(fits, F.lit(1))
+            return F.when(e.isNotNull(), F.struct((s["v"] + e["v"]).alias("score"), (-k).alias("k"), s["i"].alias("s"), e["i"].alias("e")))
 
-    def pairs(s: Column, k: Column) -> Column:
-        fits = F.filter(F.transform(ends, lambda e, j: F.struct(e.alias("x"), j.alias("j"))), lambda e: (e["x"]["i"] >= s["i"]) & (e["x"]["i"] - s["i"] + 1 <= max_tokens))
-        return F.transform(fits, lambda e: F.struct((s["v"] + e["x"]["v"]).alias("score"), (-k).alias("k"), (-e["j"]).alias("j"), s["i"].alias("s"), e["x"]["i"].alias("e")))
+        return F.array_max(F.transform(both["starts"], of_start))
 
-    best = F.array_max(F.flatten(F.transform(starts, pairs)))
-    return F.when(best.isNotNull(), F.struct(best["score"].alias("score"), best["s"].alias("s"), best["e"].alias("e")))
+    best = bind(F.struct(top_positions(start, top).alias("starts"), top_positions(end, top).alias("ends")), pick)
+    return bind(best, lambda b: F.when(b.isNotNull(), F.struct(b["score"].alias("score"), b["s"].alias("s"), b["e"].alias("e"))))
 
 
 def pad(ids: Column, length: Column, value: int = 0) -> Column:
@@ -79,10 +87,10 @@ def pad(ids: Column, length: Column, value: int = 0) -> Column:
 def mean_pool(rows: Column, mask: Column) -> Column:
     """Mean of the masked rows of array<array<double>>, at least one counted, as a unit vector."""
     kept = F.filter(F.arrays_zip(rows.alias("r"), mask.alias("m")), lambda x: x["m"] != 0)
-    n = F.greatest(F.size(kept), F.lit(1))
     zero = F.transform(F.get(rows, F.lit(0)), lambda x: F.lit(0.0))
     total = F.aggregate(kept, zero, lambda s, x: F.zip_with(s, x["r"], lambda a, b: a + b))
-    return unit(F.transform(total, lambda x: x / n))
+    mean = bind(F.greatest(F.size(kept), F.lit(1)), lambda n: F.transform(total, lambda x: x / n))
+    return bind(mean, unit)
 
 
 def head_and_tail(ids: Column, budget: int) -> Column:
