@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of characters outside [\x20\x09-\x0D].
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows and bytes of one Arrow batch that a Python stage holds at a time.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -14,8 +14,8 @@ import unicodedata
 import numpy as np
 
 #: Pieces kept by one Python worker, in two generations: when the younger is half of this, it becomes the older, and
-#: what is still used moves back. About 250 MB.
-CACHE_PIECES = 1_200_000
+#: what is still used moves back. About 200 MB.
+CACHE_PIECES = 1_000_000
 _WORDS = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 #: White space outside ASCII, and separators that some regex engines count as such: such texts are encoded whole.
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
