@@ -53,6 +53,7 @@ class Encoder:
             self.sizes[i] = len(t) - 4 * (self.drops_space and t.endswith("</w>"))
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.marks: dict[int, bytes] = {}
 
     def _each(self, pieces: list[bytes]) -> list[bytes]:
         found = self.tok.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
@@ -75,7 +76,17 @@ class Encoder:
         return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _learn(self, missing: list[bytes]) -> None:
-        """Fills the cache for keys of missing; see _keys for what a key stands for."""
+        """Fills the cache for keys of missing; see _keys for what a key stands for. A known word with a full stop or a
+        comma is that word and the mark: a letter and a mark are never in one token."""
+        if not self.marks:
+            self.marks = dict(zip(b".,", self._each([b".", b","]), strict=True))
+        rest = []
+        for k in missing:
+            if (mark := self.marks.get(k[-1] if k else 0)) and k[-2:-1].isalpha() and (word := self.cache.get(k[:-1]) or self.old.get(k[:-1])):
+                self.cache[k] = word + mark
+            else:
+                rest.append(k)
+        missing = rest
         special = b"<|" in b" ".join(missing)
         if self.drops_space:
             plain = [(k, k) for k in missing if not (special and b"<|" in k)]
