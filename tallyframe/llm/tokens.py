@@ -13,8 +13,7 @@ import unicodedata
 
 import numpy as np
 
-#: Pieces kept by one Python worker, in two generations: when the younger is half of this, it becomes the older, and
-#: what is still used moves back. About 200 MB.
+#: Pieces kept by one Python worker; when full, the cache starts again. About 200 MB.
 CACHE_PIECES = 1_000_000
 _WORDS = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 #: White space outside ASCII, and separators that some regex engines count as such: such texts are encoded whole.
@@ -52,8 +51,6 @@ class Encoder:
         for t, i in vocab.items():
             self.sizes[i] = len(t) - 4 * (self.drops_space and t.endswith("</w>"))
         self.cache: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.marks: dict[int, bytes] = {}
 
     def _each(self, pieces: list[bytes]) -> list[bytes]:
         found = self.tok.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
@@ -76,17 +73,7 @@ class Encoder:
         return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _learn(self, missing: list[bytes]) -> None:
-        """Fills the cache for keys of missing; see _keys for what a key stands for. A known word with a full stop or a
-        comma is that word and the mark: a letter and a mark are never in one token."""
-        if not self.marks:
-            self.marks = dict(zip(b".,", self._each([b".", b","]), strict=True))
-        rest = []
-        for k in missing:
-            if (mark := self.marks.get(k[-1] if k else 0)) and k[-2:-1].isalpha() and (word := self.cache.get(k[:-1]) or self.old.get(k[:-1])):
-                self.cache[k] = word + mark
-            else:
-                rest.append(k)
-        missing = rest
+        """Fills the cache for keys of missing; see _keys for what a key stands for."""
         special = b"<|" in b" ".join(missing)
         if self.drops_space:
             plain = [(k, k) for k in missing if not (special and b"<|" in k)]
@@ -118,12 +105,10 @@ class Encoder:
             odd = [False] * len(texts)
         else:
             odd = [any(x in t for x in _ODD_BYTES) and bool(_ODD.search(t)) for t in texts]
-        if 2 * len(self.cache) > CACHE_PIECES:
-            self.old, self.cache = self.cache, {}
+        if len(self.cache) > CACHE_PIECES:
+            self.cache.clear()
         lists = [[] if o else self._keys(t) for t, o in zip(texts, odd, strict=True)]
-        wanted = set().union(*lists).difference(self.cache)
-        missing = wanted.difference(self.old)  # differences with a dict look up the few, intersections the many
-        self.cache.update((k, self.old[k]) for k in wanted - missing)
+        missing = set().union(*lists).difference(self.cache)
         if missing:
             self._learn(list(missing))
         get = self.cache.__getitem__
