@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyframe.llm import mixing, ngram_join, packing, pii, quality_rules
 from tallyframe.llm.common import table, written
 
+#: Near copies: words of a shingle, and the Jaccard similarity from which on two documents are one.
+SHINGLE, SIMILARITY = 5, 0.8
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_per_component(docs)
+    return ngram_join.one_per_component(docs, SHINGLE, SIMILARITY)
 
 
 def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

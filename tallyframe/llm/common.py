@@ -50,6 +50,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a DataFrame that written() returned, which must not be read any more."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, wherever the driver found it."""
     sc = spark.sparkContext

@@ -1,10 +1,11 @@
 """N-gram Jaccard join through a count-vector R-tree.
 
-A document's set holds its distinct 4-word shingles. Shingle hashes fall into groups; a document's group counts are a
-point, and two sets overlap in at most the sum of the coordinate minima of their points. The index has two levels:
+A document's set holds its distinct word shingles; sets link at a Jaccard similarity of p / q or more (`Link`). Shingle
+hashes fall into groups; a document's group counts are a point, and two sets overlap in at most the sum of the coordinate
+minima of their points. The index has two levels:
 
-* Tiles, the distributed upper level. For two linked sets of n1 and n2 shingles, at most r = 3 (n1 + n2) / 37 shingles
-  are in only one of them. Cut the hash range into r + 1 + s blocks: at least s + 1 blocks are equal in both. So every
+* Tiles, the distributed upper level. For two linked sets of n1 and n2 shingles, at most r = (q - p) (n1 + n2) / (q + p)
+  shingles are in only one of them. Cut the hash range into r + 1 + s blocks: at least s + 1 blocks are equal in both. So every
   document goes to the tile of each of its non-empty blocks, and linked documents with at most s empty blocks meet in
   some tile. A document with more uses twice as many blocks as well, and there its empty ones too if they are many.
 * A bulk-loaded R-tree over the group-count points of a tile's members. A probe descends into nodes whose summed
@@ -19,15 +20,19 @@ is lost, and links inside a component need not be listed.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from fractions import Fraction
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import mix, prepare, shared_dir, signed, table, text_column, word_hashes, written
+from tallyframe.llm.common import discard, mix, prepare, shared_dir, signed, table, text_column, word_hashes, written
 
-SHINGLE = 4
+#: Words of a shingle, and the Jaccard similarity of a link, of op10; other callers give their own.
+SHINGLE, SIMILARITY = 4, 0.85
 #: Coordinates of a point: shingle hashes fall into this many groups.
 GROUPS = 128
 #: Entries of an R-tree node.
@@ -45,22 +50,66 @@ _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+@dataclass(frozen=True)
+class Link:
+    """What links two documents: sets of shingles of so many words, at a Jaccard similarity of at least p / q."""
+
+    shingle: int = SHINGLE
+    similarity: float = SIMILARITY
+
+    def __post_init__(self):
+        if self.shingle < 1 or not 0 < self.similarity <= 1:
+            raise ValueError("a shingle has a word or more, and a similarity lies above 0 and is 1 at most")
+
+    @cached_property
+    def ratio(self) -> tuple[int, int]:
+        return Fraction(str(self.similarity)).limit_denominator(10000).as_integer_ratio()
+
+    @cached_property
+    def factors(self) -> np.ndarray:
+        """Odd factors of the words of a shingle."""
+        more = np.arange(len(_MULT), max(len(_MULT), self.shingle), dtype=np.uint64)
+        return np.r_[np.array(_MULT, np.uint64), mix((more + np.uint64(1)) * _MULT[0]) | np.uint64(1)]
+
+    @cached_property
+    def bands(self) -> np.ndarray:
+        """Limits of size bands; linked sets lie in one band or in neighbouring ones."""
+        (p, q), edges = self.ratio, [1]
+        while edges[-1] < 2**40:
+            edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2, edges[-1] * q // p + 1))
+        return np.array(edges, np.int64)
+
+    def differing(self, total: int) -> int:
+        """Shingles that are in only one of two linked sets, at most; total: the sum of their sizes."""
+        p, q = self.ratio
+        return (q - p) * total // (q + p)
+
+    def holds(self, both, total):
+        """Whether (at most) so many shared shingles link sets of these sizes, summed; numbers, arrays or columns."""
+        p, q = self.ratio
+        return both * (p + q) >= total * p
+
+
+#: The link of op10.
+LINK = Link()
+
+
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, link: Link = LINK) -> Iterator[np.ndarray]:
     """Each text's distinct shingle hashes, sorted. Fewer words than a shingle's make one shingle; no word, none."""
     h, cuts = word_hashes(raw, offsets)
-    n = len(h)
+    n, size, factors = len(h), link.shingle, link.factors
     grams = np.zeros(n, np.uint64)
-    if n >= SHINGLE:
-        last = n - SHINGLE + 1
+    if n >= size:
+        last = n - size + 1
         acc = np.zeros(last, np.uint64)
-        for k in range(SHINGLE):
-            acc += h[k : k + last] * _MULT[k]
+        for k in range(size):
+            acc += h[k : k + last] * factors[k]
         grams[:last] = mix(acc)
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        if hi - lo >= SHINGLE:
-            yield np.unique(grams[lo : hi - SHINGLE + 1])
+        if hi - lo >= size:
+            yield np.unique(grams[lo : hi - size + 1])
         elif hi > lo:
-            short = (h[lo:hi] * np.array(_MULT[: hi - lo], np.uint64)).sum(keepdims=True) + np.array([hi - lo], np.uint64)
+            short = (h[lo:hi] * factors[: hi - lo]).sum(keepdims=True) + np.array([hi - lo], np.uint64)
             yield mix(short ^ _EMPTY)
         else:
             yield grams[:0]
@@ -76,32 +125,23 @@ def point(s: np.ndarray) -> np.ndarray:
     return np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=GROUPS).astype("<u4")
 
 
-def _bands() -> np.ndarray:
-    edges = [1]
-    while edges[-1] < 2**40:
-        edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2))
-    return np.array(edges, np.int64)
-
-
-BANDS = _bands()
-
-
-def _families(n: int) -> list[tuple[int, int]]:
+def _families(n: int, link: Link) -> list[tuple[int, int]]:
     """(family, blocks - 1) that a set of n shingles belongs to: its band's, and those of pairs across a band's edges."""
-    k = int(np.searchsorted(BANDS, n, "right")) - 1
-    low, high = int(BANDS[k]), int(BANDS[k + 1])
-    out = [(2 * k, 6 * (high - 1) // 37)]
+    p, q = link.ratio
+    k = int(np.searchsorted(link.bands, n, "right")) - 1
+    low, high = int(link.bands[k]), int(link.bands[k + 1])
+    out = [(2 * k, link.differing(2 * (high - 1)))]
     for edge, number in ((high, 2 * k + 1), (low, 2 * k - 1)):
-        small, large = edge - 1, (edge - 1) * 100 // 85
-        if (edge == high and n * 100 >= 85 * edge) or (edge == low and n <= large):
-            out.append((number, 3 * (small + large) // 37))
+        small, large = edge - 1, (edge - 1) * q // p
+        if (edge == high and n * q >= p * edge) or (edge == low and n <= large):
+            out.append((number, link.differing(small + large)))
     return [(f, r) for f, r in out if r > 0]
 
 
-def tile_keys(s: np.ndarray) -> np.ndarray:
+def tile_keys(s: np.ndarray, link: Link = LINK) -> np.ndarray:
     """The tiles of one set."""
     out, content = [], mix(s ^ _MULT[2])
-    for family, r in _families(len(s)):
+    for family, r in _families(len(s), link):
         blocks = r + 1 + SLACK + (r + 1) // 32
         for doubled in (0, 1):
             blocks <<= doubled
@@ -123,12 +163,12 @@ _INDEX_DDL = "fp long, tile long, doc_id long, n long, point binary"
 SEEN = 1 << 20
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index(batches: Iterator[pa.RecordBatch], link: Link) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for b in batches:
         raw, offsets = text_column(b)
         ids, sizes, fps, points, tiles, owners = b.column(0), [], [], [], [], []
-        for s in shingle_sets(raw, offsets):
+        for s in shingle_sets(raw, offsets, link):
             fp = int(fingerprint(s).view(np.int64))
             sizes.append(len(s))
             fps.append(fp)
@@ -137,7 +177,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(fp)
                 if len(seen) > SEEN:
                     seen.clear()
-                tiles.append(signed(tile_keys(s)))
+                tiles.append(signed(tile_keys(s, link)))
                 owners.append(np.full(len(tiles[-1]), fp, np.int64))
         k = len(sizes)
         yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.nulls(k, pa.int64()), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(points, pa.binary())], schema=_INDEX)
@@ -200,9 +240,9 @@ def _shared_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 class CountRTree:
     """Bulk-loaded R-tree over group-count points (rows of counts) with set sizes."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, link: Link = LINK):
         # Sort-tile: by size, then by where the mass lies, so that a leaf's corner stays close to its points.
-        self.points, self.sizes = points, sizes
+        self.points, self.sizes, self.link = points, sizes, link
         wide = points.reshape(len(points), 4, -1).sum(2)
         self.order = np.lexsort((wide[:, 1], wide[:, 0], sizes * 16 // np.maximum(1, sizes.max())))
         self.levels, p, n = [], points[self.order], sizes[self.order]
@@ -218,10 +258,10 @@ class CountRTree:
         for p, n in reversed(self.levels):
             at = np.arange(len(p)) if at is None else (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
             at = at[at < len(p)]
-            at = at[bound(p[at], q) * 37 >= 17 * (n[at] + size)]
+            at = at[self.link.holds(bound(p[at], q), n[at] + size)]
         at = np.arange(len(self.leaf_points)) if at is None else (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
         at = at[at < len(self.leaf_points)]
-        return self.order[at[bound(self.leaf_points[at], q) * 37 >= 17 * (self.leaf_sizes[at] + size)]]
+        return self.order[at[self.link.holds(bound(self.leaf_points[at], q), self.leaf_sizes[at] + size)]]
 
 
 def bound(points: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -269,7 +309,7 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=_PAIRS)
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stars(batches: Iterator[pa.RecordBatch], link: Link) -> Iterator[pa.RecordBatch]:
     """Rows (tile, chunk, node, n, point): each member with the first pivot of its tile chunk that the bound leaves."""
     a, b, held = [], [], 0
     for (_, _, node, n, points), lo, hi in _groups(batches, 2):
@@ -278,9 +318,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pivot, left = left[0], left[1:]
             if len(left) > 4 * FANOUT:
                 hit = np.zeros(len(left), bool)
-                hit[CountRTree(points[left], n[left]).probe(points[pivot], n[pivot])] = True
+                hit[CountRTree(points[left], n[left], link).probe(points[pivot], n[pivot])] = True
             else:
-                hit = bound(points[left], points[pivot]) * 37 >= 17 * (n[left] + n[pivot])
+                hit = link.holds(bound(points[left], points[pivot]), n[left] + n[pivot])
             if hit.any():
                 b.append(node[left[hit]])
                 a.append(np.full(len(b[-1]), node[pivot]))
@@ -293,7 +333,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(a, b)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], link: Link) -> Iterator[pa.RecordBatch]:
     """Rows (tile, i, j, chunk, node, component, n, point): pairs of different components that the bound leaves, of the
     chunks i and j of a tile."""
     a, b, held = [], [], 0
@@ -302,7 +342,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = rows[chunk[lo:hi] == ci[lo]], rows[chunk[lo:hi] == cj[lo]]
         if not len(left) or not len(right):
             continue
-        tree = CountRTree(points[right], n[right])
+        tree = CountRTree(points[right], n[right], link)
         for i in left:
             hit = right[tree.probe(points[i], n[i])]
             hit = hit[comp[hit] != comp[i]]
@@ -319,7 +359,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(a, b)
 
 
-def _star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _star_links(batches: Iterator[pa.RecordBatch], link: Link) -> Iterator[pa.RecordBatch]:
     """Rows (star, salt, member, node, shingles), a star's pivot first: the members that link with their pivot."""
     star, pivot = None, None
     for b in batches:
@@ -332,7 +372,7 @@ def _star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 star, pivot = stars[i], s.copy()
             elif star == stars[i] and len(pivot) and len(s):
                 at = np.minimum(np.searchsorted(pivot, s), len(pivot) - 1)
-                if 37 * int((pivot[at] == s).sum()) >= 17 * (len(pivot) + len(s)):
+                if link.holds(int((pivot[at] == s).sum()), len(pivot) + len(s)):
                     out.append((star, nodes[i]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=_PAIRS)
@@ -346,7 +386,7 @@ def _with_text(docs: DataFrame, roles: DataFrame) -> DataFrame:
     return near.join(roles, near["doc_id"] == roles["node"])
 
 
-def _star_verified(stars: DataFrame, docs: DataFrame) -> DataFrame:
+def _star_verified(stars: DataFrame, docs: DataFrame, link: Link) -> DataFrame:
     """Of the pairs (a, b) with one a for each b, those whose sets link. Each set is moved once; a large star is salted,
     and its pivot copied to every salt."""
     sized = stars.groupBy("a").agg(F.count(F.lit(1)).alias("k")).withColumn("salts", (F.col("k") / STAR).cast("long") + 1)
@@ -356,33 +396,60 @@ def _star_verified(stars: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], _set_column(b)], names=["star", "salt", "member", "node", "shingles"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], _set_column(b, link)], names=["star", "salt", "member", "node", "shingles"])
 
     rows = _with_text(docs, roles).select("star", "salt", "member", "node", "text")
     sets = rows.mapInArrow(run, "star long, salt long, member int, node long, shingles array<long>")
-    return sets.repartition("star", "salt").sortWithinPartitions("star", "salt", "member").mapInArrow(_star_links, "a long, b long").distinct()
+    return sets.repartition("star", "salt").sortWithinPartitions("star", "salt", "member").mapInArrow(partial(_star_links, link=link), "a long, b long").distinct()
 
 
-def _set_column(b: pa.RecordBatch) -> pa.ListArray:
-    sets = [signed(s) for s in shingle_sets(*text_column(b))]
+def _set_column(b: pa.RecordBatch, link: Link) -> pa.ListArray:
+    sets = [signed(s) for s in shingle_sets(*text_column(b), link)]
     values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), values)
 
 
-def _pair_verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those whose sets link."""
+def _pair_verified(pairs: DataFrame, docs: DataFrame, link: Link) -> DataFrame:
+    """Of the pairs (a, b), those whose sets link. Sketches, a tenth of the sets, pass over most of the others first, so
+    that few pairs carry whole sets."""
     pairs = written(pairs.distinct(), "ngram-pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _set_column(b)], names=["node", "shingles"])
+            col = _set_column(b, link)
+            cuts, values = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            sketches = [sketch(values[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sketches, pa.binary()), col], names=["node", "sketch", "shingles"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = pa.array([may_link(x, y, link) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in (0, 1)], schema=_PAIRS)
 
-    texts = _with_text(docs, nodes).select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    texts = _with_text(docs, nodes).select("node", "text").mapInArrow(run, "node long, sketch binary, shingles array<long>")
     sets = written(texts.dropDuplicates(["node"]), "ngram-sets")
+    one, two = (sets.select(F.col("node").alias(k), F.col("sketch").alias(f"k{k}")) for k in "ab")
+    pairs = written(pairs.join(one, "a").join(two, "b").select("a", "b", "ka", "kb").mapInArrow(near, "a long, b long"), "ngram-pairs")
     one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(37 * both >= 17 * (F.size("sa") + F.size("sb"))).select("a", "b")
+    both, total = F.size(F.array_intersect("sa", "sb")).cast("long"), (F.size("sa") + F.size("sb")).cast("long")
+    return pairs.join(one, "a").join(two, "b").where(link.holds(both, total)).select("a", "b")
+
+
+def sketch(s: np.ndarray) -> bytes | None:
+    """Counts of a set's hashes in at least half as many equal ranges, a power of two; None where a byte cannot hold one."""
+    bits = max(0, len(s) - 1).bit_length() - 1
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if bits > 0 else np.array([len(s)])
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def may_link(x: bytes | None, y: bytes | None, link: Link) -> bool:
+    """False only for sets that do not link: two sets share no more than the summed minima of their counts."""
+    if x is None or y is None:
+        return True
+    a, b = (np.frombuffer(k, np.uint8).astype(np.int64) for k in (x, y))
+    n = min(len(a), len(b))
+    return bool(link.holds(np.minimum(a.reshape(n, -1).sum(1), b.reshape(n, -1).sum(1)).sum(), a.sum() + b.sum()))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -400,32 +467,34 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of documents (doc_id, text): links at a Jaccard similarity of 0.85 of 4-word
-    shingle sets. A null or empty text has an empty set and links with nothing; equal sets always link. A null doc_id
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of documents (doc_id, text): links at this Jaccard similarity of the sets of
+    shingles of so many words. A null or empty text has an empty set and links with nothing; equal sets always link. A null doc_id
     gets a null component. Rows that repeat a doc_id are all returned, and count as one document. Other columns are
     ignored."""
     spark: SparkSession = docs.sparkSession
+    link = Link(shingle, similarity)
     prepare(spark)
     shared_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    index = written(docs.mapInArrow(_index, _INDEX_DDL), "ngram-index")
-    sets = index.where("tile is null")
+    index = written(docs.mapInArrow(partial(_index, link=link), _INDEX_DDL), "ngram-index")
+    sets = written(index.where("tile is null"), "ngram-counts")
     # One node for all documents of equal sets, named by the smallest doc_id.
     nodes = written(sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("point").alias("point")), "ngram-nodes")
     shared = index.where("tile is not null").select("tile", "fp").repartition("tile").sortWithinPartitions("tile", "fp").mapInArrow(_shared_tiles, _TILES_DDL)
     tiles = written(shared.distinct().join(nodes.select("fp", "node"), "fp").select("tile", "chunk", "node"), "ngram-tiles")
+    discard(index)  # the largest table
     placed = tiles.join(nodes.select("node", "n", "point"), "node")
-    stars = placed.select("tile", "chunk", "node", "n", "point").repartition("tile", "chunk").sortWithinPartitions("tile", "chunk", "node").mapInArrow(_stars, "a long, b long")
+    stars = placed.select("tile", "chunk", "node", "n", "point").repartition("tile", "chunk").sortWithinPartitions("tile", "chunk", "node").mapInArrow(partial(_stars, link=link), "a long, b long")
     stars = written(stars.distinct(), "ngram-stars")
-    edges = written(_star_verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), docs), "ngram-links")
+    edges = written(_star_verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), docs, link), "ngram-links")
     found = components(edges) if edges.head(1) else spark.createDataFrame([], "node long, component long")
     ends = stars
     for k in "ab":
         ends = ends.join(found.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")), k, "left")
     apart = written(ends.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "ngram-apart")
     if apart.head(1):
-        edges = edges.unionByName(written(_pair_verified(apart, docs), "ngram-links"))
+        edges = edges.unionByName(written(_pair_verified(apart, docs, link), "ngram-links"))
         found = components(edges) if edges.head(1) else found
     labelled = tiles.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), (F.max("chunk") + 1).alias("chunks")).where("lo <> hi").select("tile", "chunks")
@@ -433,8 +502,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     if open_tiles.head(1):
         grid = open_tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         grid = grid.select("tile", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component", "n", "point")
-        rest = grid.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "node").mapInArrow(_across, "a long, b long")
-        more = written(_pair_verified(rest, docs), "ngram-links")
+        rest = grid.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "node").mapInArrow(partial(_across, link=link), "a long, b long")
+        more = written(_pair_verified(rest, docs, link), "ngram-links")
         if more.head(1):
             found = components(edges.union(more))
     member = sets.join(nodes.select("fp", "node"), "fp", "left").join(found, "node", "left")
@@ -442,9 +511,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return member.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def one_per_component(docs: DataFrame) -> DataFrame:
+def one_per_component(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents with one of each group of linked ones: that with the smallest doc_id. Rows of a null doc_id stay."""
-    keep = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    keep = jaccard_components(docs, shingle, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     unnamed = docs.where(docs["doc_id"].isNull())
     named = docs.where(docs["doc_id"].isNotNull())
     named = named.join(keep, named["doc_id"].cast("long") == keep["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
@@ -452,7 +521,7 @@ def one_per_component(docs: DataFrame) -> DataFrame:
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents"), 4, 0.85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_ngram_jaccard": op10_ngram_jaccard}

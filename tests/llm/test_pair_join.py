@@ -1,5 +1,6 @@
 """n-gram join: against brute force, and its exactness arguments."""
 
+import itertools
 import random
 import re
 
@@ -146,3 +147,53 @@ def test_oracle(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     assert sorted(con.execute(nj.SQL["op10_ngram_jaccard"]).fetchall()) == sorted((r.doc_id, r.n_shingles, r.component_id) for r in nj.op10_ngram_jaccard(spark, sf).collect())
+
+
+def other_brute(rows, shingle, percent):
+    """brute() with a shingle and a similarity of its own."""
+    cut = {i: words(t) for i, t in rows}
+    sets = {i: {tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)} if w else set() for i, w in cut.items()}
+    comp = {i: {i} for i in sets}
+    for i, j in itertools.combinations(sorted(sets), 2):
+        a, b = sets[i], sets[j]
+        if a and b and 100 * len(a & b) >= percent * len(a | b) and comp[i] is not comp[j]:
+            comp[i] |= comp[j]
+            for k in comp[j]:
+                comp[k] = comp[i]
+    return {i: (len(sets[i]), min(comp[i])) for i in sets}
+
+
+@pytest.mark.parametrize(("seed", "shingle", "percent"), [(5, 5, 80), (6, 5, 80), (7, 3, 60), (8, 9, 95)])
+def test_other_links(make, seed, shingle, percent):
+    rows = corpus(seed, 150, 90)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.jaccard_components(make(rows), shingle, percent / 100).collect()}
+    assert got == other_brute(rows, shingle, percent)
+
+
+@pytest.mark.parametrize("percent", [50, 60, 75, 80, 85, 95])
+def test_linked_sets_share_a_tile_at_any_similarity(percent):
+    rng, link, seen = np.random.default_rng(percent), nj.Link(5, percent / 100), 0
+    for n in [2, 3, 4, 5, 6, 8, 9, 12, 13, 18, 19, 27, 28, 40, 61, 90, 300, 2000]:
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+            less, more = rng.integers(0, n * (100 - percent) // 100 + 1, 2) * rng.integers(0, 2, 2)
+            b = np.union1d(np.delete(a, rng.choice(n, min(less, n - 1), replace=False)), rng.integers(0, 2**63, more, dtype=np.uint64))
+            inter = len(np.intersect1d(a, b))
+            if 100 * inter >= percent * (len(a) + len(b) - inter) and len(a) + len(b) > 2 * inter:
+                seen += 1
+                assert np.intersect1d(nj.tile_keys(a, link), nj.tile_keys(b, link)).size, (n, len(a), len(b), inter)
+    assert seen > 100
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sketches_pass_over_no_link(percent):
+    rng, link, dropped = np.random.default_rng(percent), nj.Link(5, percent / 100), 0
+    for n in [1, 2, 3, 5, 9, 33, 130, 1000, 5000]:
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+            b = np.union1d(np.delete(a, rng.choice(n, rng.integers(0, n), replace=False)), rng.integers(0, 2**63, rng.integers(0, n), dtype=np.uint64))
+            kept = nj.may_link(nj.sketch(a), nj.sketch(b), link)
+            assert kept or not link.holds(len(np.intersect1d(a, b)), len(a) + len(b))
+            dropped += not kept
+    assert dropped > 100
+    assert nj.sketch(np.arange(1000, dtype=np.uint64)) is None and nj.may_link(None, b"1", link)

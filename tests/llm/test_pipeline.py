@@ -43,6 +43,21 @@ def test_run(spark):
     assert {r.sequence_id for r in rows} == set(range(max(r.sequence_id for r in rows) + 1)) and sum(r.length for r in rows) > 2048
 
 
+def test_near_copies_of_five_words(spark, make):
+    """Against a brute force on five words and 0.8; one changed word in 45 to 49 lies below 0.85 on four words."""
+    import random
+
+    from test_pair_join import brute, other_brute
+
+    rng, rows = random.Random(9), []
+    for i in range(40):
+        w = [f"v{rng.randrange(5000)}" for _ in range(rng.randrange(44, 60))]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:20] + ["changed"] + w[21:]))]
+    want = sorted(i for i, (_, c) in other_brute(rows, 5, 80).items() if i == c)
+    assert 40 < len(want) < len([i for i, (_, c) in brute(rows).items() if i == c])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, make(rows), SF).collect()) == want
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_awkward(spark, make, awkward, k):
     name, stage = corpus_pipeline.STAGES[k]
