@@ -6,7 +6,9 @@ the key and the kind alone, so equal values stay linked across documents, and th
 
 Kinds: card (13 to 19 digits, Luhn), iban (mod 97), ssn, phone (+ and country code, or ten digits as (ddd) ddd-dddd),
 ipv4, date (ISO, dd.mm.yyyy, dd/mm/yyyy, 1900 to 2099), email (the part before @) and secret (a quoted hexadecimal
-credential). Numbers that fail their validation stay as they are.
+credential). Numbers that fail their validation stay as they are. Where the longest candidate at a place fails, shorter
+ones that end at a group are tried, then other kinds, and the scan goes on behind the first group: a number or word beside
+a value does not hide it.
 """
 
 from __future__ import annotations
@@ -79,34 +81,105 @@ def _refill(shape: str, chars: str, member: Callable[[str], bool] = str.isdigit)
 class Pseudonyms:
     """replace(text) -> (text, counts by kind). undo=True inverts."""
 
-    #: One scan finds all; the kind is the group's name.
-    PATTERN = re.compile(
-        r"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+\-]*(?=@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}))"""
-        r"""|(?P<secret>(?<=["'])[0-9a-f]{32,}(?=["'])|(?<=["'])[0-9A-F]{32,}(?=["']))"""
-        r"""|(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?)(?![0-9A-Za-z])"""
-        r"""|(?<![0-9A-Za-z.+])(?P<ipv4>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9A-Za-z]|\.[0-9])"""
-        r"""|(?<![0-9A-Za-z])(?P<phone>\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|\+[2-9][0-9]{0,2}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ \-]?[0-9]{2,4}){2,3}|\([0-9]{3}\)[ ]?[0-9]{3}[ .\-][0-9]{4})(?![0-9A-Za-z])"""
-        r"""|(?<![0-9A-Za-z])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?P<sep>[./])[0-9]{2}(?P=sep)[0-9]{4})(?![0-9A-Za-z]|[.\-/][0-9])"""
-        r"""|(?<![0-9A-Za-z\-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z]|-[0-9])"""
-        r"""|(?<![0-9A-Za-z])(?P<card>[0-9](?:[ \-]?[0-9]){12,18})(?![0-9A-Za-z])"""
-    )
+    #: In the order in which the kinds are tried at one place.
+    EACH = {
+        "email": re.compile(r"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+\-]*(?=@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}))"""),
+        "secret": re.compile(r"""(?P<secret>(?<=["'])[0-9a-f]{32,}(?=["'])|(?<=["'])[0-9A-F]{32,}(?=["']))"""),
+        "iban": re.compile(r"""(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?)(?![0-9A-Za-z])"""),
+        "ipv4": re.compile(r"""(?<![0-9A-Za-z.+])(?P<ipv4>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9A-Za-z]|\.[0-9])"""),
+        "phone": re.compile(r"""(?<![0-9A-Za-z])(?P<phone>\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|\+[2-9][0-9]{0,2}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ \-]?[0-9]{2,4}){2,3}|\([0-9]{3}\)[ ]?[0-9]{3}[ .\-][0-9]{4})(?![0-9A-Za-z])"""),
+        "date": re.compile(r"""(?<![0-9A-Za-z])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?P<sep>[./])[0-9]{2}(?P=sep)[0-9]{4})(?![0-9A-Za-z]|[.\-/][0-9])"""),
+        "ssn": re.compile(r"""(?<![0-9A-Za-z\-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z]|-[0-9])"""),
+        "card": re.compile(r"""(?<![0-9A-Za-z])(?P<card>[0-9](?:[ \-]?[0-9]){12,18})(?![0-9A-Za-z])"""),
+    }
+    #: One scan finds the places.
+    PATTERN = re.compile("|".join(p.pattern for p in EACH.values()))
     NEEDS = re.compile("[0-9@]")
+    #: Kinds of varying length, and the most characters that they have.
+    VARYING, LONGEST = ("iban", "phone", "card"), 64
+    GROUP = re.compile("[^0-9A-Za-z]*[0-9A-Za-z]+")
+    #: Steps of a walk, at most: only long runs of short numbers come near. A value is replaced in any case, but behind a
+    #: walk that was given up undoing may meet other values.
+    WALK = 2000
 
     def __init__(self, key: str, undo: bool = False):
         self.f, self.undo = Feistel(key), undo
 
+    def _at(self, text: str, p: int) -> tuple[str | None, int, int, bool]:
+        """(kind or None, end, reach, first) of the valid value at a place: reach is the end of the longest candidate, and
+        first tells that no other candidate was tried before."""
+        reach, first = p, True
+        for kind, pattern in self.EACH.items():
+            m = pattern.match(text, p)
+            if m is None:
+                continue
+            end = m.end()
+            reach = max(reach, end)
+            while end > p:
+                if (end == m.end() or pattern.fullmatch(text, p, end)) and getattr(self, kind)(text[p:end]) is not None:
+                    return kind, end, reach, first
+                first = False
+                if kind not in self.VARYING:
+                    break
+                end = max(text.rfind(c, p, end) for c in " -.")
+        return None, p, reach, False
+
+    def _places(self, text: str) -> list[tuple[int, str | None, int, int, bool]]:
+        """(start, *_at) of all places that look like a value, valid or not."""
+        out, m = [], self.PATTERN.search(text)
+        while m:
+            p = m.start()
+            kind, end, reach, first = self._at(text, p)
+            out.append((p, kind, end, reach, first))
+            m = self.PATTERN.search(text, end if kind else self.GROUP.match(text, p).end())
+        return out
+
     def replace(self, text: str) -> tuple[str, dict[str, int]]:
+        """Values are replaced in order, and put back in the reverse one. Where another candidate overlaps a value, the
+        permutation is walked on until the same values are found as before, so that undoing meets them again."""
+        places = self._places(text)
+        now = [text[p:end] for p, _, end, _, _ in places]
         counts: dict[str, int] = {}
 
-        def one(m: re.Match) -> str:
-            kind = m.lastgroup if m.lastgroup != "sep" else "date"
-            new = getattr(self, kind)(m.group())
-            if new is None:
-                return m.group()
+        def same(low: int, j: int, value: str) -> bool:
+            """Whether the places low to j find what they found, with this value at j."""
+            parts, starts, at, size = [], [], max(0, places[low][0] - 1), 0
+            stop = places[j][2] + 5 * self.LONGEST
+            for i in range(low, len(places)):
+                p, kind, end = places[i][:3]
+                if p >= stop:
+                    break
+                parts += [text[at:p], value if i == j else now[i]]
+                starts.append(size + len(parts[-2]))
+                size, at = starts[-1] + len(parts[-1]), end
+            part = "".join(parts) + text[at : max(at, stop)]
+            for i in range(low, j + 1):
+                at = starts[i - low]
+                kind, end = self._at(part, at)[:2]
+                if kind != places[i][1] or end - at != len(value if i == j else now[i]):
+                    return False
+            return True
+
+        for j in range(len(places) - 1, -1, -1) if self.undo else range(len(places)):
+            p, kind, _, _, first = places[j]
+            if kind is None:
+                continue
             counts[kind] = counts.get(kind, 0) + 1
-            return new
-
-        return self.PATTERN.sub(one, text), counts
+            step, low, k = getattr(self, kind), j, j - 1
+            while k >= 0 and places[k][0] > p - self.LONGEST:
+                low = k if places[k][3] > p else low
+                k -= 1
+            start = new = step(now[j])
+            if (low < j or not first) and same(low, j, now[j]):
+                for _ in range(self.WALK):
+                    if same(low, j, new) or (new := step(new)) == start:
+                        break
+            now[j] = new
+        out, at = [], 0
+        for (p, _, end, _, _), value in zip(places, now, strict=True):
+            out += [text[at:p], value]
+            at = end
+        return "".join(out) + text[at:], counts
 
     def _digits(self, s: str, kind: str) -> str:
         return str(self.f.digits(int(s), len(s), kind, undo=self.undo)).zfill(len(s))
