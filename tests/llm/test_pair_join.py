@@ -101,15 +101,95 @@ def test_linked_sets_share_a_tile():
                 assert np.intersect1d(nj.tile_keys(a), nj.tile_keys(b)).size, (n, len(a), len(b), inter)
 
 
-def test_tree_returns_all_that_the_bound_leaves():
+@pytest.mark.parametrize("groups", [nj.GROUPS, 8 * nj.GROUPS])
+def test_tree_returns_all_that_the_bound_leaves(groups):
     rng = np.random.default_rng(1)
-    points = rng.poisson(2, (500, nj.GROUPS)).astype("<u4")
-    points[100:200] = points[:100] + rng.integers(0, 2, (100, nj.GROUPS)).astype("<u4")
+    points = rng.poisson(2, (500, groups)).astype("<u4")
+    points[100:200] = points[:100] + rng.integers(0, 2, (100, groups)).astype("<u4")
     sizes = points.sum(1).astype(np.int64)
-    tree = nj.CountRTree(points, sizes)
+    tree = nj.CountRTree(list(points), sizes)
     for i in range(0, 200, 7):
-        want = np.flatnonzero(nj.bound(points, points[i]) * 37 >= 17 * (sizes + sizes[i]))
-        assert sorted(tree.probe(points[i], sizes[i])) == want.tolist()
+        want = np.flatnonzero(np.minimum(points, points[i]).sum(1) * 37 >= 17 * (sizes + sizes[i]))
+        assert sorted(tree.probe(i)) == want.tolist()
+    for own in (points, points[90:110]):
+        n = own.sum(1).astype(np.int64)
+        got = {(min(x, y), max(x, y)) for i, j, _ in nj.CountRTree(list(own), n).pairs(lambda x, y: (x + y) % 3 > 0) for x, y in zip(i.tolist(), j.tolist())}
+        assert got == {(x, y) for x in range(len(own)) for y in range(x + 1, len(own)) if (x + y) % 3 and np.minimum(own[x], own[y]).sum() * 37 >= 17 * (n[x] + n[y])}
+
+
+def near_misses(seed, members, words, changes, other=0):
+    """One text's variants: each has `changes` words of its own, far apart, so that two of them share most shingles."""
+    rng = random.Random(seed)
+    base = [f"b{seed}_{i}" for i in range(words)]
+    rows = []
+    for k in range(members):
+        w = list(base)
+        for at in rng.sample(range(0, words, 13), changes):
+            w[at] = f"m{k}_{at}"
+        rows.append((other + 2 * k, " ".join(w)))
+    return rows
+
+
+def test_a_family_below_the_limit_emits_few_rows(spark, make, monkeypatch):
+    """Members share tiles and reach 0.80 to 0.85, but few link: pairs must not grow with the square of the family, and
+    whole sets are moved for a part of the tiles' members only."""
+    made: list[tuple[str, int]] = []
+    real = nj.written
+    monkeypatch.setattr(nj, "written", lambda df, tag: (out := real(df, tag), made.append((tag, out.count())) if tag in ("ngram-candidates", "ngram-contested", "ngram-tiles") else None)[0])
+    figures = []
+    for members in (60, 300):
+        made.clear()
+        rows = near_misses(1, members, 400, 6)
+        check(nj.jaccard_components(make(rows)), rows)
+        figures.append(dict(made))
+    small, large = figures
+    assert 0 < large["ngram-candidates"] <= 6 * max(small["ngram-candidates"], 60), figures
+    assert large.get("ngram-contested", 0) <= large["ngram-tiles"] / 2, figures
+
+
+def test_forest():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        i, j = rng.integers(0, 30, (2, 60))
+        i, j = i[i != j], j[i != j]
+        comp = rng.integers(0, 25, 30)
+        keep = nj.forest(i, j, comp, rng.permutation(len(i)).astype(np.uint64))
+
+        def groups(edges):
+            own = {int(c): {int(c)} for c in comp}
+            for x, y in edges:
+                a, b = own[int(comp[x])], own[int(comp[y])]
+                if a is not b:
+                    a |= b
+                    own.update(dict.fromkeys(b, a))
+            return {c: min(g) for c, g in own.items()}
+
+        every = groups(zip(i, j))
+        assert groups(zip(i[keep], j[keep])) == every and len(keep) == len(every) - len(set(every.values()))
+
+
+def test_hot_tiles_and_parts(make, monkeypatch):
+    """Every tile is dealt out by fingerprint, and every tile of more than four members is cut into parts."""
+    for k, v in (("TILE", 4), ("HEAT", 1), ("HOT", 2), ("STAR", 3)):
+        monkeypatch.setattr(nj, k, v)
+    rows = corpus(9, 150, 80) + near_misses(2, 30, 200, 3, 1001)
+    check(nj.jaccard_components(make(rows)), rows)
+
+
+def test_rows_of_one_document_belong_together(make):
+    one, two = "a b c d e f g h", "i j k l m n o p"
+    rows = [(5, one), (5, two), (9, one), (3, two), (7, "q r s t u")]
+    got = {(r.doc_id, r.component_id) for r in nj.jaccard_components(make(rows)).collect()}
+    assert got == {(5, 3), (9, 3), (3, 3), (7, 7)}
+    kept = nj.one_per_component(make([(5, one), (5, two), (6, "q r s t u"), (6, "q r s t u")])).collect()
+    assert sorted(r.doc_id for r in kept) == [5, 6] and kept == sorted(kept, key=kept.index)
+
+
+def test_fingerprints_tell_sets_apart():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 2**63, rng.integers(1, 9), dtype=np.uint64)) for _ in range(2000)]
+    assert len({nj.fingerprint(s) for s in sets}) == len({tuple(s.tolist()) for s in sets})
+    assert nj.fingerprint(sets[0]) == nj.fingerprint(sets[0].copy())
 
 
 def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
@@ -186,14 +266,19 @@ def test_linked_sets_share_a_tile_at_any_similarity(percent):
 
 
 @pytest.mark.parametrize("percent", [80, 85])
-def test_sketches_pass_over_no_link(percent):
+def test_the_bound_passes_over_no_link(percent):
     rng, link, dropped = np.random.default_rng(percent), nj.Link(5, percent / 100), 0
-    for n in [1, 2, 3, 5, 9, 33, 130, 1000, 5000]:
-        for _ in range(30):
+    for n in [1, 2, 3, 5, 9, 33, 130, 1000, 5000, 40000]:
+        for _ in range(30 if n < 10000 else 3):
             a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
             b = np.union1d(np.delete(a, rng.choice(n, rng.integers(0, n), replace=False)), rng.integers(0, 2**63, rng.integers(0, n), dtype=np.uint64))
-            kept = nj.may_link(nj.sketch(a), nj.sketch(b), link)
-            assert kept or not link.holds(len(np.intersect1d(a, b)), len(a) + len(b))
+            own = [nj._read_point(nj.point(x))[0] for x in (a, b)]
+            assert [int(x.sum()) for x in own] == [len(a), len(b)] and all(np.array_equal(x, nj.counts(y)) for x, y in zip(own, (a, b)))
+            kept = 1 in nj.CountRTree(own, np.array([len(a), len(b)]), link).probe(0)
+            inter = len(np.intersect1d(a, b))
+            assert nj.shared(a, b) == nj.shared(b, a) == inter
+            assert kept or not link.holds(inter, len(a) + len(b))
             dropped += not kept
     assert dropped > 100
-    assert nj.sketch(np.arange(1000, dtype=np.uint64)) is None and nj.may_link(None, b"1", link)
+    many = np.arange(1000, dtype=np.uint64)
+    assert nj.counts(many).dtype == np.uint32 and nj._read_point(nj.point(many))[0].max() == 1000
