@@ -2,13 +2,16 @@
 
 A text is cut where white space begins after a character that is none. No token of either vocabulary spans such a cut
 (their pre-tokenizers put white space only at the start of a match, or drop it), so the ids of a text are those of its
-pieces in a row. Pieces repeat; each distinct one is encoded once while it stays in the cache.
+pieces in a row. Pieces repeat; each distinct one is encoded once while it stays in the cache. A new piece of visible ASCII is
+cut by the vocabulary's own pre-tokenizer rule and given to its merge model directly, which passes over the rest of the
+library's work on offsets; all others go through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -19,6 +22,14 @@ _WORDS = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 #: White space outside ASCII, and separators that some regex engines count as such: such texts are encoded whole.
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _ODD_BYTES = (b"\xc2", b"\xe1", b"\xe2", b"\xe3", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
+_VISIBLE = re.compile(rb"\n?[!-~]+")
+#: What the pre-tokenizers of the two vocabularies match in ASCII text, by the way the library shows them.
+_RULES = {
+    "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)": re.compile(rb"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+"),
+    r"""Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])""": re.compile(rb"'(?:[sdmt]|ll|ve|re)|[a-z]+|[0-9]|[^\sa-z0-9]+"),
+}
+#: What byte-level vocabularies write for a space and a line end.
+_SPACE, _LINE = "\u0120", "\u010a"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -51,6 +62,9 @@ class Encoder:
         for t, i in vocab.items():
             self.sizes[i] = len(t) - 4 * (self.drops_space and t.endswith("</w>"))
         self.cache: dict[bytes, bytes] = {}
+        self.rule, self.model, self.parts = _RULES.get(repr(self.tok.pre_tokenizer)), self.tok.model, {}
+        if self.model.dropout or (self.drops_space and "Lowercase" not in repr(self.tok.normalizer)):
+            self.rule = None
 
     def _each(self, pieces: list[bytes]) -> list[bytes]:
         found = self.tok.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
@@ -72,8 +86,37 @@ class Encoder:
         raw, cuts = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
         return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def _merged(self, part: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _visible(self, missing: list[bytes]) -> list[bytes]:
+        """Fills the cache for keys of visible ASCII, a line end before it or not, and returns the other keys."""
+        cache, merged, left = self.cache, self._merged, []
+        lead, space = ("", b"") if self.drops_space else (_SPACE, b" ")
+        if len(self.parts) > CACHE_PIECES // 10:
+            self.parts.clear()
+        for k in missing:
+            if k.isalpha():
+                cache[k] = merged(lead + (k.lower() if self.drops_space else k).decode())
+            elif _VISIBLE.fullmatch(k) and b"<|" not in k:
+                line = k[:1] == b"\n"
+                out = [merged(_LINE)] if line and not self.drops_space else []
+                own = k.lower() if self.drops_space else k
+                for part in self.rule.findall(own[1:] if line else space + own):
+                    got = self.parts.get(part)
+                    if got is None:
+                        got = self.parts[part] = merged(part.decode().replace(" ", _SPACE))
+                    out.append(got)
+                cache[k] = b"".join(out)
+            else:
+                left.append(k)
+        return left
+
     def _learn(self, missing: list[bytes]) -> None:
         """Fills the cache for keys of missing; see _keys for what a key stands for."""
+        if self.rule:
+            missing = self._visible(missing)
         special = b"<|" in b" ".join(missing)
         if self.drops_space:
             plain = [(k, k) for k in missing if not (special and b"<|" in k)]
