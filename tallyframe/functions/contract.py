@@ -24,7 +24,7 @@ def integer(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(F.trim(c) != "", c)
+    return F.when(c.rlike(r"(?U)\S"), c)
 
 
 def measured_success(status: Column, score: Column, labeled_total: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyframe.functions.text import last_number, normalize_answer, same_number, tokens
+from tallyframe.functions.text import filled, last_number, normalize_answer, normalize_entity_type, same_number, stripped, tokens
 
 
 def exact_match(prediction: Column, reference: Column) -> Column:
@@ -21,15 +21,28 @@ def _f1(overlap: Column, n: Column, m: Column) -> Column:
 
 
 def token_f1(p: Column, r: Column) -> Column:
-    """Of two token arrays: multiset overlap. Columns, not expressions, are expected: they are used several times."""
-    count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    overlap = F.aggregate(F.array_distinct(p), F.lit(0), lambda s, x: s + F.least(count(p, x), count(r, x)))
+    """Of two token arrays: multiset overlap. Both are sorted together, each token with its side; a run of equal tokens adds
+    the smaller of its two counts, so that the work is that of a sort. Columns, not expressions, are expected: they are used
+    several times."""
+    side = lambda arr, x: F.transform(arr, lambda t: F.struct(t.alias("t"), F.lit(x).alias("s")))
+    both = F.array_sort(F.concat(side(p, 0), side(r, 1)))
+    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(0).alias("found"))
+
+    def step(a: Column, x: Column) -> Column:
+        # Within a run the tokens of p come first: n of them wait for partners.
+        same = a["t"] == x["t"]
+        n = F.when(same, a["n"]).otherwise(0)
+        hit = (x["s"] == 1) & (n > 0)
+        return F.struct(x["t"].alias("t"), (n + F.when(x["s"] == 0, 1).when(hit, -1).otherwise(0)).alias("n"), (a["found"] + hit.cast("int")).alias("found"))
+
+    overlap = F.aggregate(both, start, step, lambda a: a["found"])
     return _f1(overlap, F.size(p), F.size(r))
 
 
 def lcs_length(p: Column, r: Column) -> Column:
     """Longest common subsequence of two token arrays, row by row of the usual table: the outer fold carries a row, the
-    inner one builds the next. O(len(p) len(r)); for long texts see operators.text_metrics.rouge_l_long."""
+    inner one builds the next by copying it, so the work is cubic. For pairs of a few words; operators.text_metrics takes
+    longer ones another way."""
     zero = F.transform(F.concat(F.array(F.lit("")), r), lambda x: F.lit(0))
 
     def row(prev: Column, x: Column) -> Column:
@@ -50,12 +63,45 @@ def numeric_match(prediction: Column, reference: Column) -> Column:
     return F.coalesce(same, normalize_answer(prediction) == normalize_answer(reference)).cast("double")
 
 
+#: Arrays in arrays that canonical_set() opens.
+DEPTH = 4
+_JSON = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
+
+
 def canonical_set(c: Column) -> Column:
-    """Items of a JSON list of strings, or of a text cut at commas, semicolons and line ends; normalised, distinct."""
-    parsed = F.when(F.startswith(F.trim(c), F.lit("[")), F.from_json(F.trim(c), "array<string>", {"mode": "PERMISSIVE"}))
-    listed = F.flatten(F.transform(parsed, lambda x: F.split(F.coalesce(x, F.lit("")), r"[,;\n]+")))
-    pieces = F.coalesce(listed, F.split(F.coalesce(c, F.lit("")), r"[,;\n]+"))
-    return F.array_distinct(F.filter(F.transform(pieces, normalize_answer), lambda x: x != ""))
+    """The items of a text, normalised and distinct: of a JSON array (and of arrays in it, DEPTH deep), of a JSON object
+    (a typed mention 'type::text' for each of its text or mention, else its keys and values), else the pieces between
+    commas, semicolons and line ends. A null has none."""
+    items = F.array(F.coalesce(c.cast("string"), F.lit("")))
+    for _ in range(DEPTH):
+        items = F.flatten(F.transform(items, _opened))
+    pieces = F.flatten(F.transform(items, _pieces))
+    return F.array_distinct(F.filter(pieces, lambda x: x != ""))
+
+
+def _json(own: Column) -> Column:
+    """Whether a stripped text is one JSON value: the parsers pass over what follows a value, but not inside brackets."""
+    return F.coalesce(F.size(F.from_json(F.concat(F.lit("["), own, F.lit("]")), "array<string>", _JSON)) == 1, F.lit(False)) & F.try_parse_json(F.concat(F.lit("["), own, F.lit("]"))).isNotNull()
+
+
+def _opened(x: Column) -> Column:
+    """The items of a JSON array, nested ones as JSON text; [x] for any other text."""
+    own = stripped(x)
+    found = F.when(F.startswith(own, F.lit("[")) & _json(own), F.from_json(own, "array<string>", _JSON))
+    return F.coalesce(F.filter(found, lambda y: y.isNotNull()), F.array(x))
+
+
+def _pieces(x: Column) -> Column:
+    own = stripped(x)
+    plain = F.transform(F.split(x, r"[,;\n]+"), normalize_answer)
+    texts = F.coalesce(F.get_json_object(own, "$.text"), F.get_json_object(own, "$.mention"))
+    kind = normalize_entity_type(F.coalesce(F.get_json_object(own, "$.type"), F.lit("entity")))
+    typed = F.filter(F.transform(_opened(texts), normalize_answer), lambda t: t != "")
+    typed = F.transform(typed, lambda t: F.concat(kind, F.lit("::"), t))
+    entries = F.array_sort(F.map_entries(F.from_json(own, "map<string,string>", _JSON)))
+    whole = normalize_answer(F.array_join(F.transform(entries, lambda e: F.concat_ws(" ", e["key"], F.coalesce(e["value"], F.lit("null")))), " "))
+    is_object = F.startswith(own, F.lit("{")) & _json(own)
+    return F.when(is_object, F.when(texts.isNotNull() & (F.size(typed) > 0), typed).otherwise(F.array(whole))).otherwise(plain)
 
 
 def set_f1(p: Column, r: Column) -> Column:
@@ -66,7 +112,7 @@ def set_f1(p: Column, r: Column) -> Column:
 
 def best_of(references: Column, score: Callable[[Column], Column]) -> Column:
     """The best score over non-blank references; null if there are none."""
-    usable = F.filter(references, lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
+    usable = F.filter(references, filled)
     return F.array_max(F.transform(usable, score))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions.contract import integer
 from tallyframe.functions.metrics import exact_match
-from tallyframe.functions.text import has_gold, normalize_answer, stringify
+from tallyframe.functions.text import filled, has_gold, normalize_answer, stringify, stripped
 
 
 def scored(p: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def prediction_audit(p: DataFrame, keys: list[str]) -> DataFrame:
     text = F.coalesce("prediction", F.lit(""))
     counts = p.groupBy(*keys, text.alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"))
     out = counts.groupBy(*keys).agg(
-        F.sum("n").alias("prediction_rows"), F.coalesce(F.sum(F.when(F.trim("value") == "", F.col("n"))), F.lit(0)).alias("blank_predictions"),
+        F.sum("n").alias("prediction_rows"), F.coalesce(F.sum(F.when(~filled(F.col("value")), F.col("n"))), F.lit(0)).alias("blank_predictions"),
         F.count(F.lit(1)).alias("distinct_predictions"), F.max_by("value", F.struct("n", -F.col("first_idx"))).alias("top_prediction"), F.max("n").alias("top_count"),
     )
     share = F.col("top_count") / F.col("prediction_rows")
@@ -79,23 +80,40 @@ def severity(share: Column) -> Column:
     return F.when(share >= 0.25, "high").otherwise("medium")
 
 
-def failure_modes(p: DataFrame, keys: list[str]) -> DataFrame:
+def failure_modes(p: DataFrame, keys: list[str], results: DataFrame | None = None) -> DataFrame:
     """(keys, mode, severity, n): blank, invalid (outside the observed targets) and collapsed outputs, and weak labels
-    (three rows or more, accuracy under 0.5 and 0.2 below the model's)."""
-    s = scored(p)
-    known = s.where("target_answer is not null").groupBy(*keys).agg(F.collect_set(F.lower(F.trim("target_answer"))).alias("known"))
-    rows = s.join(known, keys, "left").withColumn("invalid", F.when(F.size("known") > 0, ~F.array_contains("known", F.lower(F.trim(F.coalesce("prediction", F.lit("none")))))).otherwise(False))
-    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(stringify(F.col("prediction")) == "<blank>").alias("blank"), F.count_if("invalid").alias("invalid"), F.avg("score").alias("score"))
-    top = histogram(p, keys, "prediction").groupBy(*keys).agg(F.max("n").alias("top"))
-    t = totals.join(top, keys)
+    (three rows or more, accuracy under 0.5 and 0.2 below the model's, or below 0.5 without a score). With results (keys,
+    status, score, labeled_total, has_summary) also evaluation_failed, missing_summary, missing_predictions and
+    unlabeled_split. Predictions are grouped once to (target, prediction) pairs; all modes are read from these."""
+    text = lambda c: F.lower(stripped(F.coalesce(c, F.lit("none"))))
+    rows = scored(p).groupBy(*keys, stringify(F.col("prediction")).alias("value"), stringify(F.col("target_answer")).alias("target"), text(F.col("prediction")).alias("p"),
+        F.when(F.col("target_answer").isNotNull(), text(F.col("target_answer"))).alias("t"), "correct").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("points"), F.count("score").alias("n_scored"))
+    known = rows.where("t is not null").select(*keys, F.col("t").alias("p"), F.lit(True).alias("known")).distinct()
+    any_known = known.select(*keys, F.lit(True).alias("targets")).distinct()
+    rows = rows.join(known, [*keys, "p"], "left").join(any_known, keys, "left")
+    invalid = F.col("targets").isNotNull() & F.col("known").isNull()
+    values = rows.groupBy(*keys, "value").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(invalid, F.col("n"))), F.lit(0)).alias("invalid"), F.sum("points").alias("points"), F.sum("n_scored").alias("n_scored"))
+    t = values.groupBy(*keys).agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("value") == "<blank>", F.col("n"))), F.lit(0)).alias("blank"), F.sum("invalid").alias("invalid"), F.max("n").alias("top"), (F.sum("points") / F.sum("n_scored")).alias("score"))
     flag = lambda cond, name, sev, n: F.when(cond, F.struct(F.lit(name).alias("mode"), sev.alias("severity"), n.cast("bigint").alias("n")))
     general = t.select(*keys, F.inline(F.filter(F.array(
         flag(F.col("blank") > 0, "blank_outputs", severity(F.col("blank") / F.col("total")), F.col("blank")),
         flag(F.col("invalid") > 0, "invalid_outputs", severity(F.col("invalid") / F.col("total")), F.col("invalid")),
         flag(F.col("top") / F.col("total") >= 0.8, "prediction_collapse", F.lit("high"), F.col("top")),
     ), lambda x: x.isNotNull())))
-    weak = per_target_accuracy(p, keys).join(totals.select(*keys, "score"), keys).where("total >= 3 and accuracy < 0.5 and accuracy + 0.2 < score")
-    return general.unionByName(weak.groupBy(*keys).agg(F.lit("weak_target_label").alias("mode"), F.lit("medium").alias("severity"), F.count(F.lit(1)).alias("n")))
+    by_target = rows.where("correct is not null").groupBy(*keys, "target").agg(F.sum("n").alias("total"), F.round(F.sum("points") / F.sum("n_scored"), 9).alias("accuracy"))
+    weak = by_target.join(t.select(*keys, "score"), keys).where("total >= 3 and accuracy < 0.5 and accuracy + 0.2 < coalesce(score, 0.5)")
+    out = general.unionByName(weak.groupBy(*keys).agg(F.lit("weak_target_label").alias("mode"), F.lit("medium").alias("severity"), F.count(F.lit(1)).alias("n")))
+    if results is None:
+        return out
+    seen = t.select(*keys, F.lit(True).alias("_seen"))
+    failed = F.coalesce(F.lower("status"), F.lit("")) != "ok"
+    state = results.join(seen, keys, "left").select(*keys, F.inline(F.filter(F.array(
+        flag(failed, "evaluation_failed", F.lit("high"), F.lit(1)),
+        flag(~failed & ~F.coalesce("has_summary", F.lit(False)), "missing_summary", F.lit("high"), F.lit(1)),
+        flag(~failed & F.col("_seen").isNull(), "missing_predictions", F.lit("high"), F.lit(1)),
+        flag(~failed & (integer(F.col("labeled_total")) == 0), "unlabeled_split", F.lit("high"), F.lit(1)),
+    ), lambda x: x.isNotNull())))
+    return out.unionByName(state)
 
 
 def failed_by_all(p: DataFrame, first: int = 20, limit: int = 20) -> DataFrame:
@@ -110,8 +128,28 @@ def failed_by_all(p: DataFrame, first: int = 20, limit: int = 20) -> DataFrame:
 def dedupe_pairs(df: DataFrame) -> DataFrame:
     """One row a pair: the representative's outcome by priority, and all conditions in order."""
     priority = F.when(F.col("outcome") == "success", 0).when(F.col("outcome") == "planned", 1).otherwise(2)
-    names = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.concat("condition", F.lit("#"), F.col("rank").cast("string")).alias("c")))), lambda x: x["c"])
-    return df.groupBy("dataset", "model").agg(F.min_by("outcome", F.struct(priority, "ordinal")).alias("outcome"), F.array_join(F.array_distinct(names), "; ").alias("conditions"), F.count(F.lit(1)).alias("n_rows"))
+    name = F.concat("condition", F.lit("#"), F.col("rank").cast("string"))
+    # A name's first ordinal before the pair's list: the list holds distinct names, whatever the number of rows.
+    own = df.groupBy("dataset", "model", name.alias("c")).agg(F.min("ordinal").alias("ordinal"), F.min_by(F.struct("outcome", "ordinal"), F.struct(priority, "ordinal")).alias("best"), F.min(F.struct(priority, "ordinal")).alias("order"), F.count(F.lit(1)).alias("n"))
+    names = F.transform(F.array_sort(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("ordinal", "c")))), lambda x: x["c"])
+    return own.groupBy("dataset", "model").agg(F.min_by("best.outcome", "order").alias("outcome"), F.array_join(names, "; ").alias("conditions"), F.sum("n").alias("n_rows"))
+
+
+def completeness(df: DataFrame, columns: list[str]) -> Column:
+    """How many of the columns are filled."""
+    return sum((filled(F.col(c)).cast("int") for c in columns), F.lit(0))
+
+
+def merge_pairs(df: DataFrame, joined: list[str], order: str = "ordinal") -> DataFrame:
+    """One row a (dataset, model): the row with the most filled columns (the first of equals), the columns in `joined` as
+    their distinct filled values over all rows, in order, with '; ' between them."""
+    columns = [c for c in df.columns if c not in ("dataset", "model", order)]
+    best = df.groupBy("dataset", "model").agg(F.max_by(F.struct(*[c for c in columns if c not in joined]), F.struct(completeness(df, columns), -F.col(order))).alias("_row"), F.count(F.lit(1)).alias("n_rows"))
+    each = df.select("dataset", "model", order, F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in joined])).alias("x")).where(filled(F.col("x.v")))
+    first = each.groupBy("dataset", "model", "x.k", "x.v").agg(F.min(order).alias("at"))
+    lists = first.groupBy("dataset", "model").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") == c, F.struct("at", "v")))), lambda x: x["v"]), "; ").alias(c) for c in joined])
+    out = best.join(lists, ["dataset", "model"], "left").select("dataset", "model", "_row.*", *[F.coalesce(c, F.lit("")).alias(c) for c in joined], "n_rows")
+    return out
 
 
 def pivot_models(pairs: DataFrame, n: int) -> DataFrame:

@@ -5,32 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions.text import filled, stripped
+
 
 def next_turns(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """(conversation, turn, history, n_history, response): flat turns; history is all earlier non-blank turns. A row needs
-    a history and a non-blank response."""
-    blank = F.coalesce(F.trim(text) == "", F.lit(True))
+    a history and a non-blank response. The result holds every prefix of a conversation, so it grows with the square of its
+    turns, and a conversation is one task's work."""
+    words = F.col(text)
     before = Window.partitionBy(conversation).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    own = turns.where(~blank).withColumn("_history", F.collect_list(F.trim(text)).over(before))
-    return own.where(F.size("_history") > 0).select(conversation, turn, F.array_join("_history", "\n").alias("history"), F.size("_history").alias("n_history"), F.trim(text).alias("response"))
+    own = turns.where(filled(words)).withColumn("_history", F.collect_list(stripped(words)).over(before))
+    return own.where(F.size("_history") > 0).select(conversation, turn, F.array_join("_history", "\n").alias("history"), F.size("_history").alias("n_history"), stripped(words).alias("response"))
 
 
 def nested_turns(dialogues: DataFrame, key: str, utterances: str = "utterances") -> DataFrame:
     """The same for array<struct<speaker, text>>; history lines are 'speaker: text'."""
-    lines = F.filter(F.col(utterances), lambda u: F.coalesce(F.trim(u["text"]) != "", F.lit(False)))
+    lines = F.filter(F.col(utterances), lambda u: filled(u["text"]))
     d = dialogues.select(key, lines.alias("_u"))
     each = d.select(key, "_u", F.posexplode("_u").alias("pos", "u")).where("pos > 0")
-    history = F.transform(F.slice("_u", 1, F.col("pos")), lambda u: F.concat(u["speaker"], F.lit(": "), F.trim(u["text"])))
-    return each.select(key, "pos", F.array_join(history, "\n").alias("history"), F.trim("u.text").alias("response"))
+    history = F.transform(F.slice("_u", 1, F.col("pos")), lambda u: F.concat(u["speaker"], F.lit(": "), stripped(u["text"])))
+    return each.select(key, "pos", F.array_join(history, "\n").alias("history"), stripped(F.col("u.text")).alias("response"))
 
 
 def seeded_turns(dialogues: DataFrame, key: str) -> DataFrame:
     """Messages with previous utterances and persona details before them."""
-    clean = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
+    clean = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: filled(x))
     d = dialogues.select(key, clean("previous_utterance").alias("_p"), clean("free_messages").alias("_m"), F.array_join(clean("personas"), "\n").alias("details"))
     each = d.select(key, "_p", "_m", "details", F.posexplode("_m").alias("pos", "response"))
     history = F.concat(F.col("_p"), F.slice("_m", 1, F.col("pos")))
-    return each.where(F.size(history) > 0).select(key, "pos", "details", F.array_join(history, "\n").alias("history"), F.trim("response").alias("response"))
+    return each.where(F.size(history) > 0).select(key, "pos", "details", F.array_join(history, "\n").alias("history"), stripped(F.col("response")).alias("response"))
 
 
 FLATTENERS = {"flat": next_turns, "nested": nested_turns, "seeded": seeded_turns}

@@ -14,13 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions.text import stripped
 from tallyframe.operators.ranking import annotate_comparability, with_outcome
 
 
 def new_candidates(handoff: DataFrame, seen: DataFrame) -> DataFrame:
     """handoff (model, ordinal) with a reason: 'duplicate_in_batch', 'already_seen' or null for a new one; case-folded."""
-    own = handoff.withColumn("_key", F.lower(F.trim("model")))
-    old = seen.select(F.lower(F.trim("model")).alias("_key")).distinct().withColumn("_seen", F.lit(True))
+    own = handoff.withColumn("_key", F.lower(stripped(F.col("model"))))
+    old = seen.select(F.lower(stripped(F.col("model"))).alias("_key")).distinct().withColumn("_seen", F.lit(True))
     n = F.row_number().over(Window.partitionBy("_key").orderBy("ordinal"))
     return own.join(old, "_key", "left").withColumn("_n", n).withColumn("reason", F.when(F.col("_seen"), "already_seen").when(F.col("_n") > 1, "duplicate_in_batch")).drop("_key", "_seen", "_n")
 
@@ -49,10 +50,39 @@ def checksum(value: object) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+def content_checksum(df: DataFrame) -> str:
+    """Of a table's rows, whatever their order: their number, and the sums of two hashes of each."""
+    row = F.to_json(F.struct(*sorted(df.columns)))
+    sums = [F.coalesce(F.sum(F.xxhash64(row, F.lit(k)).cast("decimal(38,0)")), F.lit(0)).cast("string") for k in (1, 2)]
+    return checksum([sorted(df.columns), *df.agg(F.count(F.lit(1)), *sums).collect()[0]])
+
+
+#: Why a loop ends.
+STOP_REASONS = ("no_candidates", "duplicate_candidates", "all_candidates_failed", "target_reached", "no_improvement", "reviewed_stop", "static_rounds_finished", "max_rounds_reached")
+
+
+def validate_capacity(rounds: int, candidates: int, target: int) -> None:
+    """Raises if so many rounds of so many candidates can't reach the target."""
+    if rounds < 1 or candidates < 1:
+        raise ValueError("a loop has a round and a candidate at least")
+    if rounds * candidates < target:
+        raise ValueError(f"{rounds} rounds of {candidates} candidates can't reach {target} successes")
+
+
+def reviewed_stop(df: DataFrame, target: int) -> DataFrame:
+    """df (successes, decisions array<string>, votes_needed) with stop: the target is reached, and the review has all its
+    votes and every one says 'stop'. Without votes needed, reaching the target is enough."""
+    votes = F.coalesce("decisions", F.array().cast("array<string>"))
+    unanimous = (F.size(votes) >= F.col("votes_needed")) & F.forall(votes, lambda x: F.coalesce(F.lower(x) == "stop", F.lit(False)))
+    return df.withColumn("stop", (F.col("successes") >= target) & (target > 0) & ((F.col("votes_needed") == 0) | unanimous))
+
+
 @dataclass
 class SelectionLoop:
     """A live loop. retrieve(round, seen) gives candidates (dataset, model, ordinal, ...); evaluate(candidates) gives
-    results. State is a written table in `folder`; a round whose folder holds a result of the same request is reused."""
+    results. State is a written table in `folder`. A round's folder names the checksum of its request (the number of the
+    round, the settings and the candidates); a stored result of the same request is read, not evaluated again. static
+    holds rounds whose candidates are given. After run(), reason says why it ended: one of STOP_REASONS."""
 
     retrieve: Callable[[int, DataFrame], DataFrame]
     evaluate: Callable[[DataFrame], DataFrame]
@@ -60,18 +90,47 @@ class SelectionLoop:
     rounds: int = 2
     target: int = 0
     minimum: float = 0.0
+    static: dict[int, DataFrame] | None = None
+    review: Callable[[DataFrame], bool] | None = None
+    reason: str = ""
+    reused: int = 0
+
+    def _round(self, r: int, found: DataFrame) -> DataFrame:
+        """The results of a round's candidates, evaluated or from an earlier run."""
+        spark = found.sparkSession
+        request = checksum([r, self.target, self.minimum, content_checksum(found)])
+        path = f"{self.folder}/round-{r}-{request[:16]}"
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            self.reused += 1
+        else:
+            self.evaluate(found).withColumn("round", F.lit(r)).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
 
-    def run(self, seen: DataFrame) -> DataFrame:
-        """seen (dataset, model): what was tried before. Returns all results."""
-        spark, done = seen.sparkSession, None
+    def run(self, seen: DataFrame) -> DataFrame | None:
+        """seen (dataset, model): what was tried before. Returns all results, None without a round."""
+        done, self.reason, self.reused = None, "max_rounds_reached", 0
         for r in range(1, self.rounds + 1):
-            found = new_candidates(self.retrieve(r, seen), seen).where("reason is null").drop("reason")
-            path = f"{self.folder}/round-{r}"
-            self.evaluate(found).withColumn("round", F.lit(r)).write.mode("overwrite").parquet(path)
-            new = spark.read.parquet(path)
+            if self.static and r > max(self.static):
+                self.reason = "static_rounds_finished"
+                break
+            given = self.static[r] if self.static and r in self.static else self.retrieve(r, seen)
+            if not given.head(1):
+                self.reason = "no_candidates"
+                break
+            found = new_candidates(given, seen).where("reason is null").drop("reason")
+            if not found.head(1):
+                self.reason = "duplicate_candidates"
+                break
+            new = self._round(r, found)
             done = new if done is None else done.unionByName(new)
             seen = seen.select("dataset", "model").union(new.select("dataset", "model")).distinct()
-            last = replay(done, self.target, self.minimum).where(F.col("round") == r)
-            if not new.head(1) or not last.where("stop_reason is null").head(1):
+            state = replay(done, self.target, self.minimum).where(F.col("round") == r).select("stop_reason", "successes").collect()  # a row a dataset
+            reasons = {x["stop_reason"] for x in state}
+            if not any(x["successes"] for x in state):
+                self.reason = "all_candidates_failed"
+                break
+            if None not in reasons and (reasons != {"target_reached"} or self.review is None or self.review(done)):
+                self.reason = "reviewed_stop" if self.review and reasons == {"target_reached"} else min(reasons)
                 break
         return done

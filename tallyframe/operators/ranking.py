@@ -30,14 +30,16 @@ def annotate_comparability(df: DataFrame) -> DataFrame:
     """The first success of a dataset fixes metric and protocol family; later ones that differ are non_comparable."""
     key = F.concat_ws("\u0001", F.coalesce("metric", F.lit("")), protocol_family(F.col("evaluation_protocol")))
     ok = F.col("outcome") == "success"
-    whole = Window.partitionBy("dataset").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.first(F.when(ok, key), ignorenulls=True).over(whole)
+    first = F.col("_first")
     same = ok & (key == first)
-    return df.withColumns({
+    # One row a dataset, by an aggregate with a partial step: no task sorts a dataset's rows.
+    of = df.where(ok).groupBy(F.col("dataset").alias("_of")).agg(F.min_by(key, "ordinal").alias("_first"))
+    joined = df.join(of, df["dataset"].eqNullSafe(of["_of"]), "left")
+    return joined.withColumns({
         "comparable": same,
         "outcome": F.when(ok & ~same, "non_comparable").otherwise(F.col("outcome")),
         "non_comparable_reason": F.when(same, "").when(ok, F.concat(F.lit("expected "), F.replace(first, F.lit("\u0001"), F.lit("/")), F.lit(", got "), F.replace(key, F.lit("\u0001"), F.lit("/")))).otherwise("not_a_valid_measured_result"),
-    })
+    }).drop("_of", "_first")
 
 
 def is_comparable(c: Column) -> Column:
@@ -50,7 +52,8 @@ def rank_models(df: DataFrame, limit: int) -> DataFrame:
     model; datasets without a success rank their planned rows, those without a rank last."""
     success = (F.col("outcome") == "success") & is_comparable(F.col("comparable"))
     df = df.withColumn("_tier", F.when(success, 0).when(F.col("outcome") == "planned", 1))
-    df = df.withColumn("_best", F.min("_tier").over(Window.partitionBy("dataset"))).where("_tier = _best")
+    best = df.groupBy(F.col("dataset").alias("_of")).agg(F.min("_tier").alias("_best"))
+    df = df.join(best, df["dataset"].eqNullSafe(best["_of"]) & (df["_tier"] == best["_best"])).drop("_of")
     order = [
         F.when(success, -F.col("score")),
         F.when(success, F.coalesce("rank", F.lit(0))).otherwise(F.when(F.col("rank").isNull(), 1).otherwise(0)),
@@ -67,7 +70,8 @@ def select_winners(df: DataFrame) -> DataFrame:
     success = (F.col("outcome") == "success") & is_comparable(F.col("comparable"))
     tier = F.when(success, 0).when(F.col("outcome") == "planned", 1).otherwise(2)
     order = [tier, F.when(success, -F.col("score")), F.when(~success, F.when(F.col("rank").isNull(), 1).otherwise(0)), F.when(~success, F.coalesce("rank", F.lit(0))), F.col("ordinal")]
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy("dataset").orderBy(*order))).where("_rn = 1").drop("_rn")
+    best = df.groupBy("dataset").agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+    return best.select("_row.*")
 
 
 def first_best(value: str, score: str = "score", ordinal: str = "ordinal") -> Column:
@@ -88,10 +92,10 @@ def model_gap(df: DataFrame) -> DataFrame:
 
 def round_robin(df: DataFrame, limit: int) -> DataFrame:
     """The first `limit` rows taken in turn from each dataset, datasets in the order of their first row."""
-    own = Window.partitionBy("dataset")
-    depth = F.row_number().over(own.orderBy("ordinal"))
-    placed = df.withColumns({"depth": depth, "_first": F.min("ordinal").over(own)})
-    return placed.where(F.col("depth") <= limit).orderBy("depth", "_first").limit(limit).drop("_first")
+    first = df.groupBy(F.col("dataset").alias("_of")).agg(F.min("ordinal").alias("_first"))
+    # Only row numbers up to the limit are asked for, so tasks cut their datasets before the shuffle.
+    placed = df.withColumn("depth", F.row_number().over(Window.partitionBy("dataset").orderBy("ordinal"))).where(F.col("depth") <= limit)
+    return placed.join(first, placed["dataset"].eqNullSafe(first["_of"])).orderBy("depth", "_first").limit(limit).drop("_first", "_of")
 
 
 def task_ids(df: DataFrame, keys: tuple[str, ...] = ("dataset", "model")) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.contract import measured_success
-from tallyframe.functions.text import has_gold, normalize_label_text
+from tallyframe.functions.text import has_gold, normalize_label_text, stripped
 
 #: Families of labels that classifiers and datasets spell differently.
 LABEL_FAMILIES = (
@@ -50,10 +50,10 @@ def convert_candidates(records: DataFrame, excluded: DataFrame, limit: int) -> D
     """records (ordinal, model_name, model, rank, score, link_probability, gated, access_status): each with its model,
     final rank and score, and the first reason that rejects it, up to the record that fills the limit; later ones are
     not looked at, so they are not returned."""
-    model = F.trim(F.coalesce(F.when(F.col("model_name") != "", F.col("model_name")), F.col("model"), F.lit("")))
+    model = stripped(F.coalesce(F.when(F.col("model_name") != "", F.col("model_name")), F.col("model"), F.lit("")))
     rank = F.coalesce(F.col("rank"), F.col("ordinal") + 1)
     r = records.select("ordinal", model.alias("model"), rank.cast("long").alias("rank"), F.coalesce("score", "link_probability").alias("score"), F.coalesce(F.col("gated"), F.lit(False)).alias("gated"), F.lower(F.coalesce("access_status", F.lit(""))).alias("access"))
-    old = excluded.select(F.lower(F.trim("model")).alias("_key")).where("_key <> ''").distinct().withColumn("_old", F.lit(True))
+    old = excluded.select(F.lower(stripped(F.col("model"))).alias("_key")).where("_key <> ''").distinct().withColumn("_old", F.lit(True))
     r = r.withColumn("_key", F.lower("model")).join(old, "_key", "left")
     own = (
         F.when(F.col("model") == "", "missing_model").when(F.col("gated") | F.col("access").isin("gated", "private", "denied"), "gated_model").when(F.col("rank") < 1, "invalid_rank")
@@ -161,7 +161,7 @@ def current_cache(df: DataFrame, dimension: int = 1024) -> DataFrame:
     """df (summary, cached_summary, vector) with current: equal texts and a finite vector of that size that isn't zero."""
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     nonzero = F.exists("vector", lambda x: x != 0)
-    ok = (F.trim("summary") == F.trim("cached_summary")) & (F.trim("summary") != "") & (F.size("vector") == dimension) & finite & nonzero
+    ok = (stripped(F.col("summary")) == stripped(F.col("cached_summary"))) & (stripped(F.col("summary")) != "") & (F.size("vector") == dimension) & finite & nonzero
     return df.withColumn("current", F.coalesce(ok, F.lit(False)))
 
 

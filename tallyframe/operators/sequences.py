@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.text import normalize_entity_type
+from tallyframe.functions.text import normalize_entity_type, stripped
 
 
 def bio_spans(tokens: DataFrame, key: str = "seq", pos: str = "pos", label: str = "label", token: str = "token") -> DataFrame:
@@ -45,7 +45,7 @@ def piece_offsets(text: Column, pieces: Column) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
 
     def step(acc: Column, raw: Column) -> Column:
-        p = F.lower(F.trim(raw))
+        p = F.lower(stripped(raw))
         rest = F.substring(low, acc["at"] + 1, 2**30)
         k = F.when(p == "", 0).otherwise(F.instr(rest, p))
         s = (acc["at"] + k - 1).cast("int")

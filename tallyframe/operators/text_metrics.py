@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.metrics import _f1, metric
+from tallyframe.functions.metrics import _f1, lcs_length, metric, token_f1
 from tallyframe.functions.text import tokens
 
-#: Above this many cells a table of the subsequence is filled in a pandas UDF.
-LONG_CELLS = 40_000
+#: Up to this many cells the table of the subsequence is filled in expressions, above in a pandas UDF.
+LONG_CELLS = 400
 
 
 def lcs_lists(a: list, b: list) -> int:
@@ -34,16 +34,18 @@ def _lcs_long(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
         yield pd.Series([None if x is None or y is None else lcs_lists(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
-def rouge_l_long(p: Column, r: Column) -> Column:
-    """rouge_l of token arrays of any length."""
-    return _f1(_lcs_long(p, r), F.size(p), F.size(r))
+def rouge_l_rows(p: Column, r: Column) -> Column:
+    """rouge_l of token arrays of any length: short pairs by expressions, longer ones bit-parallel in Arrow batches. The
+    other path gets null for a row, so that no token is moved for it."""
+    long = F.size(p).cast("long") * F.size(r) > LONG_CELLS
+    none = F.lit(None).cast("array<string>")
+    lcs = F.coalesce(_lcs_long(F.when(long, p).otherwise(none), F.when(long, r).otherwise(none)), F.when(~long, lcs_length(p, r)))
+    return _f1(lcs, F.size(p), F.size(r))
 
 
 def score_rows(df: DataFrame, name: str, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
     """df with `score` by the metric's name. Token arrays are columns of their own, so that they are made once."""
     if name not in ("qa_f1", "rouge_l"):
         return df.withColumn("score", metric(name, F.col(prediction), F.col(reference)))
-    from tallyframe.functions.metrics import rouge_l, token_f1
-
     df = df.withColumns({"_p": tokens(F.col(prediction)), "_r": tokens(F.col(reference))})
-    return df.withColumn("score", (token_f1 if name == "qa_f1" else rouge_l)(F.col("_p"), F.col("_r"))).drop("_p", "_r")
+    return df.withColumn("score", (token_f1 if name == "qa_f1" else rouge_l_rows)(F.col("_p"), F.col("_r"))).drop("_p", "_r")

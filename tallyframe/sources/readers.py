@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -43,13 +44,30 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
 
 
 def discover(spark: SparkSession, root: str, names: tuple[str, ...]) -> DataFrame:
-    """All rows of the CSV files of these names below root, with source_file, modified and task_index (from a folder
-    task_<n>, else null)."""
+    """All rows of the CSV files of these names below root, all columns as text and blanks as nulls, with source_file,
+    modified and task_index (from a folder task_<n>, else null). Files need not have the same header: files of one header
+    are read together, and columns that a file lacks are null. The list of files and headers goes to the driver."""
     glob = "{" + ",".join(names) + "}"
-    df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(root)
-    cols = [F.col(f"`{c}`") for c in df.columns]
-    task = F.regexp_extract(F.col("_metadata.file_path"), r"/task_(\d+)/", 1).try_cast("int")
-    return df.select(*cols, F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("modified"), task.alias("task_index"))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    # A file's first split begins with its header; ids grow within a split.
+    first = lines.where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+    heads = first.groupBy("file").agg(F.min_by("value", "at").alias("head")).groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()
+    parts = []
+    for head, files in heads:
+        df = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("inferSchema", False).csv([_path(f) for f in files])
+        df = df.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("modified"))
+        own = df.columns[:-2]
+        parts.append(df.select(*[F.when(F.col(f"`{c}`").rlike(r"(?U)\S"), F.col(f"`{c}`")).alias(c.lstrip("\ufeff")) for c in own], "source_file", "modified", F.regexp_extract("source_file", r"/task_(\d+)/", 1).try_cast("int").alias("task_index")))
+    if not parts:
+        return spark.createDataFrame([], "source_file string, modified timestamp, task_index int")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _path(uri: str) -> str:
+    """A file's path as a reader takes it: metadata has it escaped."""
+    from urllib.parse import unquote
+
+    return unquote(uri)
 
 
 def read_allow_list(spark: SparkSession, path: str) -> DataFrame:

@@ -57,6 +57,8 @@ def test_empty_sides(spark):
 
 @pytest.mark.parametrize(("a", "b", "want"), [
     ("about 1,234", "1234.0", 1.0), ("50%", "1/2", 1.0), ("1:4", "0.25", 1.0), ("1/0", "1/0", 1.0), ("1/2%", "0.005", 0.0), ("seven", "Seven.", 1.0), ("x 3 then 4", "4", 1.0), ("v2", "2", 0.0), ("-.5", "-0.50", 1.0), ("", "", 1.0),
+    ("0.000001", "0.000002", 0.0), ("0.0000010", ".000001", 1.0), ("1234567890123456", "1234567890123456.0", 1.0), ("1234567890123456", "1234567890123457", 0.0), ("9" * 60, "+" + "9" * 60 + ".000", 1.0), ("9" * 60, "9" * 59 + "8", 0.0),
+    ("1/3", "2/6", 1.0), ("1/3", "0.3333333333", 0.0), ("-0", "0.00%", 1.0), ("1000", "1e3", 0.0), ("3:0.5", "600%", 1.0), ("-1/4", "1/-4", 1.0), ("100", "1", 0.0), ("\t7\n", "7", 1.0), ("1000/10", "100", 1.0),
 ])
 def test_numeric_match(spark, a, b, want):
     assert one(spark, metrics.numeric_match(lit(a), lit(b))) == [want]
@@ -93,11 +95,70 @@ def test_metrics_against_definitions(spark, pairs):
             assert got == pytest.approx(want)
 
 
+def test_blank_is_any_white_space(spark):
+    white = "\n\t \u3000"
+    got = one(spark, text.has_gold(lit(white)), text.stringify(lit(white)), contract.blank_to_null(lit(white)), text.has_gold_list(F.array(lit(white), lit(None))), text.has_gold_list(F.array(lit(white), lit("x"))), metrics.best_of(F.array(lit(white)), lambda r: metrics.exact_match(lit("x"), r)), text.stripped(lit("\t a b\n")))
+    assert got == [False, "<blank>", None, False, True, None, "a b"]
+
+
+@pytest.mark.parametrize(("p", "r", "want"), [
+    ('[{"type":"chem","text":"Aspirin"}]', '[{"text":"aspirin","type":"chemical"}]', 1.0), ('[{"mention":["a b","c"],"type":"x y"}]', '[{"text":"c","type":"X-Y"},{"type":"x y","text":"b"}]', 1.0), ('{"text":"x"}', '[{"text":"X","type":"entity"}]', 1.0),
+    ('[["x","y"],["z, w"]]', "w;z\ny, x", 1.0), ('["a, x", "[\\"y\\"]"]', "x,y", 1.0), ('{"k":"v","b":1}', '{"b": 1, "k": "V"}', 1.0), ("['x']", "x", 1.0), ('["x"] and y', '["x"]', 0.0), ("[1, 2]", "2,1", 1.0), ('[null, ""]', "", 1.0), ("[[[\"p\"]]]", "p", 1.0),
+    ('[{"type":"drug","text":"x"}]', '[{"type":"gene","text":"x"}]', 0.0), ('{"text":""}', '{"text":""}', 1.0),
+])
+def test_sets(spark, p, r, want):
+    assert one(spark, metrics.metric("set_f1", lit(p), lit(r))) == [want]
+
+
+def test_labels_in_arrays_are_texts(spark):
+    assert one(spark, text.embedded_label_array(lit('[1] then ["1"]'), ["1"]), text.embedded_label_array(lit("[1]"), ["1"])) == [["1"], None]
+
+
+def test_merge_pairs_keeps_the_fullest_row(spark):
+    rows = [(0, "d", "m", "x", None, "c1"), (1, "d", "m", "y", "1", "c2"), (2, "d", "m", "z", "2", "c1"), (3, "e", "m", None, None, "\t")]
+    got = aggregates.merge_pairs(spark.createDataFrame(rows, "ordinal int, dataset string, model string, status string, score string, condition string"), ["condition"]).orderBy("dataset").collect()
+    assert [(r.status, r.score, r.condition, r.n_rows) for r in got] == [("y", "1", "c1; c2", 3), (None, None, "", 1)]
+
+
+def test_modes_of_results(spark):
+    p = spark.createDataFrame([(1, "m", "x", "x"), (2, "m", "y", "\t"), (3, "m", "y", "z"), (4, "m", "y", "x")], "idx int, model string, target_answer string, prediction string")
+    r = spark.createDataFrame([("m", "ok", 0.2, 4, True), ("n", "failed", None, 0, False), ("o", "ok", 0.1, 0, None)], "model string, status string, score double, labeled_total int, has_summary boolean")
+    got = {(x.model, x["mode"], x.n) for x in aggregates.failure_modes(p, ["model"], r).collect()}
+    assert got == {("m", "blank_outputs", 1), ("m", "invalid_outputs", 2), ("m", "weak_target_label", 1), ("n", "evaluation_failed", 1), ("o", "missing_summary", 1), ("o", "missing_predictions", 1), ("o", "unlabeled_split", 1)}
+
+
+def test_loop_resumes_and_ends(spark, tmp_path):
+    done = []
+
+    def evaluate(found):
+        done.append(found.count())
+        return found.selectExpr("dataset", "model", "ordinal", "'ok' as status", "0.5D as score", "'3' as labeled_total", "'accuracy' as metric", "'label_generation_accuracy' as evaluation_protocol")
+
+    def candidates(r, seen):
+        return spark.createDataFrame([("d", f"m{r}", 0), ("d", "m1", 1)], "dataset string, model string, ordinal int")
+
+    none = spark.createDataFrame([], "dataset string, model string")
+    run = lambda **k: (x := loop.SelectionLoop(candidates, evaluate, str(tmp_path), **k), x.run(none))
+    first, rows = run(rounds=2)
+    again, same = run(rounds=2)
+    assert done == [1, 1] and again.reused == 2 and sorted(rows.collect()) == sorted(same.collect()) and first.reason == "max_rounds_reached"
+    assert run(rounds=3, target=2)[0].reason == "target_reached" and len(done) == 4
+    assert run(rounds=3, target=1, review=lambda df: True)[0].reason == "reviewed_stop" and run(rounds=2, minimum=0.1)[0].reason == "no_improvement"
+    assert run(rounds=3, static={1: candidates(1, none)})[0].reason == "static_rounds_finished"
+    assert loop.SelectionLoop(lambda r, s: none.selectExpr("*", "0 as ordinal"), evaluate, str(tmp_path)).run(none) is None
+    bad = loop.SelectionLoop(candidates, lambda f: evaluate(f).withColumn("status", F.lit("failed")), str(tmp_path / "b"))
+    assert bad.run(none).count() == 1 and bad.reason == "all_candidates_failed"
+    with pytest.raises(ValueError):
+        loop.validate_capacity(2, 3, 7)
+    reviews = spark.createDataFrame([(2, ["stop", "STOP"], 2), (2, ["stop"], 2), (2, ["stop", "go"], 2), (2, None, 0), (1, None, 0)], "successes int, decisions array<string>, votes_needed int")
+    assert [r.stop for r in loop.reviewed_stop(reviews, 2).collect()] == [True, False, False, True, False]
+
+
 def test_long_rouge(spark):
     rng = random.Random(5)
     a, b = ([rng.choice("uvwxyz") for _ in range(500)] for _ in "ab")
     df = spark.createDataFrame([(a, b)], "p array<string>, r array<string>")
-    short, long = df.select(metrics.lcs_length(F.slice("p", 1, 60), F.slice("r", 1, 60)), text_metrics.rouge_l_long(F.col("p"), F.col("r"))).collect()[0]
+    short, long = df.select(metrics.lcs_length(F.slice("p", 1, 60), F.slice("r", 1, 60)), text_metrics.rouge_l_rows(F.col("p"), F.col("r"))).collect()[0]
     assert short == text_metrics.lcs_lists(a[:60], b[:60])
     assert long == pytest.approx(text_metrics.lcs_lists(a, b) / 500)
 
@@ -221,7 +282,7 @@ def test_paths_and_values(spark):
     df = spark.createDataFrame([([("u1", ["i", None]), (None, ["j"])],)], "turns array<struct<utterance:string, acts:array<string>>>")
     assert df.select(text.path_value("turns[].utterance"), text.path_value("turns.acts", 1)).collect()[0][:] == (["u1"], ["i", "j"])
     assert one(spark, text.prompt_value(F.array(F.lit("a"), lit(None), F.lit("b")), "array<string>"), text.prompt_value(lit(None), "string"), text.prompt_value(F.struct(F.lit(1).alias("x")), "struct<x:int>")) == ["a\nb", "", '{"x":1}']
-    assert one(spark, text.tagged_prompt(lit("Q "), ["a", "b"]))[0].startswith('Choose one of: "a", "b".') and parse_choices("['x', 1]") == ["x", "1"] and parse_choices('{"text": ["t"]}') == ["t"] and parse_choices("no") is None
+    assert one(spark, text.tagged_prompt(lit("Q \n"), ["a", "b"]))[0] == text.CONTRACT_HEAD + 'Choose exactly one of these answers: "a", "b".\n' + text.CONTRACT_FORM + "Input:\nQ" + text.CONTRACT_END and parse_choices("['x', 1]") == ["x", "1"] and parse_choices('{"text": ["t"]}') == ["t"] and parse_choices("no") is None
 
 
 def test_planning_tables(spark):

@@ -30,6 +30,16 @@ def test_discover(spark, tmp_path):
     assert sorted((r.dataset, r.task_index) for r in rows) == [("d1", 1), ("d12", 12)]
 
 
+def test_discover_files_of_unlike_headers(spark, tmp_path):
+    (tmp_path / "task_1").mkdir()
+    (tmp_path / "task_2 x").mkdir()
+    (tmp_path / "task_1" / "results.csv").write_text('dataset,model,score\nd1,"m ""1"",\nx",0.5\nd2, ,\n')
+    (tmp_path / "task_2 x" / "results.csv").write_text("\ufeffmodel,dataset,status,score\nm2,d1,ok,0.25\n", encoding="utf-8")
+    rows = {(r.dataset, r.model, r.status, r.score, r.task_index) for r in readers.discover(spark, str(tmp_path), ("results.csv",)).collect()}
+    assert rows == {("d1", 'm "1",\nx', None, "0.5", 1), ("d2", None, None, None, 1), ("d1", "m2", "ok", "0.25", None)}
+    assert readers.discover(spark, str(tmp_path), ("none.csv",)).collect() == []
+
+
 def test_allow_list(spark, tmp_path):
     (tmp_path / "l").write_text("b # two\n\n# none\na\nb\n")
     assert [r.name for r in readers.read_allow_list(spark, str(tmp_path / "l")).orderBy("ordinal").collect()] == ["b", "a"]
