@@ -11,7 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of characters outside [\x20\x09-\x0D].
@@ -85,6 +85,12 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))
 
 
+def one_each(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """One row for each value of key: that whose text has the smallest hash, of equal hashes the smallest text."""
+    order = Window.partitionBy(key).orderBy(F.xxhash64(text), text)
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == 1).drop("_n")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

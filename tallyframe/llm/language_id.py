@@ -14,15 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import fold, prepare, table, text_column
+from tallyframe.llm.common import fold, one_each, prepare, table, text_column
 from tallyframe.llm.tokens import slices
 
 #: Bytes of a window; a text's last one is padded with spaces.
 WINDOW = 128
 EMBED, WIDTHS, FILTERS = 6, (2, 3, 4), 12
-#: Rows the network is fitted on, at most (chosen by a hash of the id), and windows of each, spread over the text.
-SAMPLE_ROWS, ROW_WINDOWS = 2400, 3
-EPOCHS, RATE, BATCH = 6, 0.01, 64
+#: Rows the network is fitted on, at most, with their whole texts. Rows of at most SHORT bytes come first, then a hash of
+#: the id decides; so longer ones are taken only for languages with too few short ones.
+SAMPLE_ROWS, SHORT = 1600, 4096
+EPOCHS, RATE, BATCH = 3, 0.01, 64
 #: Windows scored at a time.
 CHUNK = 256
 UNKNOWN = "und"
@@ -86,6 +87,26 @@ class Network:
         logs = z - np.log(np.exp(z).sum(1, keepdims=True))
         return (logs, h, a, at, views) if keep else logs
 
+    def gradient(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean negative log probability of the languages y, by parameter."""
+        logs, h, a, at, views = self.forward(x, True)
+        d = np.exp(logs)
+        d[np.arange(len(x)), y] -= 1
+        d /= len(x)
+        g = {"o": a.T @ d, "ob": d.sum(0)}
+        dh = (d @ self.p["o"].T) * (h > 0)
+        g["b"] = dh.sum(0)
+        g["e"] = np.zeros_like(self.p["e"])
+        for i, w in enumerate(WIDTHS):
+            dp = dh[:, i * FILTERS : (i + 1) * FILTERS]
+            rows = np.arange(len(x))[:, None]
+            seen = views[w][rows, at[i]]
+            g[f"c{w}"] = np.einsum("nfk,nf->kf", seen, dp)
+            back = (dp[:, :, None] * self.p[f"c{w}"].T).reshape(-1, w, EMBED)
+            bytes_at = x[rows[:, :, None], at[i][:, :, None] + np.arange(w)].reshape(-1, w)
+            np.add.at(g["e"], bytes_at, back)
+        return g
+
     def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 11) -> "Network":
         rng, step = np.random.default_rng(seed), 0
         state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
@@ -94,22 +115,7 @@ class Network:
             for lo in range(0, len(order), BATCH):
                 part = order[lo : lo + BATCH]
                 step += 1
-                logs, h, a, at, views = self.forward(x[part], True)
-                d = np.exp(logs)
-                d[np.arange(len(part)), y[part]] -= 1
-                d /= len(part)
-                g = {"o": a.T @ d, "ob": d.sum(0)}
-                dh = (d @ self.p["o"].T) * (h > 0)
-                g["b"] = dh.sum(0)
-                g["e"] = np.zeros_like(self.p["e"])
-                for i, w in enumerate(WIDTHS):
-                    dp = dh[:, i * FILTERS : (i + 1) * FILTERS]
-                    rows = np.arange(len(part))[:, None]
-                    seen = views[w][rows, at[i]]
-                    g[f"c{w}"] = np.einsum("nfk,nf->kf", seen, dp)
-                    back = (dp[:, :, None] * self.p[f"c{w}"].T).reshape(-1, w, EMBED)
-                    bytes_at = x[part][rows[:, :, None], at[i][:, :, None] + np.arange(w)].reshape(-1, w)
-                    np.add.at(g["e"], bytes_at, back)
+                g = self.gradient(x[part], y[part])
                 for k, v in self.p.items():
                     m, s = state[k]
                     m += 0.1 * (g[k] - m)
@@ -141,28 +147,27 @@ def predict(net: Network, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
 
 
 def training_windows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, bytes]]:
-    """(language, window) of at most `rows` documents that are not held out, as many of each language as there are, up
-    to an equal share; sorted."""
+    """(language, window): all windows with a letter of at most `rows` documents that are not held out, as many of each
+    language as there are, up to an equal share; sorted. Of rows that share an id, one text is used."""
     known = docs.where("doc_id is not null and lang is not null").where(fold(F.col("doc_id")) != 0)
-    ids = known.select("doc_id", "lang")
+    ids = known.select("doc_id", "lang", (F.octet_length(F.coalesce("text", F.lit(""))) > SHORT).alias("long"))
     languages = ids.select("lang").distinct().count()
     share = max(1, rows // max(1, languages))
-    own = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # The limit is pushed below the shuffle: a task sends at most `share` ids of a language.
-    chosen = ids.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= share).limit(rows + languages)
-    texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select("lang", "text")
+    own = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")
+    # The limit is pushed below the shuffle: a task sends at most `share` rows of a language.
+    chosen = ids.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= share).select("doc_id").distinct()
+    texts = one_each(known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id"), "doc_id").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = text_column(b)
-            out = []
             for lang, lo, hi in zip(b.column(0).to_pylist(), offsets[:-1], offsets[1:], strict=True):
                 w = windows(folded(raw[lo:hi]))
-                w = w[np.unique(np.linspace(0, len(w) - 1, ROW_WINDOWS).astype(int))]
-                out += [(lang, x.tobytes()) for x in w if _LETTER[x].sum() >= 8]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["lang", "w"])
+                w = [x.tobytes() for x in w[_LETTER[w].any(1)]]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(w), pa.string()), pa.array(w, pa.binary())], names=["lang", "w"])
 
-    return sorted((r[0], bytes(r[1])) for r in texts.mapInArrow(run, "lang string, w binary").limit(4 * rows * ROW_WINDOWS).collect())
+    # At most `rows` whole texts.
+    return sorted((r[0], bytes(r[1])) for r in texts.mapInArrow(run, "lang string, w binary").collect())
 
 
 def fitted(docs: DataFrame) -> Network:
@@ -175,7 +180,9 @@ def fitted(docs: DataFrame) -> Network:
 
 def identified(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of docs. A text that is null or has no letter is 'und' with
-    score 0. Other columns are not read; repeated rows get equal results."""
+    score 0. Other columns are not read; repeated rows get equal results, a null id is held out. A very long text is cut
+    into windows, which are scored CHUNK at a time. No documents, no rows; no language learned, 'und'. Ties go to the first
+    language by name."""
     prepare(docs.sparkSession)
     packed = (net.languages, net.p)
 
@@ -193,6 +200,8 @@ def identified(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def op2_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of all documents, learned from the folds 1 to 4. Nulls, texts without a letter,
+    very long texts, repeated rows and empty tables: see identified()."""
     docs = table(spark, sf_dir, "documents")
     return identified(docs, fitted(docs))
 

@@ -15,15 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import _IS_SPACE, fold, mix, prepare, table, text_column, word_hashes
+from tallyframe.llm.common import _IS_SPACE, fold, mix, one_each, prepare, table, text_column, word_hashes
 from tallyframe.llm.tokens import slices
 
 #: Buckets of hashed words, and factors.
 BUCKETS, FACTORS = 1 << 13, 6
 #: Labelled rows that the model is fitted on, at most; chosen by a hash of the id.
 SAMPLE_ROWS = 4000
-#: Word features of a sampled text that the fit uses, at most: its most frequent buckets. Scoring uses all.
-FIT_WORDS = 400
 EPOCHS, RATE, BATCH, L2 = 30, 0.02, 64, 1e-5
 THRESHOLD = 0.3
 #: Structure statistics, each cut into BINS bins at these limits.
@@ -142,10 +140,11 @@ class Machine:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Features and labels of at most `rows` labelled documents that are not held out, in the order of the id."""
-    chosen = labels.where("doc_id is not null and quality in (0, 1)").where(fold(F.col("doc_id")) != 0).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    """Features of the whole texts and labels of at most `rows` labelled documents that are not held out, in the order of
+    the id. A document with both labels counts as 0; of rows that share an id, one text is used."""
+    chosen = labels.where("doc_id is not null and quality in (0, 1)").where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    texts = one_each(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id").select("doc_id", "quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,16 +152,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
             for i, part in slices(raw, offsets):
                 k = len(part)
                 ends, idx, val = featurise(raw[offsets[i] : offsets[i + k]], offsets[i : i + k + 1] - offsets[i], part)
-                out = []
-                for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-                    top = np.argsort(-val[lo:hi], kind="stable")[: FIT_WORDS + len(STATISTICS)]
-                    stats = np.arange(len(STATISTICS))
-                    keep = lo + np.unique(np.r_[stats, top])
-                    out.append((idx[keep].astype("<i4").tobytes(), val[keep].astype("<f4").tobytes()))
+                out = [(idx[lo:hi].astype("<i4").tobytes(), val[lo:hi].astype("<f4").tobytes()) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
                 cols = [b.column(0).slice(i, k).cast(pa.int64()), b.column(1).slice(i, k).cast(pa.int32()), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "quality", "i", "x"])
 
-    found = texts.mapInArrow(run, "doc_id long, quality int, i binary, x binary").limit(2 * rows).collect()
+    # At most `rows` rows, each of at most BUCKETS words.
+    found = texts.mapInArrow(run, "doc_id long, quality int, i binary, x binary").collect()
     found.sort(key=lambda r: (r[0], bytes(r[2])))
     return [(np.frombuffer(r[2], "<i4").astype(np.int64), np.frombuffer(r[3], "<f4")) for r in found], np.array([r[1] for r in found], np.float64)
 
@@ -174,8 +169,9 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Machine:
 
 
 def scored(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of docs; a null text is scored as an empty one. Other columns
-    are not read; repeated rows get equal scores."""
+    """(doc_id, held_out, score, predicted) of every row of docs; a null text is scored as an empty one, by its statistics
+    alone. Other columns are not read; repeated rows get equal scores, a null id is held out. A very long text is one row of
+    sparse features (at most BUCKETS words). No documents, no rows. A score at the threshold counts as 1."""
     prepare(docs.sparkSession)
     packed = (model.w0, model.w, model.v)
 
@@ -198,6 +194,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op1_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of all documents, learned from the folds 1 to 4 of `labels`. Nulls, empty and
+    very long texts, repeated rows and empty tables: see scored(). Without labels every score is the same."""
     docs = table(spark, sf_dir, "documents")
     return scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
 

@@ -1,7 +1,10 @@
 """Quality and language models: the algebra, held-out accuracy, and awkward input."""
 
 import itertools
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -66,17 +69,108 @@ def test_quality_awkward(spark, make, awkward):
     assert qm.scored(make([]), qm.fitted(make([]), none)).collect() == []
 
 
-def test_gradient():
+def plain_logs(n, window):
+    """The network with loops: embed, slide each filter, keep its maximum, softmax."""
+    e, pooled = n.p["e"].astype(float), []
+    for w in li.WIDTHS:
+        for f in range(li.FILTERS):
+            best = -np.inf
+            for at in range(len(window) - w + 1):
+                best = max(best, sum(e[window[at + k], d] * n.p[f"c{w}"][k * li.EMBED + d, f] for k in range(w) for d in range(li.EMBED)))
+            pooled.append(best)
+    h = np.maximum(np.array(pooled) + n.p["b"], 0)
+    z = h @ n.p["o"].astype(float) + n.p["ob"]
+    return z - np.log(np.exp(z - z.max()).sum()) - z.max()
+
+
+def test_convolution_against_loops():
+    rng = np.random.default_rng(3)
+    n = li.Network(["a", "b", "c"])
+    n.p["b"] = rng.normal(0, 0.3, len(n.p["b"])).astype(np.float32)
+    x = rng.integers(0, 256, (3, li.WINDOW)).astype(np.uint8)
+    assert np.allclose(n.forward(x), [plain_logs(n, w) for w in x], atol=1e-4)
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(0)
+    n = li.Network(["a", "b", "c"])
+    n.p = {k: v.astype(np.float64) for k, v in n.p.items()}
+    n.p["b"] = n.p["b"] + 0.1
+    x, y = rng.integers(97, 105, (6, li.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 0, 1, 2])
+    loss = lambda: -n.forward(x)[np.arange(6), y].mean()
+    g = n.gradient(x, y)
+    for k, v in n.p.items():
+        flat = v.reshape(-1)
+        for at in rng.choice(len(flat), min(25, len(flat)), replace=False) if k != "e" else [e * li.EMBED + d for e in range(97, 105) for d in range(li.EMBED)]:
+            old, step = flat[at], 1e-6
+            flat[at] = old + step
+            up = loss()
+            flat[at] = old - step
+            down = loss()
+            flat[at] = old
+            assert abs((up - down) / (2 * step) - np.asarray(g[k]).reshape(-1)[at]) < 1e-5, (k, at)
+
+
+def test_training_lowers_the_loss():
     rng = np.random.default_rng(0)
     x, y = rng.integers(97, 105, (8, li.WINDOW)).astype(np.uint8), np.array([0, 1] * 4)
     n = li.Network(["a", "b"])
     loss = lambda: -n.forward(x)[np.arange(8), y].mean()
     before = loss()
-    x2 = np.concatenate([x] * 40)
-    n.fit(x2, np.concatenate([y] * 40))
+    n.fit(np.concatenate([x] * 80), np.concatenate([y] * 80))
     assert loss() < before / 3
 
 
+def test_short_and_long_texts_are_learned(make):
+    rows = [(1, "ab"), (2, " ".join(["zu"] * 3000)), (2, "other"), (3, "ab ab"), (4, "123")]
+    docs = make(rows).selectExpr("doc_id", "text", "case doc_id when 2 then 'long' when 4 then 'none' else 'short' end as lang")
+    got = li.training_windows(docs)
+    own = {i for i, _ in rows if not out(i)}
+    assert {lang for lang, _ in got} == {n for n, ids in (("long", {2}), ("short", {1, 3})) if ids & own}
+    assert 2 not in own or sum(lang == "long" for lang, _ in got) in (1, -(-9000 // li.WINDOW))
+
+
+def plain_features(text):
+    """Word shares by bucket and the bins of the statistics, counted one by one."""
+    b = text.encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", b) if w]
+    n, size = max(1, len(words)), max(1, len(b))
+    full = max(1, sum(map(len, words)))
+    lines = b.split(b"\n")
+    k = max(1, len(lines))
+    count = lambda chars: sum(b.count(bytes([c])) for c in chars)
+    top = lambda x: min(qm.BINS - 1, int(x))
+    share = lambda x, scale: top(x * scale * qm.BINS)
+    lower = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    stats = [top(np.log2(1 + len(words))), top(full // n), share(count(b"#*$%&|<>") / n, 0.5), share(count(range(65, 91)) / full, 1.2), share(count(range(48, 58)) / full, 2), top(np.log2(1 + size / k)),
+        share((len(lines) - len(set(lines))) / k, 1), share(len(set(lower)) / n, 0.999), share(count(b".,;:?") / n, 1.5), share(count(b"!") / n, 1), share(count(range(128, 256)) / size, 2)]
+    return sorted(Counter(lower).values()), stats, len(words)
+
+
+def test_features_against_counts():
+    rng = random.Random(2)
+    texts = ["", " \n", "One two, two!", "É#1 * $\nÉ#1 * $\n\nA B", "x" * 5000] + [" ".join(rng.choice(["the", "THE", "a1", "#", "né", "end.\n", "z!"]) for _ in range(rng.randrange(1, 200))) for _ in range(30)]
+    data = [t.encode() for t in texts]
+    raw, offsets = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+    ends, idx, val = qm.featurise(raw, offsets, data)
+    for t, lo, hi in zip(texts, ends[:-1], ends[1:], strict=True):
+        words, stats, n = plain_features(t)
+        k = len(qm.STATISTICS)
+        assert [i - qm.BUCKETS - qm.BINS * j for j, i in enumerate(idx[lo : lo + k])] == stats and (val[lo : lo + k] == 1).all()
+        assert (idx[lo + k : hi] < qm.BUCKETS).all() and len(set(idx[lo + k : hi])) == hi - lo - k
+        shares = sorted(np.rint(val[lo + k : hi] / 4 * max(1, n)).astype(int))
+        assert sum(shares) == n and (shares == words or len(shares) < len(words))  # words can share a bucket
+
+
+def test_a_document_with_both_labels(spark, make):
+    docs = make([(i, f"text {i} of words") for i in range(1, 9)])
+    labels = spark.createDataFrame([(i, q, 0) for i in range(1, 9) for q in ((0, 1) if i % 2 else (1,))], "doc_id long, quality int, toxic int")
+    rows, quality = qm.labelled_sample(docs, labels)
+    ids = [i for i in range(1, 9) if not out(i)]
+    assert quality.tolist() == [0.0 if i % 2 else 1.0 for i in ids] and len(rows) == len(ids)
+    assert all(len(i) == len(qm.STATISTICS) + 4 for i, _ in rows)
+
+
 def test_windows_cover_whole_texts():
     t = np.frombuffer(b"ab" * 500, np.uint8)
     w = li.windows(t)
