@@ -5,18 +5,24 @@ valid check digit and the same grouping, a date another date, an address another
 the key and the kind alone, so equal values stay linked across documents, and the holder of the key can undo it.
 
 Kinds: card (13 to 19 digits, Luhn), iban (mod 97), ssn, phone (+ and country code, or ten digits as (ddd) ddd-dddd),
-ipv4, date (ISO, dd.mm.yyyy, dd/mm/yyyy, 1900 to 2099), email (the part before @) and secret (a quoted hexadecimal
+ipv4, date (ISO, also before a time, dd.mm.yyyy, dd/mm/yyyy, 1900 to 2099), email (the part before @, at most its last 64
+characters) and secret (a quoted hexadecimal
 credential). Numbers that fail their validation stay as they are. Where the longest candidate at a place fails, shorter
 ones that end at a group are tried, then other kinds, and the scan goes on behind the first group: a number or word beside
-a value does not hide it.
+a value does not hide it. Patterns look at a bounded stretch from each place, so a scan is linear in the text.
+
+The key is an argument or the setting spark.tallyframe.pii.key. Where neither is there, a secret one is drawn for the
+session: values stay linked in all that the session writes, and nobody can undo them or link them with other runs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from itertools import accumulate, repeat
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,8 +33,7 @@ from pyspark.sql import types as T
 from tallyframe.llm.common import prepare, table
 
 ROUNDS = 10
-#: Used where spark.tallyframe.pii.key is unset. Set a secret one in production.
-DEFAULT_KEY = "tallyframe-development-key"
+KEY_SETTING = "spark.tallyframe.pii.key"
 KINDS = ("card", "iban", "ssn", "phone", "ipv4", "date", "email", "secret")
 _FIRST_DAY, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
@@ -83,12 +88,12 @@ class Pseudonyms:
 
     #: In the order in which the kinds are tried at one place.
     EACH = {
-        "email": re.compile(r"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+\-]*(?=@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}))"""),
+        "email": re.compile(r"""(?P<email>[^\W_][\w.%+\-]{0,63}+(?=@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}))"""),
         "secret": re.compile(r"""(?P<secret>(?<=["'])[0-9a-f]{32,}(?=["'])|(?<=["'])[0-9A-F]{32,}(?=["']))"""),
         "iban": re.compile(r"""(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?)(?![0-9A-Za-z])"""),
         "ipv4": re.compile(r"""(?<![0-9A-Za-z.+])(?P<ipv4>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9A-Za-z]|\.[0-9])"""),
         "phone": re.compile(r"""(?<![0-9A-Za-z])(?P<phone>\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|\+[2-9][0-9]{0,2}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ \-]?[0-9]{2,4}){2,3}|\([0-9]{3}\)[ ]?[0-9]{3}[ .\-][0-9]{4})(?![0-9A-Za-z])"""),
-        "date": re.compile(r"""(?<![0-9A-Za-z])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?P<sep>[./])[0-9]{2}(?P=sep)[0-9]{4})(?![0-9A-Za-z]|[.\-/][0-9])"""),
+        "date": re.compile(r"""(?<![0-9A-Za-z])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?P<sep>[./])[0-9]{2}(?P=sep)[0-9]{4})(?![0-9A-SU-Za-z]|T(?![0-9]{2})|[.\-/][0-9])"""),
         "ssn": re.compile(r"""(?<![0-9A-Za-z\-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z]|-[0-9])"""),
         "card": re.compile(r"""(?<![0-9A-Za-z])(?P<card>[0-9](?:[ \-]?[0-9]){12,18})(?![0-9A-Za-z])"""),
     }
@@ -264,15 +269,26 @@ class Pseudonyms:
         return out.upper() if s != s.lower() else out
 
 
+def session_key(spark: SparkSession) -> str:
+    """The setting, or a secret key that is drawn and kept in it for the rest of the session."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
 def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, undo: bool = False, counts: bool = False) -> DataFrame:
     """docs with personal data in `text` replaced; all other columns as they are (n_chars follows the text, if there is
-    such a column). counts=True adds pii_<kind> columns. A null text stays null and an empty one empty; every row is
-    treated alone, so repeated rows get equal texts. Texts without a digit or an @ are passed through."""
+    such a column). counts=True adds pii_<kind> columns; where docs has one of that name, '_' follows the new one's. A null text stays null and an empty
+    one empty; every row is treated alone, so repeated rows get equal texts. Texts without a digit or an @ are passed
+    through; a very long text is scanned once. No documents, no rows."""
     spark = docs.sparkSession
     prepare(spark)
-    key = key or spark.conf.get("spark.tallyframe.pii.key", DEFAULT_KEY)
+    key = key or session_key(spark)
     extra = [f"pii_{k}" for k in KINDS] if counts else []
-    docs = docs.drop(*extra)
+    taken = {c.lower() for c in docs.columns}
+    extra = [next(n for n in accumulate(repeat("_"), initial=c) if n not in taken) for c in extra]
     schema = T.StructType(list(docs.schema.fields) + [T.StructField(c, T.LongType()) for c in extra])
     at = docs.columns.index(text)
     length = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
@@ -301,7 +317,8 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, un
 
 
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the text with pseudonyms, and how many values of each kind it had."""
+    """doc_id, the text with pseudonyms, and how many values of each kind it had, for all documents. Nulls, empty and very
+    long texts, repeated rows, clashing columns and empty tables: see pseudonymise(); only doc_id and text are read."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymise(docs, counts=True).withColumn("pii_total", sum((F.col(f"pii_{k}") for k in KINDS[1:]), F.col(f"pii_{KINDS[0]}")))
 

@@ -25,7 +25,7 @@ def test_stages(spark):
     want = {i: t for i, t in want.items() if brute(list(want.items()))[i][1] == i} if len(want) < 400 else want
     one = written(corpus_pipeline.STAGES[1][1](spark, kept, SF), "t")
     assert one.columns == columns and {r.doc_id: r.text for r in one.collect()} == want
-    swap = pii.Pseudonyms(pii.DEFAULT_KEY)
+    swap = pii.Pseudonyms(pii.session_key(spark))
     want = {i: swap.replace(t)[0] for i, t in want.items()}
     hidden = written(corpus_pipeline.STAGES[2][1](spark, one, SF), "t")
     assert hidden.columns == columns and {r.doc_id: r.text for r in hidden.collect()} == want
@@ -62,7 +62,7 @@ def test_near_copies_of_five_words(spark, make):
 def test_awkward(spark, make, awkward, k):
     name, stage = corpus_pipeline.STAGES[k]
     for rows in (awkward, []):
-        df = make(rows)
+        df = make(rows, extra=True)
         got = stage(spark, df, SF)
         got.collect()
         assert k == 4 or got.columns == df.columns
