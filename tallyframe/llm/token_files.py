@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import AtomicFile, filesystem, prepare, table, text_column, work_path, written
+from tallyframe.llm.common import AtomicFile, filesystem, one_each, prepare, table, text_column, work_path, written
 from tallyframe.llm.tokens import encoder, slices
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 0
@@ -33,10 +33,12 @@ _FOOTER = "<qq8s"
 #: The dictionary's size, and the bounds of the sample that it is trained on: documents, and bytes of ids of each.
 DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_BYTES = 64 << 10, 1000, 8 << 10
 LEVEL = 3
+#: A task begins another shard when one has this many bytes or documents; the index in memory is bounded by it.
+SHARD_BYTES, SHARD_DOCS = 256 << 20, 1 << 20
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
-    """A zstandard dictionary, or plain content where the samples are too few to train on."""
+    """A zstandard dictionary, or the samples themselves where the trainer refuses them: where they are fewer than it needs."""
     import zstandard
 
     try:
@@ -52,9 +54,10 @@ def _dictionary(data: bytes):
 
 
 def sample_ids(docs: DataFrame, vocabulary: str, end_id: int) -> list[bytes]:
-    """Ids of at most SAMPLE_DOCS documents, chosen by a hash of the id, at most SAMPLE_BYTES of each; sorted."""
+    """Ids of at most SAMPLE_DOCS documents, chosen by a hash of the id, at most SAMPLE_BYTES of each; sorted. Of rows that
+    share an id, one text is used."""
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
+    texts = one_each(docs.join(F.broadcast(chosen), "doc_id"), "doc_id").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
@@ -62,12 +65,14 @@ def sample_ids(docs: DataFrame, vocabulary: str, end_id: int) -> list[bytes]:
             for _, part in slices(*text_column(b)):
                 yield pa.RecordBatch.from_arrays([pa.array([(x + end)[:SAMPLE_BYTES] for x in enc.encode(part)], pa.binary())], names=["ids"])
 
-    return sorted(bytes(r[0]) for r in texts.mapInArrow(run, "ids binary").limit(4 * SAMPLE_DOCS).collect())
+    return sorted(bytes(r[0]) for r in texts.mapInArrow(run, "ids binary").collect())
 
 
 def write_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """Writes the shards and returns their manifest: (pid, path, docs, tokens, dictionary). A null text is empty; null
-    ids come first; repeated rows are documents of their own."""
+    """Writes the shards and returns their manifest: (pid, part, path, docs, tokens, dictionary). A null text is empty: it has
+    the end id alone. Null ids come first; repeated rows are documents of their own, and rows that share an id are in the
+    order of a hash of their texts, by which a frequent id is dealt out, too. A very long text is one frame. No documents, no
+    shards. Other columns are ignored."""
     import zstandard
 
     spark = docs.sparkSession
@@ -81,13 +86,25 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, pid = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
-        z, file, rows, total = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(content)), None, [], 0
+        z, file, rows, total, part = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(content)), None, [], 0, 0
+
+        def closed() -> pa.RecordBatch:
+            index = np.array(rows, _ENTRY).tobytes()
+            at = file.write(index)
+            file.write(struct.pack(_FOOTER, at, len(rows), MAGIC))
+            file.close()
+            one = [pa.array([x], pa.int64()) for x in (pid, part, len(rows), total)]
+            return pa.RecordBatch.from_arrays([*one[:2], pa.array([file.path]), *one[2:], pa.array([name])], names=["pid", "part", "path", "docs", "tokens", "dictionary"])
+
         for b in batches:
             raw, offsets = text_column(b)
             ids = b.column(0).to_pylist()
             for i, texts in slices(raw, offsets):
+                if file is not None and (file.size > SHARD_BYTES or len(rows) >= SHARD_DOCS):
+                    yield closed()
+                    file, rows, total, part = None, [], 0, part + 1
                 if file is None:
-                    file = AtomicFile(folder, f"shard-{pid:08d}.tfids")
+                    file = AtomicFile(folder, f"shard-{pid:08d}-{part:04d}.tfids")
                     file.write(MAGIC + bytes.fromhex(name))
                 for d, x in zip(ids[i : i + len(texts)], enc.encode(texts), strict=True):
                     x += end
@@ -95,14 +112,10 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_
                     rows.append((d or 0, d is None, file.write(frame), len(frame), len(x) // 4))
                     total += len(x) // 4
         if file is not None:
-            index = np.array(rows, _ENTRY).tobytes()
-            at = file.write(index)
-            file.write(struct.pack(_FOOTER, at, len(rows), MAGIC))
-            file.close()
-            yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int64()), pa.array([file.path]), pa.array([len(rows)], pa.int64()), pa.array([total], pa.int64()), pa.array([name])], names=["pid", "path", "docs", "tokens", "dictionary"])
+            yield closed()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, "pid long, path string, docs long, tokens long, dictionary string"), "token-manifest")
+    ordered = docs.withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").drop("_h")
+    return written(ordered.mapInArrow(run, "pid long, part long, path string, docs long, tokens long, dictionary string"), "token-manifest")
 
 
 class Shard:
@@ -135,10 +148,10 @@ def read_files(manifest: DataFrame, folder: str, with_ids: bool = False) -> Data
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document in the files of a manifest, read from the files."""
     spark = manifest.sparkSession
     prepare(spark)
-    # One row a shard: bounded by the number of partitions.
-    shards = sorted((r["pid"], r["path"], r["tokens"]) for r in manifest.collect())
-    bases = [0, *accumulate(t for _, _, t in shards)][:-1]
-    plan = spark.createDataFrame([(p, b) for (_, p, _), b in zip(shards, bases, strict=True)], "path string, base long")
+    # One row a shard: bounded by the number of partitions and of SHARD_BYTES.
+    shards = sorted((r["pid"], r["part"], r["path"], r["tokens"]) for r in manifest.collect())
+    bases = [0, *accumulate(t for *_, t in shards)][:-1]
+    plan = spark.createDataFrame([(p, b) for (_, _, p, _), b in zip(shards, bases, strict=True)], "path string, base long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,6 +170,8 @@ def read_files(manifest: DataFrame, folder: str, with_ids: bool = False) -> Data
 
 
 def op8_zstd_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of all documents, from their files. Nulls, repeated rows, very long texts,
+    clashing columns and empty tables: see write_files()."""
     folder = work_path(spark, "token-files")
     return read_files(write_files(table(spark, sf_dir, "documents"), folder), folder)
 
