@@ -26,6 +26,8 @@ from tallyframe.llm.common import AtomicFile, filesystem, prepare, table, text_c
 WIDTH = 64
 PNG_HEAD = b"\x89PNG\r\n\x1a\n"
 SEQUENCE_DDL = "array<struct<pos:int,kind:string,text:string,ref:string,caption:string>>"
+#: Stored bytes that one task reads back, about.
+READ_BYTES = 16 << 20
 #: Digests that a task remembers, so as to store equal payloads once; beyond it forgets, and the index keeps one copy.
 SEEN = 1 << 18
 
@@ -220,14 +222,18 @@ def features(index: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     one = index.where("shard is not null").groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p"))
-    places = one.select("digest", "p.shard", "p.offset", "p.length").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    # What is shuffled is small, the work is in the files: as many tasks as the stored bytes ask for.
+    stored = index.agg(F.sum("length")).collect()[0][0] or 0
+    places = one.select("digest", "p.shard", "p.offset", "p.length").repartitionByRange(stored // READ_BYTES + 1, "shard", "offset").sortWithinPartitions("shard", "offset")
     return written(places.mapInArrow(run, _FEATURES), "media-features")
 
 
 def text_media(docs: DataFrame, folder: str) -> DataFrame:
     """A row for each row of docs: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
     feature, and the reference's pos and caption in its interleaved sequence. Equal texts share one stored payload and
-    have equal values. A null text is empty: 64 zero bytes. Null ids and repeated rows are rows like others."""
+    have equal values. A null text is empty: 64 zero bytes. Null ids and repeated rows are rows like others. A very long
+    text is one payload, held in memory by the task that stores or reads it. No documents, no rows. Other columns are
+    ignored."""
     kept = store(docs, folder)
     parsed = _parsed(kept)
     refs = parsed.select("doc_id", "n_bytes", F.explode("items").alias("item")).where("item.ref like 'sha256:%'")
@@ -243,6 +249,8 @@ def _parsed(kept: DataFrame) -> DataFrame:
 
 
 def op6_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, digests and feature of the stored payload of every document, and the place and caption of its reference. Nulls,
+    repeated rows, very long texts, clashing columns and empty tables: see text_media()."""
     return text_media(table(spark, sf_dir, "documents"), work_path(spark, "media"))
 
 

@@ -238,8 +238,9 @@ def decide(index: DataFrame) -> DataFrame:
     return joined.select("shard", "number", F.when(other, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), back.alias("refers_to"))
 
 
-def convert(plan: DataFrame, folder: str) -> DataFrame:
-    """Converts the ARC shards of plan (shard, number, record_type, refers_to) to WARC shards. Returns (warc)."""
+def convert(plan: DataFrame, folder: str, shards: int) -> DataFrame:
+    """Converts the ARC shards of plan (shard, number, record_type, refers_to) to WARC shards. Returns (warc). shards: how
+    many there are; what is shuffled is small, the work is in the files, so there is a task for each."""
     prepare(plan.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +268,7 @@ def convert(plan: DataFrame, folder: str) -> DataFrame:
             file.close()
             yield pa.RecordBatch.from_arrays([pa.array([file.path])], names=["warc"])
 
-    rows = plan.select("shard", "number", "record_type", "refers_to").repartition("shard").sortWithinPartitions("shard", "number")
+    rows = plan.select("shard", "number", "record_type", "refers_to").repartition(max(1, shards), "shard").sortWithinPartitions("shard", "number")
     return written(rows.mapInArrow(run, "warc string"), "warc-shards")
 
 
@@ -302,13 +303,16 @@ def read_back(shards: DataFrame, folder: str) -> DataFrame:
 
 
 def convert_pages(pages: DataFrame, folder: str) -> DataFrame:
-    """pages (page_id, url, html) through ARC and WARC, as read_back() has them. A null html is an empty payload; null
-    ids and repeated rows are records like others."""
+    """pages (page_id, url, html) through ARC and WARC, as read_back() has them. A null html is an empty payload, a null url
+    urn:unknown; null ids and repeated rows are records like others (of equal ids the first record is the response). A very
+    long html is one record, held in memory. No pages, no rows. Other columns are ignored."""
     arc = write_arc(pages, folder)
-    return read_back(convert(decide(index_arc(arc, folder)), folder), folder)
+    return read_back(convert(decide(index_arc(arc, folder)), folder, arc.count()), folder)
 
 
 def op9_legacy_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of all pages, read back from the archives. Nulls,
+    repeated rows, very long pages, clashing columns and empty tables: see convert_pages()."""
     return convert_pages(table(spark, sf_dir, "pages"), work_path(spark, "warc"))
 
 
