@@ -48,7 +48,8 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID)
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, the piece's ids
     as little-endian unsigned 32-bit integers). Repeated rows are documents of their own; a null doc_id stays null; no
-    documents, no rows. Only the last sequence has fewer than `window` ids. Other columns are ignored."""
+    documents, no rows. A null or empty text has the end id alone, a very long one spans many sequences. Only the last
+    sequence has fewer than `window` ids. Other columns are ignored."""
     spark = docs.sparkSession
     enc = encoded(docs, vocabulary, end_id)
     # One row a partition: bounded by the number of input splits.
@@ -83,6 +84,8 @@ def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataF
 
 
 def op4_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 ids. Nulls, repeated rows, very long texts, clashing columns and
+    empty tables: see pack()."""
     return pack(table(spark, sf_dir, "documents"))
 
 

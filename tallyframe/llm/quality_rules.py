@@ -99,8 +99,8 @@ def measured(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -
     """The rules with cost (seconds a row) and rejected (share of rows) on at most sample_rows rows of df, ordered by
     rejection per cost. df holds _t and the base columns. Without rows, the given order."""
     spark = df.sparkSession
-    # Taken partition by partition until there are enough, and kept as a local relation of the plan: no scan of all.
-    some = df.select(F.left("_t", F.lit(SAMPLE_CHARS)).alias("_t")).limit(sample_rows)._jdf
+    # Chosen by a hash over all rows, so that no partition is preferred; kept as a local relation of the plan.
+    some = df.select(F.left("_t", F.lit(SAMPLE_CHARS)).alias("_t"), F.xxhash64("_t").alias("_h")).orderBy("_h", "_t").limit(sample_rows).select("_t")._jdf
     taken = some.collectAsList()
     rows = taken.size()
     if not rows:
@@ -147,7 +147,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept of every row of docs.
     The statistics are returned, so they are computed for all rows; the content rules run only on rows that pass the
-    base. A null text counts as empty: no words, base_failed. Other columns are ignored."""
+    base. A null text counts as empty: no words, base_failed. Repeated rows are judged each for itself; a very long text is
+    one row's arrays. No documents, no rows. Other columns are ignored."""
     plain = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
     df = with_steps(plain, base_steps() + symbol_steps() + repeat_steps())
     df = df.withColumn("base_failed", F.expr("_n_words < 20 or 100 * _n_repeat_words > 30 * _n_words"))
@@ -161,6 +162,8 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document. Nulls, empty and very long texts, repeated rows and clashing columns: see
+    quality(); an empty table has no rows."""
     return quality(table(spark, sf_dir, "documents"))
 
 

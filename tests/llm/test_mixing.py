@@ -92,3 +92,16 @@ def test_query(spark):
     assert {r.doc_id for r in rows} == set(docs)
     named = [r for r in rows if r.domain != "poor"]
     assert sum(docs[r.doc_id] == r.domain for r in named) > 0.9 * len(named)
+
+
+def test_clashing_columns_and_repeated_rows(spark, make):
+    _, docs, labels = model_docs(spark, make)
+    docs = docs.union(docs.limit(1)).selectExpr("*", "1 as _mix_id", "2 as _mix_copies", "3 as _mix_copy", "4 as copies", "5 as rate", "6 as id", "7 as row")
+    got = mixing.mixed(docs, labels)
+    assert got.columns == docs.columns and got.count() > 0 and {(r._mix_id, r.row) for r in got.collect()} == {(1, 7)}
+
+
+def test_missed_targets_warn(spark):
+    p = spark.createDataFrame([(1, 10, 0.5, 0.5)], "doc_id long, tokens long, p0 double, p1 double")
+    with pytest.warns(UserWarning, match="off their targets"):
+        mixing.fit_rates(p, ["a", "b"], {"a": 100.0, "b": 1.0})
