@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.contract import integer
 from tallyframe.functions.metrics import exact_match
 from tallyframe.functions.text import filled, has_gold, normalize_answer, stringify, stripped
+from tallyframe.operators.joins import strict_pairs
 
 
 def scored(p: DataFrame) -> DataFrame:
@@ -160,10 +161,11 @@ def pivot_models(pairs: DataFrame, n: int) -> DataFrame:
 
 
 def contingency(a: DataFrame, b: DataFrame, key: str = "idx") -> DataFrame:
-    """Two runs over the same examples: who was right, how often they agree, and the difference of their scores."""
-    x = scored(a).select(key, F.col("correct").alias("ca"), F.col("prediction").alias("pa"), F.col("score").alias("sa"))
-    y = scored(b).select(key, F.col("correct").alias("cb"), F.col("prediction").alias("pb"), F.col("score").alias("sb"))
-    j = x.join(y, key)
+    """Two runs over the same examples: who was right, how often they agree, and the difference of their scores. Raises if
+    an example is repeated, in one run only, or has another target there."""
+    x = scored(a).select(key, F.col("correct").alias("ca"), F.col("prediction").alias("pa"), F.col("score").alias("sa"), F.col("target_answer").alias("ta"))
+    y = scored(b).select(key, F.col("correct").alias("cb"), F.col("prediction").alias("pb"), F.col("score").alias("sb"), F.col("target_answer").alias("tb"))
+    j = strict_pairs(x, y, key, {"ta": "tb"})
     return j.agg(
         F.count(F.lit(1)).alias("examples"), F.count_if(F.expr("ca and cb")).alias("both_correct"), F.count_if(F.expr("ca and not cb")).alias("only_first"), F.count_if(F.expr("cb and not ca")).alias("only_second"),
         F.count_if(F.expr("not ca and not cb")).alias("both_wrong"), F.round(F.avg(F.expr("cast(pa <=> pb as double)")), 9).alias("agreement"), F.round(F.avg("sb") - F.avg("sa"), 9).alias("delta"),

@@ -25,16 +25,16 @@ def missing_pairs(expected: DataFrame, found: DataFrame, keys: list[str]) -> Dat
     return expected.join(found.select(*keys).distinct(), keys, "left_anti")
 
 
-def strict_pairs(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """1:1 join that raises on a repeated key or a key of one side only. The other columns must differ in name."""
-    for side in (a, b):
-        bad = side.groupBy(key).count().where("count > 1").limit(1)
-        if bad.head(1):
-            raise ValueError(f"the key {key!r} is repeated")
-    joined = a.withColumn("_a", F.lit(1)).join(b.withColumn("_b", F.lit(1)), key, "full_outer")
-    one_sided = F.col("_a").isNull() | F.col("_b").isNull()
-    checked = joined.withColumn("_ok", F.when(one_sided, F.raise_error(F.lit("a key is on one side only"))).otherwise(F.lit(1)))
-    return checked.where("_ok = 1").drop("_a", "_b", "_ok")
+def strict_pairs(a: DataFrame, b: DataFrame, key: str, same: dict[str, str] | None = None) -> DataFrame:
+    """1:1 join that raises, when it runs, on a repeated key, a key of one side only, or columns of a that differ from those
+    of b that `same` names. The other columns must differ in name. One shuffle: both sides are grouped by the key."""
+    rows = a.select(key, F.struct(*[c for c in a.columns if c != key]).alias("_a")).unionByName(b.select(key, F.struct(*[c for c in b.columns if c != key]).alias("_b")), allowMissingColumns=True)
+    own = rows.groupBy(key).agg(*[F.count(s).alias(f"_n{s}") for s in ("_a", "_b")], *[F.first(s, ignorenulls=True).alias(s) for s in ("_a", "_b")])
+    wrong = lambda text: F.raise_error(F.lit(text)).cast("int")
+    ok = F.when((F.col("_n_a") > 1) | (F.col("_n_b") > 1), wrong("a key is repeated")).when((F.col("_n_a") == 0) | (F.col("_n_b") == 0), wrong("a key is on one side only"))
+    for x, y in (same or {}).items():
+        ok = ok.when(~F.col(f"_a.{x}").eqNullSafe(F.col(f"_b.{y}")), wrong(f"{x} differs"))
+    return own.withColumn("_ok", ok.otherwise(F.lit(1))).where("_ok = 1").select(key, "_a.*", "_b.*")
 
 
 def exactly_one(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Hand-computed cases for the rules that are easy to get wrong."""
 
+import math
 import random
 import re
 import string
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyframe.functions import contract, metrics, text, vectors
-from tallyframe.operators import aggregates, compare, dialogue, joins, loop, ranking, recovery, text_metrics
+from tallyframe.operators import aggregates, compare, dialogue, joins, loop, ranking, recovery, scoring, text_metrics
 
 
 def one(spark, *columns):
@@ -209,8 +210,10 @@ def test_joins(spark):
     right = spark.createDataFrame([(1, "a", "ok"), (2, "a", "failed")], "ordinal int, k string, status string")
     assert {r.k: r.status for r in joins.join_last(left, right, ["k"]).collect()} == {"a": "failed", "b": "missing"}
     assert [(r.k, r.status) for r in joins.join_first(left, right, ["k"]).collect()] == [("a", "ok")]
-    with pytest.raises(ValueError):
-        joins.strict_pairs(left, right.drop("ordinal"), "k")
+    with pytest.raises(Exception, match="repeated"):
+        joins.strict_pairs(left, right.drop("ordinal"), "k").collect()
+    with pytest.raises(Exception, match="ordinal differs"):
+        joins.strict_pairs(left, left.selectExpr("k", "ordinal + 1 as other"), "k", {"ordinal": "other"}).collect()
     with pytest.raises(Exception, match="one side"):
         joins.strict_pairs(left, right.where("ordinal = 1").select("k", "status"), "k").collect()
     assert joins.strict_pairs(left.where("k = 'a'"), right.where("ordinal = 1").select("k", "status"), "k").count() == 1
@@ -317,3 +320,49 @@ def test_answer_windows_and_offsets(spark):
     assert tuple(got[1])[1:] == (10.0, 6.0, 1, 1, 2) and got[2].window is None and got[2].span_score == got[2].null_score == 18.0
     found = one(spark, sq.piece_offsets(lit("The cat, the dog"), F.array(*map(F.lit, [" the", "CAT", "", "bird", "the", "g"]))))[0]
     assert [tuple(x) for x in found] == [(0, 3), (4, 7), (0, 0), (0, 0), (9, 12), (15, 16)]
+
+
+def test_option_scores(spark):
+    rows = [(1, 0, "a", 2, [[9.0, 0.0], [0.0, 1.0], [1.0, 0.0]], [1]), (1, 1, "b", 2, [[9.0, 0.0], [0.0, 1.0], [1.0, 0.0]], [1, 0]), (1, 2, "c", 2, [[0.0, 0.0]], []), (2, 0, "x", 1, [[0.0, 0.0]], [0]), (2, 1, "y", 1, [[0.0, 0.0]], [1])]
+    df = spark.createDataFrame(rows, "key int, ordinal int, label string, prompt_length int, logits array<array<double>>, ids array<int>")
+    lp = -math.log(1 + math.exp(-1))
+    for mean, want in ((False, "a"), (True, "a")):
+        got = {r.key: r for r in scoring.option_scores(df, "key", mean).collect()}
+        assert (got[1].prediction, got[2].prediction, got[1].options) == (want, "x", 3) and got[1].score == pytest.approx(lp) and got[2].score == pytest.approx(math.log(0.5))
+    score = df.where("label = 'b'").select(scoring.sequence_logprob(F.col("logits"), F.col("ids"), 1)).collect()[0][0]
+    assert score == pytest.approx(2 * lp)
+
+
+def test_resize():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 256, (5, 9, 3)).astype(np.uint8)
+    assert (scoring.resized(np.full((7, 3, 3), 200, np.uint8), 4) == 200).all() and scoring.resized(x, 6).shape == (6, 6, 3)
+    assert (scoring.resized(x[:5, :5], 5) == x[:5, :5]).all()
+    ramp = np.tile(np.arange(0, 160, 10, dtype=np.uint8)[None, :, None], (16, 1, 3))
+    assert (np.diff(scoring.resized(ramp, 8)[0, :, 0].astype(int)) > 0).all()
+
+
+def test_vertices_are_checked(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "id long, v array<double>")
+    assert sorted(scoring.append_vertex(df, df.where("id = 1"), "v", "id").collect())[-1] == (2, [3.0, 4.0])
+    for bad, new in ((df.selectExpr("id * 2 as id", "v"), df), (df, df.selectExpr("id", "slice(v, 1, 1) as v"))):
+        with pytest.raises(Exception, match="aligned|dimension"):
+            scoring.append_vertex(bad, new, "v", "id").collect()
+
+
+@pytest.mark.parametrize("x", [0.0, -0.0, 1.0, -2.5, 123456789.0, 1234567890.0, 0.0001, 0.00001234567891, 1 / 3, 1e22, 1.5e-300, 99999999.95, 100.0, 0.1 + 0.2])
+def test_score_text(spark, x):
+    assert one(spark, text.score_text(F.lit(x))) == ["%.9g" % (x + 0.0)]
+
+
+def test_configs():
+    import json
+
+    from tallyframe.operators.contracts import rewritten_config
+
+    deep = {"a": [{"b": {"use_cache": None, "c": [None, {"use_cache": None}]}}], "rope_type": "r", "architectures": ["TinyBertX"]}
+    got = json.loads(rewritten_config(json.dumps(deep)))
+    assert got == {"a": [{"b": {"use_cache": True, "c": [None, {"use_cache": True}]}}], "rope_type": "r", "type": "r", "model_type": "bert", "architectures": ["TinyBertX"]}
+    assert json.loads(rewritten_config('{"use_cache": null, "rope_type": "x"}', False)) == {"use_cache": True, "rope_type": "x"} and rewritten_config("no") is None and rewritten_config(None) is None
