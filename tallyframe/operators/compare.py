@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.contract import is_close
-from tallyframe.functions.text import belongs_to
+from tallyframe.functions.text import best_rank, condition_names
 from tallyframe.operators.ranking import first_best
 
 
 def pools(pairs: DataFrame, methods: dict[str, tuple[str, ...]], ranks: tuple[int, ...] = (1, 5)) -> DataFrame:
     """pairs (dataset, model, ordinal, conditions, score, metric): one row for each dataset and rank limit, with the best
     model of each method's pool, its score and metric, and measured/pool counts. Pools are one conditional aggregation."""
-    wide = pairs.withColumn("max_rank", F.explode(F.array(*[F.lit(k) for k in ranks])))
-    for name, conditions in methods.items():
-        inside = reduce(lambda a, b: a | b, [(F.col("max_rank") == k) & belongs_to(F.col("conditions"), conditions, k) for k in ranks])
+    # Memberships are parsed once a pair; a method needs its best rank alone.
+    own = pairs.withColumn("_m", condition_names(F.col("conditions")))
+    own = own.withColumns({f"_r_{name}": best_rank(F.col("_m"), conditions) for name, conditions in methods.items()}).drop("_m")
+    wide = own.withColumn("max_rank", F.explode(F.array(*[F.lit(k) for k in ranks])))
+    for name in methods:
+        inside = F.coalesce(F.col(f"_r_{name}") <= F.col("max_rank"), F.lit(False))
         wide = wide.withColumns({f"_in_{name}": inside, f"_s_{name}": F.when(inside, F.col("score"))})
     cells = []
     for name in methods:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.contract import measured_success
-from tallyframe.functions.text import has_gold, normalize_label_text, stripped
+from tallyframe.functions.text import filled, has_gold, normalize_label_text, stripped
 
 #: Families of labels that classifiers and datasets spell differently.
 LABEL_FAMILIES = (
@@ -90,8 +90,10 @@ def failure_reasons(*sources: DataFrame) -> DataFrame:
     rows = sources[0].withColumn("_s", F.lit(0))
     for i, s in enumerate(sources[1:], 1):
         rows = rows.unionByName(s.withColumn("_s", F.lit(i)))
-    texts = rows.where("trim(coalesce(message, '')) <> ''").groupBy("dataset", "model").agg(F.array_sort(F.collect_list(F.struct("_s", "ordinal", "message"))).alias("m"))
-    return texts.select("dataset", "model", F.array_join(F.array_distinct(F.transform("m", lambda x: x["message"])), " | ").alias("reasons"))
+    # A text's first place before the pair's list: the list holds distinct texts, whatever the number of rows.
+    first = rows.where(filled(F.col("message"))).groupBy("dataset", "model", "message").agg(F.min(F.struct("_s", "ordinal")).alias("at"))
+    texts = first.groupBy("dataset", "model").agg(F.array_sort(F.collect_list(F.struct("at", "message"))).alias("m"))
+    return texts.select("dataset", "model", F.array_join(F.transform("m", lambda x: x["message"]), " | ").alias("reasons"))
 
 
 def closest_label(raw: Column, candidates: Column) -> Column:

@@ -41,37 +41,46 @@ def _norm(x: str) -> str:
     return N.replace("{x}", x)
 
 
-@query(E + f""", q AS (SELECT label AS query_label, min(vec_id) AS q FROM e GROUP BY 1), p AS (SELECT q.query_label, e.*, b.x AS y FROM q JOIN e b ON b.vec_id = q.q CROSS JOIN e),
-s AS (SELECT query_label, vec_id, round({_dot('x', 'y')} / ({_norm('x')} * {_norm('y')}), 6) AS score FROM p)
-SELECT query_label, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+@query(E + f""", q AS (SELECT vec_id AS query_id, x AS y FROM e WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round({_dot('x', 'y')} / ({_norm('x')} * {_norm('y')}), 6) AS score FROM q CROSS JOIN e)
+SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
 def cosine_topk(spark, sf_dir):
-    """Queries are one vector a label, so the broadcast side has as many rows as there are labels (ten)."""
-    e = embeddings(spark, sf_dir)
-    q = e.groupBy(F.col("label").alias("query_label")).agg(F.min_by("x", "vec_id").alias("y"))
-    s = e.join(F.broadcast(q)).select("query_label", "vec_id", F.round(v.cosine(F.col("x"), F.col("y")), 6).alias("score"))
-    w = Window.partitionBy("query_label").orderBy(F.desc("score"), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    """Every row whose id is divisible by 50 against all rows, in blocks of queries. A task keeps ten rows a query before
+    anything is shuffled."""
+    return vector_search(embeddings(spark, sf_dir), 50, 10)
+
+
+def vector_search(e, every: int, top: int, block: int = 64):
+    """(query_id, vec_id, score, rank): the `top` most similar rows (vec_id, x) of each query, of equals the first. Queries
+    go in blocks of about `block`, so that a row meets a block, not a query, in the join; Spark chooses how by their size."""
+    unit = e.select("vec_id", v.unit(F.col("x")).alias("x"))
+    q = unit.where(F.col("vec_id") % every == 0).groupBy(F.floor(F.col("vec_id") / (every * block)).alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("x").alias("y"))).alias("qs"))
+    s = unit.crossJoin(q).select("vec_id", F.inline(F.transform("qs", lambda k: F.struct(k["query_id"].alias("query_id"), F.round(v.dot(F.col("x"), k["y"]), 6).alias("score")))))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "vec_id", "score", "rank")
 
 
 CENTRES = """, u AS (SELECT label, generate_subscripts(x, 1) AS d, unnest(x) AS z FROM e), m AS (SELECT label, d, avg(z) AS z FROM u GROUP BY 1, 2), c AS (SELECT label, list(z ORDER BY d) AS y FROM m GROUP BY 1)"""
 
 
+def centres(e):
+    dims = e.select("label", F.posexplode("x").alias("d", "z")).groupBy("label", "d").agg(F.avg("z").alias("z"))
+    return dims.groupBy("label").agg(v.unit(F.transform(F.array_sort(F.collect_list(F.struct("d", "z"))), lambda x: x["z"])).alias("y"))
+
+
 @query(E + CENTRES + f" SELECT label, round(list_sum(list_transform(y, lambda z: z / {_norm('y')})), 6) AS total, round(list_max(y) / {_norm('y')}, 6) AS top FROM c")
 def mean_pool(spark, sf_dir):
-    e = embeddings(spark, sf_dir).groupBy("label").agg(F.collect_list("x").alias("rows"))
-    p = e.select("label", v.mean_pool(F.col("rows"), F.transform("rows", lambda x: F.lit(1))).alias("p"))
+    """Averages by place, with a partial step: no array of a label's vectors. v.mean_pool() is for the rows of one text."""
+    p = centres(embeddings(spark, sf_dir)).select("label", F.col("y").alias("p"))
     return p.select("label", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.array_max("p"), 6).alias("top"))
 
 
 @query(E + CENTRES + f""", s AS (SELECT e.vec_id, c.label, round({_dot('e.x', 'c.y')} / {_norm('c.y')}, 6) AS score FROM e CROSS JOIN c)
 SELECT vec_id, label AS predicted, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rn FROM s) WHERE rn = 1""")
 def embedding_label(spark, sf_dir):
-    """The label vectors are ten rows: their broadcast is bounded by the number of labels."""
+    """One row with all label vectors meets every row; Spark broadcasts it if it is small enough."""
     e = embeddings(spark, sf_dir)
-    dims = e.select("label", F.posexplode("x").alias("d", "z")).groupBy("label", "d").agg(F.avg("z").alias("z"))
-    centre = dims.groupBy("label").agg(v.unit(F.transform(F.array_sort(F.collect_list(F.struct("d", "z"))), lambda x: x["z"])).alias("y"))
-    every = centre.agg(F.array_sort(F.collect_list(F.struct("label", "y"))).alias("labels"))
-    scored = e.join(F.broadcast(every)).select("vec_id", F.transform("labels", lambda c: F.struct(F.round(v.dot(F.col("x"), c["y"]), 6).alias("score"), (-c["label"]).alias("neg"))).alias("s"))
+    every = centres(e).agg(F.array_sort(F.collect_list(F.struct("label", "y"))).alias("labels"))
+    scored = e.crossJoin(every).select("vec_id", F.transform("labels", lambda c: F.struct(F.round(v.dot(F.col("x"), c["y"]), 6).alias("score"), (-c["label"]).alias("neg"))).alias("s"))
     best = scored.select("vec_id", F.array_max("s").alias("b"))
     return best.select("vec_id", (-F.col("b.neg")).alias("predicted"), F.col("b.score").alias("score"))
 
@@ -117,12 +126,14 @@ def bio_decode(spark, sf_dir):
     return sequences.bio_spans(rows)
 
 
-@query("""WITH b AS (SELECT doc_id, list_transform(string_split(source, ''), lambda c: ascii(c)::BIGINT) AS ids FROM documents), m AS (SELECT max(len(ids)) AS n FROM b)
-SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(n - len(ids)), lambda i: 0::BIGINT)), ',') AS ids, len(ids)::INT AS n_real FROM b, m""")
+@query("""WITH b AS (SELECT doc_id, list_transform(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> ''), lambda w: length(w)::BIGINT) AS ids FROM documents), k AS (SELECT *, doc_id // 16 AS batch FROM b), m AS (SELECT batch, max(len(ids)) AS n FROM k GROUP BY 1)
+SELECT doc_id, md5(array_to_string(list_concat(ids, list_transform(range(n - len(ids)), lambda i: 0::BIGINT)), ',')) AS ids, len(ids)::INT AS n_real, n::INT AS n FROM k JOIN m ON k.batch = m.batch""")
 def pad_rows(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("source", ""), lambda c: F.ascii(c).cast("bigint")).alias("ids"))
-    n = rows.agg(F.max(F.size("ids")).alias("n"))
-    return rows.join(F.broadcast(n)).select("doc_id", F.array_join(v.pad(F.col("ids"), F.col("n")).cast("array<string>"), ",").alias("ids"), F.size("ids").alias("n_real"))
+    """Rows of numbers of whole texts (the lengths of their words), padded to the longest of their batch of sixteen."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch"), F.transform(words, lambda w: F.length(w).cast("bigint")).alias("ids"))
+    rows = rows.join(rows.groupBy("batch").agg(F.max(F.size("ids")).alias("n")), "batch")
+    return rows.select("doc_id", F.md5(F.array_join(v.pad(F.col("ids"), F.col("n")).cast("array<string>"), ",").cast("binary")).alias("ids"), F.size("ids").alias("n_real"), "n")
 
 
 @query("SELECT vec_id, array_to_string(list_concat(x[1:4], x[-12:]), ',') AS kept FROM (SELECT vec_id, list_transform(range(64), lambda i: vec_id + i) AS x FROM embeddings)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.contract import is_loop_measurement, is_measurement, is_smoke
 from tallyframe.operators import aggregates as agg
 from tallyframe.operators import compare, joins, loop, ranking, recovery
-from tallyframe.plans.fixtures import fixture, with_fixtures
+from tallyframe.plans.fixtures import fixture, table, with_fixtures
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -386,16 +386,26 @@ def exactly_one_plan(spark, sf_dir):
     return joins.exactly_one(rows.select("dataset", "model", "round").distinct(), plans, ["dataset", "model", "round"], "plan")
 
 
-@query(O + """, k AS (SELECT o.model, min(ordinal) AS ordinal FROM o WHERE dataset = 'click' AND lower(o.model) IN (SELECT lower(model) FROM o WHERE dataset = 'view' AND "rank" <= 2) AND lower(o.model) NOT IN (SELECT lower(model) FROM o WHERE dataset = 'error' AND ordinal <= 60) GROUP BY o.model)
-SELECT model, ordinal, row_number() OVER (ORDER BY ordinal)::INT AS new_rank FROM k QUALIFY new_rank <= 5""")
+USERS = "u AS (SELECT event_id AS ordinal, event_type AS role, value, concat(CASE WHEN event_id % 2 = 0 THEN 'U' ELSE 'u' END, user_id) AS model FROM events)"
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as candidates: one model a user, spelled in two ways."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("ordinal"), F.col("event_type").alias("role"), "value", F.concat(F.when(F.col("event_id") % 2 == 0, "U").otherwise("u"), F.col("user_id").cast("string")).alias("model"))
+
+
+@query(f"""WITH {USERS}, k AS (SELECT lower(model) AS key, min(ordinal) AS ordinal FROM u WHERE role = 'click' AND lower(model) IN (SELECT lower(model) FROM u WHERE role = 'view' AND value < 40) AND lower(model) NOT IN (SELECT lower(model) FROM u WHERE role = 'error' AND value > 60) GROUP BY 1)
+SELECT u.model, k.ordinal, row_number() OVER (ORDER BY k.ordinal)::INT AS new_rank FROM k JOIN u ON u.ordinal = k.ordinal QUALIFY new_rank <= 5""")
 def allowed_candidates(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "results")
-    got = joins.allowed_candidates(rows.where("dataset = 'click'"), rows.where("dataset = 'view' and rank <= 2"), rows.where("dataset = 'error' and ordinal <= 60"), "model", 5)
+    """The first five are what this operator returns."""
+    u = users(spark, sf_dir)
+    got = joins.allowed_candidates(u.where("role = 'click'"), u.where("role = 'view' and value < 40"), u.where("role = 'error' and value > 60"), "model", 5)
     return got.select("model", "ordinal", "new_rank")
 
 
-@query(O + """, s AS (SELECT DISTINCT model FROM o WHERE "round" = 1 AND dataset = 'view' AND ordinal < 40), b AS (SELECT ordinal, o.model, s.model IS NOT NULL AS seen, row_number() OVER (PARTITION BY o.model ORDER BY ordinal) AS n FROM o LEFT JOIN s ON o.model = s.model WHERE "round" = 2 AND dataset = 'view')
+@query(f"""WITH {USERS}, s AS (SELECT DISTINCT lower(model) AS key FROM u WHERE role = 'purchase' AND value > 60), b AS (SELECT ordinal, model, s.key IS NOT NULL AS seen, row_number() OVER (PARTITION BY lower(model) ORDER BY ordinal) AS n FROM u LEFT JOIN s ON lower(u.model) = s.key WHERE role <> 'purchase')
 SELECT ordinal, model, CASE WHEN seen THEN 'already_seen' WHEN n > 1 THEN 'duplicate_in_batch' END AS reason FROM b""")
 def handoff_dedup(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "results").where("dataset = 'view'")
-    return loop.new_candidates(rows.where("round = 2"), rows.where("round = 1 and ordinal < 40")).select("ordinal", "model", "reason")
+    u = users(spark, sf_dir)
+    return loop.new_candidates(u.where("role <> 'purchase'"), u.where("role = 'purchase' and value > 60")).select("ordinal", "model", "reason")
