@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.plans import cycles, numerics, runs, texts
+from tallyframe.plans import artefacts, cycles, numerics, runs, texts
 
-MODULES = (runs, texts, numerics, cycles)
+MODULES = (runs, texts, numerics, cycles, artefacts)
 
 
 def queries() -> dict:
