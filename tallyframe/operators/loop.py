@@ -57,6 +57,23 @@ def content_checksum(df: DataFrame) -> str:
     return checksum([sorted(df.columns), *df.agg(F.count(F.lit(1)), *sums).collect()[0]])
 
 
+def call_provider(provider: Callable[[dict], dict], request: dict, retries: int = 2) -> dict:
+    """The answer of a provider of candidates to a request. The request is sent with its checksum, and the answer must name
+    it under request_checksum and hold candidates; otherwise it is asked again, with the error, so many times."""
+    own, error = checksum(request), ""
+    for _ in range(retries + 1):
+        try:
+            answer = provider({**request, "checksum": own, **({"previous_error": error} if error else {})})
+            if answer.get("request_checksum") != own:
+                raise ValueError("the answer is to another request")
+            if not isinstance(answer.get("candidates"), list):
+                raise ValueError("the answer has no list of candidates")
+            return answer
+        except Exception as e:  # whatever a provider raises counts as a failed attempt
+            error = f"{type(e).__name__}: {e}"
+    raise RuntimeError(f"no valid answer in {retries + 1} attempts; last: {error}")
+
+
 #: Why a loop ends.
 STOP_REASONS = ("no_candidates", "duplicate_candidates", "all_candidates_failed", "target_reached", "no_improvement", "reviewed_stop", "static_rounds_finished", "max_rounds_reached")
 

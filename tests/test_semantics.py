@@ -366,3 +366,18 @@ def test_configs():
     got = json.loads(rewritten_config(json.dumps(deep)))
     assert got == {"a": [{"b": {"use_cache": True, "c": [None, {"use_cache": True}]}}], "rope_type": "r", "type": "r", "model_type": "bert", "architectures": ["TinyBertX"]}
     assert json.loads(rewritten_config('{"use_cache": null, "rope_type": "x"}', False)) == {"use_cache": True, "rope_type": "x"} and rewritten_config("no") is None and rewritten_config(None) is None
+
+
+def test_providers():
+    asked = []
+
+    def provider(request):
+        asked.append(request)
+        if len(asked) == 1:
+            raise OSError("down")
+        return {"request_checksum": request["checksum"] if len(asked) > 2 else "other", "candidates": []}
+
+    got = loop.call_provider(provider, {"round": 1})
+    assert len(asked) == 3 and got["request_checksum"] == loop.checksum({"round": 1}) and "OSError: down" in asked[1]["previous_error"] and "another request" in asked[2]["previous_error"]
+    with pytest.raises(RuntimeError, match="2 attempts"):
+        loop.call_provider(lambda r: {}, {}, 1)
