@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.plans import artefacts, cycles, numerics, runs, texts
+from tallyframe.plans import artefacts, cycles, details, numerics, runs, texts
 
-MODULES = (runs, texts, numerics, cycles, artefacts)
+MODULES = (runs, texts, numerics, cycles, artefacts, details)
 
 
 def queries() -> dict:
