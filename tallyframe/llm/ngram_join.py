@@ -8,7 +8,7 @@ minima of their points. The index has two levels:
   shingles are in only one of them. Cut the hash range into r + 1 + s blocks: at least s + 1 blocks are equal in both. So every
   document goes to the tile of each of its non-empty blocks, and linked documents with at most s empty blocks meet in
   some tile. A document with more uses twice as many blocks as well, and there its empty ones too if they are many.
-* A bulk-loaded R-tree over the group-count points of a tile's members. A point has at least four times as many groups as its
+* A bulk-loaded R-tree over the group-count points of a tile's members. A point has at least eight times as many groups as its
   set has shingles, so that the bound stays sharp on long sets; upper nodes are kept over fewer groups, which adding
   neighbours gives. A probe descends into nodes whose summed minima with the node's upper corner reach the overlap that a
   link needs.
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import discard, mix, prepare, shared_dir, signed, table, text_column, word_hashes, written
+from tallyframe.llm.common import discard, mix, prepare, signed, table, text_column, word_hashes, written
 
 #: Words of a shingle, and the Jaccard similarity of a link, of op10; other callers give their own.
 SHINGLE, SIMILARITY = 4, 0.85
@@ -139,8 +139,8 @@ def fingerprint(s: np.ndarray, added: np.ndarray | None = None) -> tuple[int, in
 
 
 def counts(s: np.ndarray) -> np.ndarray:
-    """Counts of a set's hashes in equal ranges: the least power of two of at least four for each shingle, in the limits."""
-    groups = min(MOST_GROUPS, max(GROUPS, 1 << (4 * len(s) - 1).bit_length()))
+    """Counts of a set's hashes in equal ranges: the least power of two of at least eight for each shingle, in the limits."""
+    groups = min(MOST_GROUPS, max(GROUPS, 1 << (8 * len(s) - 1).bit_length()))
     out = np.bincount((s >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups)
     return out.astype(np.uint8 if out.max(initial=0) < 256 else np.uint32)
 
@@ -240,33 +240,64 @@ _INDEX_DDL = "fp long, fp2 long, tile long, doc_id long, n long, point binary"
 SEEN = 1 << 20
 
 
-def _index(batches: Iterator[pa.RecordBatch], link: Link) -> Iterator[pa.RecordBatch]:
+def _fresh(batches: Iterator[pa.RecordBatch], link: Link) -> Iterator[tuple]:
+    """(batch, number in it, set, content, fingerprint, new) of every text; new: this task has not seen an equal set lately."""
     seen: set[tuple[int, int]] = set()
     for b in batches:
-        raw, offsets = text_column(b)
-        ids, sizes, fps, points, tiles, owners = b.column(0), [], [], [], [], []
-        for s in shingle_sets(raw, offsets, link):
+        for i, s in enumerate(shingle_sets(*text_column(b), link)):
             added = content(s)
             fp = fingerprint(s, added)
-            sizes.append(len(s))
-            fps.append(fp)
-            points.append(None)
-            if len(s) and fp not in seen:
+            new = len(s) > 0 and fp not in seen
+            if new:
                 seen.add(fp)
                 if len(seen) > SEEN:
                     seen.clear()
-                points[-1] = point(s)
-                tiles.append(signed(tile_keys(s, link, added)))
-                owners.append(np.full(len(tiles[-1]), fp[0], np.int64))
-        k = len(sizes)
-        one, two = ([f[i] for f in fps] for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.nulls(k, pa.int64()), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(points, pa.binary())], schema=_INDEX)
-        if tiles:
-            t, o = np.concatenate(tiles), np.concatenate(owners)
-            for at in range(0, len(t), 1 << 18):
-                m = len(t[at : at + (1 << 18)])
-                none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(o[at : at + m]), none, pa.array(t[at : at + m]), none, none, pa.nulls(m, pa.binary())], schema=_INDEX)
+            yield b, i, s, added, fp, new
+
+
+def _index(batches: Iterator[pa.RecordBatch], link: Link) -> Iterator[pa.RecordBatch]:
+    """A row for each text: its fingerprint, size, and point (null for a set seen before). For one fingerprint in HEAT
+    also a row for each of its tiles."""
+    out: list[list] = []
+    batch = None
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _INDEX, strict=True)], schema=_INDEX)
+
+    for b, i, s, added, fp, new in _fresh(batches, link):
+        if b is not batch or len(out) > 1 << 16:
+            if out:
+                yield flush()
+            batch, ids, out = b, b.column(0).cast(pa.int64()).to_pylist(), []
+        out.append([*fp, None, ids[i], len(s), point(s) if new else None])
+        if new and fp[0] % HEAT == 0:
+            out += [[fp[0], None, t, None, None, None] for t in signed(tile_keys(s, link, added)).tolist()]
+    if out:
+        yield flush()
+
+
+_KEYS = pa.schema([("tile", pa.int64()), ("fp", pa.int64())])
+
+
+def _tile_rows(batches: Iterator[pa.RecordBatch], link: Link) -> Iterator[pa.RecordBatch]:
+    """(tile, fp) of every set, straight into the shuffle: this is the largest intermediate, and is never written."""
+    tiles, owners, held = [], [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        t, o = np.concatenate(tiles), np.concatenate(owners)
+        for at in range(0, len(t), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(t[at : at + (1 << 18)]), pa.array(o[at : at + (1 << 18)])], schema=_KEYS)
+
+    for _, _, s, added, fp, new in _fresh(batches, link):
+        if new:
+            tiles.append(signed(tile_keys(s, link, added)))
+            owners.append(np.full(len(tiles[-1]), fp[0], np.int64))
+            held += len(tiles[-1])
+            if held > 1 << 17:
+                yield from flush()
+                tiles, owners, held = [], [], 0
+    if held:
+        yield from flush()
 
 
 _TILES = pa.schema([("tile", pa.int64()), ("chunk", pa.int64()), ("fp", pa.int64())])
@@ -687,11 +718,11 @@ def _dealt(tiles: DataFrame, points: DataFrame) -> DataFrame:
     return rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "node")
 
 
-def _tiles(index: DataFrame, nodes: DataFrame) -> DataFrame:
+def _tiles(docs: DataFrame, index: DataFrame, nodes: DataFrame, link: Link) -> DataFrame:
     """(tile, chunk, node) of tiles with two sets or more. Hot tiles, found on one fingerprint in HEAT, are shared anyway:
     their rows are dealt out by fingerprint and never meet in one task."""
-    rows = index.where("tile is not null").select("tile", "fp")
-    heat = rows.where(F.pmod(F.xxhash64("fp"), F.lit(HEAT)) == 0).groupBy("tile").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= HOT)
+    rows = docs.mapInArrow(partial(_tile_rows, link=link), "tile long, fp long")
+    heat = index.where("tile is not null").groupBy("tile").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= HOT)
     heat = written(heat.select("tile", (F.col("k") * HEAT / TILE + 1).cast("long").alias("chunks")), "ngram-heat")
     hot = bool(heat.head(1))
     cool = rows.join(heat, "tile", "left_anti") if hot else rows
@@ -735,8 +766,8 @@ def _labelled(docs: DataFrame, link: Link) -> tuple[DataFrame, DataFrame]:
     sets = written(index.where("tile is null").drop("tile"), "ngram-counts")
     # One node for all documents of equal sets, named by the smallest doc_id.
     nodes = written(sets.where("n > 0 and doc_id is not null").groupBy("fp", "fp2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("point").alias("point")), "ngram-nodes")
-    tiles = written(_tiles(index, nodes), "ngram-tiles")
-    discard(index)  # the largest table
+    tiles = written(_tiles(docs, index, nodes, link), "ngram-tiles")
+    discard(index)
     points = nodes.select("node", "n", "point")
     placed = tiles.join(points, "node")
     stars = placed.select("tile", "chunk", "node", "n", "point").repartition("tile", "chunk").sortWithinPartitions("tile", "chunk", "node").mapInArrow(partial(_stars, link=link), "a long, b long")
