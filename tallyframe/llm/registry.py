@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_model", "language_id", "mixing", "packing", "pii", "media", "quality_rules", "token_files", "warc", "ngram_join", "repeats", "source_audit")
+MODULES = ("quality_model", "language_id", "mixing", "packing", "pii", "media", "quality_rules", "token_files", "warc", "ngram_join", "repeats", "source_audit", "lexical_search")
 
 
 def queries() -> dict:
