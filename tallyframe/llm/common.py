@@ -20,6 +20,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -44,9 +47,15 @@ def clear_work(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read back: cuts lineage and survives lost executors."""
+    """df written as Parquet into the shared folder and read back: cuts lineage and survives lost executors. The shuffles of
+    the write go with its end, as nothing reads them any more."""
     spark, path = df.sparkSession, work_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
