@@ -56,4 +56,5 @@ def allowed_candidates(rows: DataFrame, allowed: DataFrame, excluded: DataFrame,
     low = lambda df: df.select(F.lower(key).alias("_key")).distinct()
     kept = rows.withColumn("_key", F.lower(key)).join(low(allowed), "_key", "left_semi").join(low(excluded), "_key", "left_anti")
     first = one_per_key(kept, ["_key"], [F.col(ordinal)]).drop("_key")
-    return first.withColumn("new_rank", F.row_number().over(Window.orderBy(ordinal))).where(F.col("new_rank") <= limit)
+    # The window sees at most `limit` rows.
+    return first.orderBy(ordinal).limit(limit).withColumn("new_rank", F.row_number().over(Window.orderBy(ordinal)))

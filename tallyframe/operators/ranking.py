@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.contract import result_outcome
+from tallyframe.operators.numbering import numbered
 
 #: Protocols whose accuracies are comparable with each other.
 ACCURACY_PROTOCOLS = (
@@ -101,7 +102,7 @@ def round_robin(df: DataFrame, limit: int) -> DataFrame:
 def task_ids(df: DataFrame, keys: tuple[str, ...] = ("dataset", "model")) -> DataFrame:
     """(keys, task_index, rows): dense 0-based ids by first occurrence."""
     pairs = df.groupBy(*keys).agg(F.min("ordinal").alias("first_ordinal"), F.count(F.lit(1)).alias("n_rows"))
-    return pairs.withColumn("task_index", F.row_number().over(Window.orderBy("first_ordinal")) - 1)
+    return numbered(pairs, ["first_ordinal"], "task_index")
 
 
 def improvement_stops(rounds: DataFrame, minimum: float) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators.numbering import numbered
+
 #: Fixed values of the decision tables.
 ACTIONABLE = ("dataset_context", "missing_output", "never_attempted", "planned_only", "runtime_failure", "stale_adapter")
 SALVAGE = ("dataset_context", "missing_output", "never_attempted", "runtime_failure")
@@ -32,14 +34,15 @@ def salvage_lane(category: Column, route: Column) -> Column:
 
 
 def number_lanes(df: DataFrame, lane: str, order: list[str]) -> DataFrame:
-    return df.withColumn("task_index", F.row_number().over(Window.partitionBy(lane).orderBy(*order)) - 1)
+    """df with task_index: dense ids within each lane. A lane is dealt out to as many tasks as it has ranges of the order."""
+    return numbered(df, order, "task_index", (lane,))
 
 
 def untried_or_failed(conditions: DataFrame, results: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs without a successful result and not excluded, with a dense task id in the order of the first condition."""
     done = results.where("outcome = 'success'").select(*keys).union(excluded.select(*keys)).distinct()
     pairs = conditions.groupBy(*keys).agg(F.min("ordinal").alias("first_ordinal")).join(done, keys, "left_anti")
-    return pairs.withColumn("task_index", F.row_number().over(Window.orderBy("first_ordinal")) - 1)
+    return numbered(pairs, ["first_ordinal"], "task_index")
 
 
 def coverage(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:

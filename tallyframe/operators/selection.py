@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.contract import measured_success
 from tallyframe.functions.text import filled, has_gold, normalize_label_text, stripped
+from tallyframe.operators.numbering import numbered
 
 #: Families of labels that classifiers and datasets spell differently.
 LABEL_FAMILIES = (
@@ -40,7 +41,7 @@ def hashed_sample(df: DataFrame, key: str, limit: int, seed: int) -> DataFrame:
     """`limit` rows without replacement, in sampled order, with their place; all rows, in order, if limit is 0 or there
     are no more. The order is a hash of the seed and the key: the same on every cluster."""
     if limit <= 0:
-        return df.withColumn("sample_index", F.row_number().over(Window.orderBy(key)) - 1)
+        return numbered(df, [key], "sample_index")
     h = F.xxhash64(F.lit(seed), F.col(key))
     picked = df.withColumn("_h", h).orderBy("_h", key).limit(limit)
     return picked.withColumn("sample_index", F.row_number().over(Window.orderBy("_h", key)) - 1).drop("_h")
@@ -63,8 +64,10 @@ def convert_candidates(records: DataFrame, excluded: DataFrame, limit: int) -> D
     r = r.withColumns({"_own": own, "_place": place})
     again = F.row_number().over(Window.partitionBy("_key", F.col("_own").isNull()).orderBy("_place")) > 1
     r = r.withColumn("reason", F.coalesce(F.col("_own"), F.when(again, "duplicate_model")))
-    taken = F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)).over(Window.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1))
-    return r.withColumn("_taken", F.coalesce(taken, F.lit(0))).where(F.col("_taken") < limit).select("ordinal", "model", "rank", "score", "reason")
+    # The record that fills the limit is the last of the first `limit` accepted ones; one row.
+    full = r.where("reason is null").select("_place").orderBy("_place").limit(limit).agg(F.when(F.count(F.lit(1)) == limit, F.max("_place")).alias("_last"))
+    looked = r.join(F.broadcast(full), F.col("_last").isNull() | (F.col("_place") <= F.col("_last")))
+    return looked.select("ordinal", "model", "rank", "score", "reason")
 
 
 def candidate_id(dataset: Column, model: Column, identity: Column) -> Column:
@@ -149,14 +152,13 @@ def answer_column(df: DataFrame, candidates: list[str], rows: int) -> str:
 def label_map(df: DataFrame, column: str) -> DataFrame:
     """(label_id, label): sorted distinct labels with dense ids."""
     found = df.where(has_gold(F.col(column))).select(F.col(column).cast("string").alias("label")).distinct()
-    return found.withColumn("label_id", F.row_number().over(Window.orderBy("label")) - 1)
+    return numbered(found, ["label"], "label_id")
 
 
 def task_and_audit(rows: DataFrame, runnable: Column) -> tuple[DataFrame, DataFrame]:
     """(tasks, audit): every row is audited with its decision; runnable ones get a dense task index in order."""
     audit = rows.withColumn("decision", F.when(F.coalesce(runnable, F.lit(False)), "run").otherwise("skip"))
-    tasks = audit.where("decision = 'run'").withColumn("task_index", F.row_number().over(Window.orderBy("ordinal")) - 1)
-    return tasks, audit
+    return numbered(audit.where("decision = 'run'"), ["ordinal"], "task_index"), audit
 
 
 def current_cache(df: DataFrame, dimension: int = 1024) -> DataFrame:

@@ -354,7 +354,7 @@ def test_vertices_are_checked(spark):
 
 @pytest.mark.parametrize("x", [0.0, -0.0, 1.0, -2.5, 123456789.0, 1234567890.0, 0.0001, 0.00001234567891, 1 / 3, 1e22, 1.5e-300, 99999999.95, 100.0, 0.1 + 0.2])
 def test_score_text(spark, x):
-    assert one(spark, text.score_text(F.lit(x))) == ["%.9g" % (x + 0.0)]
+    assert one(spark, text.score_text(F.lit(x))) == ["%.9g" % x]
 
 
 def test_configs():
