@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyframe.functions.text import filled, last_number, normalize_answer, normalize_entity_type, same_number, stripped, tokens
+from tallyframe.functions.json_text import set_items
+from tallyframe.functions.text import SPACES, bound, filled, last_number, normalize_answer, normalize_entity_type, same_number, tokens
 
 
 def exact_match(prediction: Column, reference: Column) -> Column:
@@ -63,45 +64,19 @@ def numeric_match(prediction: Column, reference: Column) -> Column:
     return F.coalesce(same, normalize_answer(prediction) == normalize_answer(reference)).cast("double")
 
 
-#: Arrays in arrays that canonical_set() opens.
-DEPTH = 4
-_JSON = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
-
-
 def canonical_set(c: Column) -> Column:
-    """The items of a text, normalised and distinct: of a JSON array (and of arrays in it, DEPTH deep), of a JSON object
-    (a typed mention 'type::text' for each of its text or mention, else its keys and values), else the pieces between
-    commas, semicolons and line ends. A null has none."""
-    items = F.array(F.coalesce(c.cast("string"), F.lit("")))
-    for _ in range(DEPTH):
-        items = F.flatten(F.transform(items, _opened))
-    pieces = F.flatten(F.transform(items, _pieces))
-    return F.array_distinct(F.filter(pieces, lambda x: x != ""))
-
-
-def _json(own: Column) -> Column:
-    """Whether a stripped text is one JSON value: the parsers pass over what follows a value, but not inside brackets."""
-    return F.coalesce(F.size(F.from_json(F.concat(F.lit("["), own, F.lit("]")), "array<string>", _JSON)) == 1, F.lit(False)) & F.try_parse_json(F.concat(F.lit("["), own, F.lit("]"))).isNotNull()
-
-
-def _opened(x: Column) -> Column:
-    """The items of a JSON array, nested ones as JSON text; [x] for any other text."""
-    own = stripped(x)
-    found = F.when(F.startswith(own, F.lit("[")) & _json(own), F.from_json(own, "array<string>", _JSON))
-    return F.coalesce(F.filter(found, lambda y: y.isNotNull()), F.array(x))
-
-
-def _pieces(x: Column) -> Column:
-    own = stripped(x)
-    plain = F.transform(F.split(x, r"[,;\n]+"), normalize_answer)
-    texts = F.coalesce(F.get_json_object(own, "$.text"), F.get_json_object(own, "$.mention"))
-    kind = normalize_entity_type(F.coalesce(F.get_json_object(own, "$.type"), F.lit("entity")))
-    typed = F.filter(F.transform(_opened(texts), normalize_answer), lambda t: t != "")
-    typed = F.transform(typed, lambda t: F.concat(kind, F.lit("::"), t))
-    entries = F.array_sort(F.map_entries(F.from_json(own, "map<string,string>", _JSON)))
-    whole = normalize_answer(F.array_join(F.transform(entries, lambda e: F.concat_ws(" ", e["key"], F.coalesce(e["value"], F.lit("null")))), " "))
-    is_object = F.startswith(own, F.lit("{")) & _json(own)
-    return F.when(is_object, F.when(texts.isNotNull() & (F.size(typed) > 0), typed).otherwise(F.array(whole))).otherwise(plain)
+    """The items of a text, normalised and distinct: of a JSON array (and of arrays in it, at any depth), of a JSON object (a
+    typed mention 'type::text' for each of its text or mention, else its keys and values), else the pieces between commas,
+    semicolons and line ends. A null has none. Only texts that begin as JSON leave the JVM."""
+    c = F.coalesce(c.cast("string"), F.lit(""))
+    json = c.rlike(rf"^{SPACES}*[\[{{]")
+    plain = F.transform(F.split(F.when(~json, c), r"[,;\n]+"), lambda x: F.struct(F.lit(None).cast("string").alias("kind"), x.alias("text")))
+
+    def one(x: Column) -> Column:
+        return bound(normalize_answer(x["text"]), lambda t: F.when((t != "") & x["kind"].isNotNull(), F.concat(normalize_entity_type(x["kind"]), F.lit("::"), t)).otherwise(t))
+
+    items = F.coalesce(set_items(F.when(json, c)), plain)
+    return F.array_distinct(F.filter(F.transform(items, one), lambda x: x != ""))
 
 
 def set_f1(p: Column, r: Column) -> Column:

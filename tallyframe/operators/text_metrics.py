@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.metrics import _f1, lcs_length, metric, token_f1
+from tallyframe.functions.metrics import _f1, canonical_set, lcs_length, metric, set_f1, token_f1
 from tallyframe.functions.text import tokens
 
 #: Up to this many cells the table of the subsequence is filled in expressions, above in a pandas UDF.
@@ -44,8 +44,9 @@ def rouge_l_rows(p: Column, r: Column) -> Column:
 
 
 def score_rows(df: DataFrame, name: str, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
-    """df with `score` by the metric's name. Token arrays are columns of their own, so that they are made once."""
-    if name not in ("qa_f1", "rouge_l"):
+    """df with `score` by the metric's name. Token arrays and sets are columns of their own, so that they are made once."""
+    made = {"qa_f1": (tokens, token_f1), "rouge_l": (tokens, rouge_l_rows), "set_f1": (canonical_set, set_f1)}.get(name)
+    if made is None:
         return df.withColumn("score", metric(name, F.col(prediction), F.col(reference)))
-    df = df.withColumns({"_p": tokens(F.col(prediction)), "_r": tokens(F.col(reference))})
-    return df.withColumn("score", (token_f1 if name == "qa_f1" else rouge_l_rows)(F.col("_p"), F.col("_r"))).drop("_p", "_r")
+    df = df.withColumns({"_p": made[0](F.col(prediction)), "_r": made[0](F.col(reference))})
+    return df.withColumn("score", made[1](F.col("_p"), F.col("_r"))).drop("_p", "_r")

@@ -65,7 +65,7 @@ def test_rouge_of_documents(spark):
         assert got[i] == pytest.approx(want, abs=1e-8), i
 
 
-@pytest.mark.parametrize("name", ["rank_models", "macro_f1", "qa_f1", "exact_numbers", "entity_sets", "tagged_answer", "method_pools", "span_search", "bio_decode"])
+@pytest.mark.parametrize("name", ["rank_models", "macro_f1", "qa_f1", "exact_numbers", "tagged_answer", "method_pools", "span_search", "bio_decode"])
 def test_native_plan(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "CartesianProduct"))
