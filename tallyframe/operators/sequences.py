@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyframe.functions.text import normalize_answer, normalize_entity_type
+
 
-from tallyframe.functions.text import normalize_entity_type, stripped
+def _bio(label: str) -> tuple[Column, Column]:
+    """B, I or O, and the entity type, of a label. One without a prefix is a B."""
+    has = F.col(label).rlike("^[BIbi]-")
+    prefix = F.when(F.upper(label) == "O", "O").when(has, F.upper(F.left(label, F.lit(1)))).otherwise("B")
+    return prefix, normalize_entity_type(F.when(has, F.substring(label, 3, 10**6)).otherwise(F.col(label)))
 
 
 def bio_spans(tokens: DataFrame, key: str = "seq", pos: str = "pos", label: str = "label", token: str = "token") -> DataFrame:
     """(key, type, first_pos, last_pos, text): runs of B-/I- labels. O closes; B or another type opens; a label without
     a prefix opens too."""
-    has = F.col(label).rlike("^[BIbi]-")
-    prefix = F.when(F.upper(label) == "O", "O").when(has, F.upper(F.left(label, F.lit(1)))).otherwise("B")
-    kind = normalize_entity_type(F.when(has, F.substring(label, 3, 10**6)).otherwise(F.col(label)))
+    prefix, kind = _bio(label)
     w = Window.partitionBy(key).orderBy(pos)
     rows = tokens.withColumns({"_p": prefix, "_t": kind}).withColumns({"_lp": F.lag("_p").over(w), "_lt": F.lag("_t").over(w)})
     opens = (F.col("_p") == "B") | F.col("_lp").isNull() | (F.col("_lp") == "O") | (F.col("_lt") != F.col("_t"))
@@ -39,18 +48,40 @@ def answer_or_null(windows: DataFrame, key: str, max_tokens: int = 64) -> DataFr
     return best.select(key, F.col("b.score").alias("span_score"), "null_score", F.when(ok, -F.col("b.w")).alias("window"), F.when(ok, F.col("b.s")).alias("s"), F.when(ok, F.col("b.e")).alias("e"))
 
 
-def piece_offsets(text: Column, pieces: Column) -> Column:
-    """array<struct<s, e>> of pieces found one after another in a text, case-folded; (0, 0) for one that isn't there."""
-    low = F.lower(text)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+def bio_entities(tokens: DataFrame, texts: DataFrame, key: str = "seq", window: str = "window", pos: str = "pos") -> DataFrame:
+    """(key, type, start, end, text): labelled tokens (key, window, pos, label, start, end) as slices of the text (key, text) by
+    their offsets. Tokens without characters are passed over. Entities of one type and normalised text in a key are one,
+    whichever of its overlapping windows they come from: at the place of the first, with the slice of the last."""
+    prefix, kind = _bio("label")
+    w = Window.partitionBy(key, window).orderBy(pos)
+    rows = tokens.where(F.col("end") > F.col("start")).withColumns({"_p": prefix, "_t": kind}).withColumns({"_lp": F.lag("_p").over(w), "_lt": F.lag("_t").over(w)})
+    opens = (F.col("_p") == "B") | F.col("_lp").isNull() | (F.col("_lp") == "O") | (F.col("_lt") != F.col("_t"))
+    rows = rows.withColumn("_span", F.sum(F.when((F.col("_p") != "O") & opens, 1).otherwise(0)).over(w)).where("_p <> 'O'")
+    spans = rows.groupBy(key, window, "_span").agg(F.first("_t").alias("type"), F.min_by("start", pos).alias("start"), F.max("end").alias("end"))
+    cut = spans.join(texts.select(key, "text"), key).withColumn("text", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
+    place = F.struct(window, "_span")
+    one = cut.groupBy(key, "type", normalize_answer(F.col("text")).alias("_n")).agg(F.min(place).alias("_first"), F.max_by(F.struct("start", "end", "text"), place).alias("_e"))
+    return one.select(key, "type", "_e.*", F.col(f"_first.{window}").alias("first_window"))
 
-    def step(acc: Column, raw: Column) -> Column:
-        p = F.lower(stripped(raw))
-        rest = F.substring(low, acc["at"] + 1, 2**30)
-        k = F.when(p == "", 0).otherwise(F.instr(rest, p))
-        s = (acc["at"] + k - 1).cast("int")
-        e = (s + F.length(p)).cast("int")
-        hit = F.struct(F.when(k > 0, s).otherwise(0).alias("s"), F.when(k > 0, e).otherwise(0).alias("e"))
-        return F.struct(F.when(k > 0, e).otherwise(acc["at"]).cast("int").alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
-    return F.aggregate(pieces, start, step)["out"]
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))
+def piece_offsets(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """(text, pieces) -> array<struct<s, e>> of pieces found one after another in a text, case-folded; (0, 0) for one that isn't
+    there. Each search goes on where the last one ended, so the work of the pieces that are found is that of one pass."""
+    for texts, pieces in parts:
+        out = []
+        for text, own in zip(texts, pieces, strict=True):
+            if text is None or own is None:
+                out.append(None)
+                continue
+            folded, at, found = text.casefold(), 0, []
+            for piece in own:
+                piece = (piece or "").strip()
+                start = folded.find(piece.casefold(), at) if piece else -1
+                if start < 0:
+                    found.append({"s": 0, "e": 0})
+                    continue
+                at = start + len(piece)
+                found.append({"s": start, "e": at})
+            out.append(found)
+        yield pd.Series(out, dtype=object)

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.functions import json_text
+from tallyframe.operators import search, sequences
 from tallyframe.operators.text_metrics import score_rows
 from tallyframe.plans.cycles import derived, duck
+from tallyframe.plans.fixtures import table
+from tallyframe.plans.runs import norm
+from tallyframe.sources import readers, writers
+from tallyframe.sources.scratch import scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -50,3 +55,38 @@ DEEP_SETS = """SELECT event_id AS pair_id, concat('[[[[[[{{"type":"chem","text":
   CASE k WHEN 0 THEN ['chemical::' || t] WHEN 1 THEN ['u' || u, '15', 'true'] ELSE ['2 b 1'] END AS r FROM s) SELECT pair_id, round(2.0::DOUBLE * len(list_intersect(p, r)) / (len(p) + len(r)), 9) AS score FROM n""")
 def deep_sets(spark, sf_dir):
     return score_rows(derived(spark, sf_dir, DEEP_SETS, "events"), "set_f1").select("pair_id", F.round("score", 9).alias("score"))
+
+
+#: The words of every message as tokens, in windows of eight that overlap by four; every ninth token is without characters.
+OFFSETS = """SELECT seq, cast(pos div 4 - z AS bigint) AS `window`, pos, label, start, `end` FROM (SELECT conv_id * 1000 + turn AS seq, cast(w.i AS bigint) AS pos, w.s AS start, w.s + CASE WHEN w.i % 9 = 8 THEN 0 ELSE w.n END AS `end`,
+  element_at(array('B-chem', 'I-chem', 'I-x/y', 'O', 'loc', 'i-loc', 'o'), cast(w.i % 7 AS int) + 1) AS label
+  FROM {conversations} LATERAL VIEW inline(transform(aggregate(split(text, ' '), named_struct('at', 0, 'out', cast(array() AS array<struct<s: int, n: int>>)), (a, x) -> named_struct('at', a.at + length(x) + 1, 'out', concat(a.out, array(named_struct('s', a.at, 'n', length(x)))))).out, (x, i) -> named_struct('i', i, 's', x.s, 'n', x.n))) w) t
+  CROSS JOIN (VALUES (0), (1)) AS g(z) WHERE pos div 4 >= z"""
+
+
+@query("""WITH c AS (SELECT conv_id * 1000 + turn AS seq, text, string_split(text, ' ') AS ws FROM conversations WHERE text IS NOT NULL),
+u AS (SELECT seq, text, unnest(range(len(ws))) AS pos, unnest(list_transform(range(len(ws)), lambda i: coalesce(list_sum(list_transform(ws[:i], lambda w: length(w) + 1)), 0)))::INT AS s, unnest(ws) AS w FROM c),
+t AS (SELECT seq, text, pos, s, s + CASE WHEN pos % 9 = 8 THEN 0 ELSE length(w) END AS e, ['B', 'I', 'I', 'O', 'B', 'I', 'O'][pos % 7 + 1] AS pre, ['chemical', 'chemical', 'x y', '', 'loc', 'loc', ''][pos % 7 + 1] AS kind, pos // 4 - z AS win FROM u CROSS JOIN (VALUES (0), (1)) AS g(z) WHERE pos // 4 >= z),
+l AS (SELECT *, lag(pre) OVER w AS lp, lag(kind) OVER w AS lk FROM t WHERE e > s WINDOW w AS (PARTITION BY seq, win ORDER BY pos)),
+n AS (SELECT *, sum(CASE WHEN pre <> 'O' AND (pre = 'B' OR lp IS NULL OR lp = 'O' OR lk <> kind) THEN 1 ELSE 0 END) OVER (PARTITION BY seq, win ORDER BY pos) AS span FROM l),
+x AS (SELECT seq, win, span, first(kind) AS kind, arg_min(s, pos) AS s, max(e) AS e, first(text) AS text FROM n WHERE pre <> 'O' GROUP BY 1, 2, 3),
+y AS (SELECT *, text[s + 1:e] AS cut FROM x)
+SELECT seq, kind AS type, arg_max(s, struct_pack(a := win, b := span)) AS start, md5(arg_max(cut, struct_pack(a := win, b := span))) AS digest, min(win)::BIGINT AS first_window FROM y GROUP BY seq, kind, """ + norm("cut"))
+def offset_entities(spark, sf_dir):
+    texts = table(spark, sf_dir, "conversations").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text")
+    e = sequences.bio_entities(derived(spark, sf_dir, OFFSETS, "conversations"), texts)
+    return e.select("seq", "type", "start", F.md5(F.col("text").cast("binary")).alias("digest"), "first_window")
+
+
+@query("""WITH c AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), q AS (SELECT label, arg_min(x, vec_id) AS y, min(vec_id) AS own FROM c GROUP BY 1),
+s AS (SELECT 'dataset' || q.label AS query_dataset, vec_id, round(list_sum(list_transform(list_zip(x, y), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(x, lambda z: z * z))) * sqrt(list_sum(list_transform(y, lambda z: z * z)))), 6) AS score FROM c CROSS JOIN q)
+SELECT query_dataset, rank::INT AS rank, vec_id AS dataset_node_id, score AS cosine_similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_dataset ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 25""")
+def ranked_similarities(spark, sf_dir):
+    """The ranking of a query vector a label, written as a ranked file and read back."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("label"), F.col("embedding").cast("array<double>").alias("x"))
+    queries = e.groupBy("label").agg(F.min_by("x", "id").alias("x")).select(F.col("label").cast("long").alias("id"), "x")
+    ranked = search.top_rows(e.select("id", "x"), queries, 25)
+    path = scratch(spark, "ranked")
+    writers.write_similarities(ranked, path, F.concat(F.lit("dataset"), F.col("query_id").cast("string")), F.concat(F.lit("node"), F.col("id").cast("string")))
+    back = readers.read_csv(spark, path)
+    return back.select("query_dataset", F.col("rank").cast("int").alias("rank"), F.col("dataset_node_id").cast("long").alias("dataset_node_id"), F.col("cosine_similarity").cast("double").alias("cosine_similarity"))

@@ -273,11 +273,13 @@ def append_vertex(spark, sf_dir):
     return out.select("vec_id", F.round(F.aggregate("x", F.lit(0.0), lambda s, z: s + z), 6).alias("total"))
 
 
-@query("""WITH w AS (SELECT conv_id, turn, text, list_filter(string_split(text, ' '), lambda x: x <> '') AS p FROM conversations)
-SELECT conv_id, turn, len(p)::INT AS pieces, (CASE WHEN len(p) > 0 THEN strpos(text, p[1]) - 1 ELSE 0 END)::INT AS first_start, (CASE WHEN len(p) > 0 THEN length(rtrim(text, ' ')) ELSE 0 END)::INT AS last_end FROM w WHERE text IS NOT NULL AND text NOT LIKE '%\t%' AND text NOT LIKE '%' || chr(10) || '%'""")
+@query("""WITH w AS (SELECT conv_id, turn, text, regexp_extract_all(text, '[^ \\n\\t]+') AS p FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, len(p)::INT AS pieces, (CASE WHEN len(p) > 0 THEN strpos(text, p[1]) - 1 ELSE 0 END)::INT AS first_start,
+  (CASE WHEN len(p) > 0 THEN length(replace(regexp_replace(text, '[ \\n\\t]+$', ''), 'ß', 'ss')) - length(replace(p[-1], 'ß', 'ss')) + length(p[-1]) ELSE 0 END)::INT AS last_end FROM w""")
 def piece_offsets(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("text is not null and not text rlike '[\\t\\n]'")
-    pieces = F.filter(F.split("text", " "), lambda x: x != "")
+    """Of the words of all texts, the first one's start and the last one's end; places are those of the case-folded text."""
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    pieces = F.regexp_extract_all("text", F.lit(r"[^ \n\t]+"), F.lit(0))
     o = c.select("conv_id", "turn", sequences.piece_offsets(F.col("text"), pieces).alias("o"))
     edge = lambda i, side: F.coalesce(F.try_element_at("o", F.lit(i))[side], F.lit(0))
     return o.select("conv_id", "turn", F.size("o").alias("pieces"), edge(1, "s").alias("first_start"), edge(-1, "e").alias("last_end"))

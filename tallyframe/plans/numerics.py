@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import vectors as v
-from tallyframe.operators import planning, selection, sequences
+from tallyframe.operators import planning, selection, search, sequences
 from tallyframe.plans.fixtures import fixture, table, with_fixtures
 from tallyframe.streaming import monitor
 
@@ -44,19 +44,15 @@ def _norm(x: str) -> str:
 @query(E + f""", q AS (SELECT vec_id AS query_id, x AS y FROM e WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round({_dot('x', 'y')} / ({_norm('x')} * {_norm('y')}), 6) AS score FROM q CROSS JOIN e)
 SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
 def cosine_topk(spark, sf_dir):
-    """Every row whose id is divisible by 50 against all rows, in blocks of queries. A task keeps ten rows a query before
-    anything is shuffled."""
+    """Every row whose id is divisible by 50 against all rows. A task keeps ten rows a query."""
     return vector_search(embeddings(spark, sf_dir), 50, 10)
 
 
-def vector_search(e, every: int, top: int, block: int = 64):
-    """(query_id, vec_id, score, rank): the `top` most similar rows (vec_id, x) of each query, of equals the first. Queries
-    go in blocks of about `block`, so that a row meets a block, not a query, in the join; Spark chooses how by their size."""
-    unit = e.select("vec_id", v.unit(F.col("x")).alias("x"))
-    q = unit.where(F.col("vec_id") % every == 0).groupBy(F.floor(F.col("vec_id") / (every * block)).alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("x").alias("y"))).alias("qs"))
-    s = unit.crossJoin(q).select("vec_id", F.inline(F.transform("qs", lambda k: F.struct(k["query_id"].alias("query_id"), F.round(v.dot(F.col("x"), k["y"]), 6).alias("score")))))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "vec_id", "score", "rank")
+def vector_search(e, every: int, top: int):
+    """(query_id, vec_id, score, rank): the `top` most similar rows (vec_id, x) of each query, of equals the first."""
+    rows = e.select(F.col("vec_id").cast("long").alias("id"), "x")
+    found = search.top_rows(rows, rows.where(F.col("id") % every == 0), top)
+    return found.select("query_id", F.col("id").alias("vec_id"), "score", "rank")
 
 
 CENTRES = """, u AS (SELECT label, generate_subscripts(x, 1) AS d, unnest(x) AS z FROM e), m AS (SELECT label, d, avg(z) AS z FROM u GROUP BY 1, 2), c AS (SELECT label, list(z ORDER BY d) AS y FROM m GROUP BY 1)"""

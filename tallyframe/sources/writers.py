@@ -6,7 +6,7 @@ import zipfile
 from pathlib import Path
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a report, at most; a report of more is an error, not a cut.
@@ -22,6 +22,17 @@ def write_csv(df: DataFrame, path: str, columns: list[str], text_counts: tuple[s
     df.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
+#: The header of a ranked file, and the method it names.
+SIMILARITY_COLUMNS = ("method", "rank", "query_dataset", "dataset_node_id", "dataset_name", "cosine_similarity")
+SIMILARITY_METHOD = "method1_cosine_retrieval"
+
+
+def write_similarities(ranked: DataFrame, path: str, query: Column, name: Column) -> None:
+    """Ranked rows (query_id, id, score, rank) as a ranked file, with the query's and the found dataset's names."""
+    rows = ranked.select(F.lit(SIMILARITY_METHOD).alias("method"), "rank", query.alias("query_dataset"), F.col("id").alias("dataset_node_id"), name.alias("dataset_name"), F.col("score").alias("cosine_similarity"))
+    write_csv(rows, path, list(SIMILARITY_COLUMNS))
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
