@@ -10,6 +10,17 @@ def one_per_key(df: DataFrame, keys: list[str], order: list, name: str = "_rn")
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) == 1).drop(name)
 
 
+def later_source_wins(*sources: DataFrame, key: str = "dataset") -> DataFrame:
+    """The rows of the sources, in order: of a key that several have, those of the last source alone, all of them. The rows
+    keep their columns; a null key is a key."""
+    rows = sources[0].withColumn("_source", F.lit(0))
+    for i, s in enumerate(sources[1:], 1):
+        rows = rows.unionByName(s.withColumn("_source", F.lit(i)))
+    # Keys are few beside rows: partial maxima, then a join.
+    last = rows.groupBy(F.col(key).alias("_key")).agg(F.max("_source").alias("_last"))
+    return rows.join(last, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_source") == F.col("_last"))).drop("_key", "_last", "_source")
+
+
 def join_last(left: DataFrame, right: DataFrame, keys: list[str], ordinal: str = "ordinal") -> DataFrame:
     """Left join to the last row of each key; rows without one get the status 'missing'."""
     last = one_per_key(right, keys, [F.col(ordinal).desc()]).drop(ordinal)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import text
 from tallyframe.functions import vectors as v
 from tallyframe.operators import dialogue, joins, planning, prediction, selection, sequences
+from tallyframe.operators.numbering import numbered
 from tallyframe.plans.fixtures import fixture, table, with_fixtures
 from tallyframe.sources import readers
 
@@ -90,10 +91,15 @@ def join_results_first_wins(spark, sf_dir):
     return joins.join_first(rows.select("dataset", "model").distinct(), right, ["dataset", "model"])
 
 
-@query(with_fixtures("results") + """ SELECT dataset, model, max("round") AS round, arg_max(ordinal, struct_pack(a := "round", b := ordinal)) AS ordinal FROM results GROUP BY 1, 2""")
+@query(with_fixtures("results") + """, s AS (SELECT *, CASE WHEN "round" <= 2 THEN 0 WHEN "round" <= 4 THEN 1 ELSE 2 END AS src FROM results WHERE "round" <= 2 OR dataset <> 'click' AND ("round" <= 4 OR dataset = 'purchase')), l AS (SELECT dataset, max(src) AS src FROM s GROUP BY 1)
+SELECT s.dataset, s.model, s.ordinal, row_number() OVER (PARTITION BY s.dataset ORDER BY s."rank", s.ordinal) AS place FROM s JOIN l ON s.dataset = l.dataset AND s.src = l.src""")
 def later_round_replaces(spark, sf_dir):
+    """Three ranked sources; the second lacks the clicks, the third has the purchases alone."""
     rows = fixture(spark, sf_dir, "results")
-    return joins.one_per_key(rows, ["dataset", "model"], [F.desc("round"), F.desc("ordinal")]).select("dataset", "model", "round", "ordinal")
+    first, second, third = rows.where("round <= 2"), rows.where("round in (3, 4) and dataset <> 'click'"), rows.where("round > 4 and dataset = 'purchase'")
+    kept = joins.later_source_wins(first, second, third)
+    placed = numbered(kept, ["rank", "ordinal"], "place", ("dataset",))
+    return placed.select("dataset", "model", "ordinal", (F.col("place") + 1).alias("place"))
 
 
 @query(with_fixtures("results") + """, t AS (SELECT ordinal, dataset, status IN ('ok', 'failed') AS run FROM results) SELECT dataset, count_if(run) AS run, count_if(NOT run) AS skipped FROM t GROUP BY 1""")

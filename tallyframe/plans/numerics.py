@@ -153,10 +153,11 @@ METRICS = ("accuracy", "macro_f1", "set_f1", "exact_match", "qa_f1", "numeric_ma
 _fits = " ".join(f"WHEN '{t}' THEN metric IN ({', '.join(repr(m) for m in ms)})" for t, ms in planning.TASK_METRICS.items())
 
 
-@query(f"SELECT task, metric, CASE task {_fits} ELSE false END AS fits FROM (SELECT unnest({list(TASKS)}) AS task) CROSS JOIN (SELECT unnest({list(METRICS)}) AS metric)")
+@query(f"SELECT event_id, {list(TASKS)}[event_id % 11 + 1] AS task, {list(METRICS)}[user_id % 7 + 1] AS metric, CASE task {_fits} ELSE false END AS fits FROM events")
 def method_matches_task(spark, sf_dir):
-    one = lambda name, xs: spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in xs])).alias(name))
-    return one("task", TASKS).crossJoin(one("metric", METRICS)).withColumn("fits", planning.metric_fits(F.col("task"), F.col("metric")))
+    pick = lambda xs, at: F.element_at(F.array(*[F.lit(x) for x in xs]), at.cast("int") + 1)
+    rows = table(spark, sf_dir, "events").select("event_id", pick(TASKS, F.col("event_id") % 11).alias("task"), pick(METRICS, F.col("user_id") % 7).alias("metric"))
+    return rows.withColumn("fits", planning.metric_fits(F.col("task"), F.col("metric")))
 
 
 #: (name, config type, architecture, pipeline, library, kind)
@@ -182,11 +183,13 @@ MODELS = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{m[0]}', '{m[5]}')" for m in MODELS) + ") AS t(name, kind)")
+@query("WITH m(k, name, kind) AS (VALUES " + ", ".join(f"({i}, '{m[0]}', '{m[5]}')" for i, m in enumerate(MODELS)) + f") SELECT p_partkey, name || '-' || p_partkey AS name, kind FROM part JOIN m ON k = p_partkey % {len(MODELS)}")
 def model_type(spark, sf_dir):
-    df = spark.createDataFrame([m[:5] for m in MODELS], "name string, config string, arch string, tag string, lib string")
+    """Every part as a model whose metadata is one of the kinds above."""
+    known = spark.createDataFrame([(i, *m[:5]) for i, m in enumerate(MODELS)], "k int, base string, config string, arch string, tag string, lib string")
+    df = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(MODELS)).cast("int").alias("k")).join(known, "k").withColumn("name", F.concat_ws("-", "base", F.col("p_partkey").cast("string")))
     kind = planning.model_type(F.col("name"), F.col("config"), F.array(F.col("arch")), F.col("tag"), F.col("lib"))
-    return df.select("name", kind.alias("kind"))
+    return df.select("p_partkey", "name", kind.alias("kind"))
 
 
 #: (id, has_gold, task, method, image?, label map?, model type, labels, problem type, protocol, metric)
@@ -213,13 +216,15 @@ PLANS = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({p[0]}, '{p[9]}', {('NULL' if p[10] is None else repr(p[10]))})" for p in PLANS) + ") AS t(id, protocol, metric)")
+@query("WITH p(k, protocol, metric) AS (VALUES " + ", ".join(f"({p[0]}, '{p[9]}', {('NULL' if p[10] is None else repr(p[10]))})" for p in PLANS) + f") SELECT event_id, protocol, metric FROM events JOIN p ON k = event_id % {len(PLANS)} + 1")
 def protocol_choice(spark, sf_dir):
-    df = spark.createDataFrame([p[:9] for p in PLANS], "id int, has_gold boolean, task string, method string, image boolean, named boolean, model_type string, labels array<string>, problem_type string")
+    """Every event as a pair of a model and a dataset, of the pairs above."""
+    known = spark.createDataFrame([p[:9] for p in PLANS], "k int, has_gold boolean, task string, method string, image boolean, named boolean, model_type string, labels array<string>, problem_type string")
+    df = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % len(PLANS) + 1).cast("int").alias("k")).join(known, "k")
     named = F.create_map(F.lit("0"), F.lit("Positive"), F.lit("1"), F.lit("negative"), F.lit("-1"), F.lit("other"))
     df = df.withColumns({"label_map": F.when(F.col("named"), named).otherwise(F.create_map().cast("map<string,string>")), "image_column": F.lit("picture"), "context_column": F.lit("para[].text")})
     df = df.withColumn("columns", F.when(F.col("image"), F.array(F.lit("picture"), F.lit("label"))).otherwise(F.array(F.lit("question"), F.lit("para"))))
-    return planning.choose_protocol(df).select("id", "protocol", "metric")
+    return planning.choose_protocol(df).select("event_id", "protocol", "metric")
 
 
 @query(with_fixtures("results") + """ SELECT ordinal, concat_ws(',', CASE WHEN "rank" IS NULL OR "rank" < 2 THEN 'rank' END, CASE WHEN score IS NULL THEN 'score' END, CASE WHEN ordinal % 5 = 0 THEN 'checksum' END) AS violations FROM results""")
