@@ -3,11 +3,12 @@
 Pass 1 counts exact document frequencies; a language keeps the terms of at least MIN_DOCS of its documents. Pass 2 recounts
 them in the whole texts with an Aho-Corasick automaton a language, whose words are the kept terms between delimiters, so
 that a term never matches inside another; texts are brought to one delimiter first. The counts are sparse postings
-(language, source, term, count). Smoothed shares follow in integers, and the postings of a term, streamed together, give
-what its sources' pairs differ by from a pair of sources without it; all other terms of a pair are sums over one side.
+(language, source, term, count). Smoothed shares follow in integers. The postings of some terms fill a matrix of terms by
+sources, whose empty cells have the share of a count of 0, and each pair of its columns adds to that pair's divergence;
+no row for a term and a pair exists. Sources beyond SOURCES go in blocks, so matrices are bounded, too.
 
-Automata have a bounded size: a vocabulary beyond AUTOMATON_CHARS is cut into shards by a hash of the term, and the
-texts are then dealt out, term by term, to the shards' tasks, so that the work stays in proportion to the texts.
+Automata have a bounded size: a language's vocabulary beyond AUTOMATON_CHARS is cut into shards by a hash of the term, and
+its texts are then dealt out, term by term, to the shards' tasks, so that the work stays in proportion to the texts.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +26,14 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import discard, filesystem, prepare, table, text_column, work_path, written
 
 MIN_DOCS, TOP_TERMS, SCALE = 3, 200, 1_000_000_000
-#: Characters of the terms of an automaton (about 100 bytes of memory each), entries of a task's partial counts, characters
-#: scanned at a time, and pairs held by a task.
-AUTOMATON_CHARS, HELD, SCAN_CHARS, PAIRS = 2 << 20, 300_000, 1 << 20, 1 << 18
+#: Characters of the terms of an automaton (about 40 bytes of memory each), entries of a task's partial counts, characters
+#: scanned at a time, and sources in a block of a matrix.
+AUTOMATON_CHARS, HELD, SCAN_CHARS, SOURCES = 5 << 20, 300_000, 1 << 20, 1000
 #: Delimiters are 00-40, 5B-60 and 7B-7F; only A-Z are lower-cased.
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[:0x41] = _PLAIN[0x5B:0x61] = _PLAIN[0x7B:0x80] = 0x20
 _PLAIN[0x41:0x5B] += 0x20
-_automata: dict[tuple, dict] = {}
+_automata: dict[tuple, tuple] = {}
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -73,27 +75,26 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "term").agg(F.sum("n").alias("df"))
 
 
-def _automaton(path: str, shard: int) -> dict:
-    """lang -> (automaton over padded terms, the terms), of one shard; a worker keeps one shard."""
+def _automaton(path: str, lang: str, lang_hash: int, shard: int) -> tuple:
+    """(automaton over padded terms, the terms) of one shard of a language; a worker keeps shards of AUTOMATON_CHARS in all."""
     import ahocorasick
     import pyarrow.dataset as ds
 
-    if (path, shard) not in _automata:
-        _automata.clear()
+    key = (path, lang, shard)
+    if key not in _automata:
         fs, root = filesystem(path)
-        terms: dict[str, list[str]] = {}
-        if fs.get_file_info(f"{root}/shard={shard}").type.name == "Directory":  # else no kept term has this hash
-            kept = ds.dataset(f"{root}/shard={shard}", filesystem=fs, format="parquet").to_table(columns=["lang", "term"])
-            for lang, term in zip(kept.column("lang").to_pylist(), kept.column("term").to_pylist(), strict=True):
-                terms.setdefault(lang, []).append(term)
-        built = {}
-        for lang, words in terms.items():
-            built[lang] = ahocorasick.Automaton(), words
-            for i, w in enumerate(words):
-                built[lang][0].add_word(f" {w} ", i)
-            built[lang][0].make_automaton()
-        _automata[path, shard] = built
-    return _automata[path, shard]
+        folder, words = f"{root}/lang_hash={lang_hash}/shard={shard}", []
+        if fs.get_file_info(folder).type.name == "Directory":  # else no kept term has this hash
+            words = ds.dataset(folder, filesystem=fs, format="parquet").to_table(columns=["term"], filter=ds.field("lang") == lang).column(0).to_pylist()
+        size = sum(map(len, words))
+        if size + sum(x[2] for x in _automata.values()) > AUTOMATON_CHARS:
+            _automata.clear()
+        found = ahocorasick.Automaton()
+        for i, w in enumerate(words):
+            found.add_word(f" {w} ", i)
+        found.make_automaton()
+        _automata[key] = found, words, size
+    return _automata[key][:2]
 
 
 def _windows(plain: bytes) -> Iterator[str]:
@@ -110,96 +111,128 @@ def shard_of(term: bytes, shards: int) -> int:
     return zlib.crc32(term) % shards
 
 
-def postings(docs: DataFrame, path: str, shards: int) -> DataFrame:
-    """(lang, source, term, n): occurrences of the kept terms, recounted by the automata in path."""
+def postings(docs: DataFrame, sizes: DataFrame, path: str) -> DataFrame:
+    """(lang, source, term, n): occurrences of the kept terms, recounted by the automata in path. sizes: lang, lang_hash, shards.
+    Texts of a source meet in few tasks (a large source in several, by a hash), so that few partial counts are left."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, b in enumerate(batches):
             data, at = _plain(b)
             out: dict[tuple, list[bytes]] = {}
-            for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            for i, (lang, source, h, shards) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 1, 3, 4)), strict=True)):
                 for term in data[at[i] : at[i + 1]].split():
-                    out.setdefault((shard_of(term, shards), *key), []).append(term)
+                    out.setdefault((lang, source, h, shard_of(term, shards)), []).append(term)
             keys = list(out)
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in keys], t) for c, t in ((1, pa.string()), (2, pa.string()))] + [_strings([b" ".join(v) for v in out.values()]), pa.array([x[0] for x in keys], pa.int32()), pa.array([k % 97] * len(keys), pa.int32())], names=["lang", "source", "text", "shard", "salt"])
+            columns = [pa.array([x[c] for x in keys], t) for c, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns[:2], _strings([b" ".join(v) for v in out.values()]), *columns[2:], pa.array([k % 97] * len(keys), pa.int64())], names=["lang", "source", "text", "lang_hash", "shard", "salt"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple, np.ndarray] = {}
 
-        def flushed(shard: int) -> Iterator[pa.RecordBatch]:
-            for (lang, source), c in counts.items():
-                some, words = np.flatnonzero(c), _automaton(path, shard)[lang][1]
+        def flushed(lang: str, h: int, shard: int) -> Iterator[pa.RecordBatch]:
+            words = _automaton(path, lang, h, shard)[1]
+            for source, c in counts.items():
+                some = np.flatnonzero(c)
                 if len(some):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([source] * len(some)), pa.array([words[i] for i in some]), pa.array(c[some])], names=["lang", "source", "term", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([source] * len(some)), pa.array([words[i] for i in some.tolist()]), pa.array(c[some])], names=["lang", "source", "term", "n"])
             counts.clear()
 
         last = None
         for b in batches:
             data, at = _plain(b)
             groups: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(b.column(3).to_pylist(), b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 3, 4, 1)), strict=True)):
                 groups.setdefault(key, []).append(i)
-            for (shard, lang, source), rows in sorted(groups.items()):
-                if last is not None and shard != last or sum(map(len, counts.values())) > 8 << 20:
-                    yield from flushed(last)
-                last = shard
-                automaton, words = _automaton(path, shard).get(lang, (None, ()))
+            for (*of, source), rows in groups.items():
+                if last is not None and (of != last or sum(map(len, counts.values())) > 8 << 20):
+                    yield from flushed(*last)
+                last = of
+                automaton, words = _automaton(path, *of)
                 if not words:
                     continue
-                c = counts.setdefault((lang, source), np.zeros(len(words), np.int64))
+                c = counts.setdefault(source, np.zeros(len(words), np.int64))
                 for text in _windows(b" ".join(data[at[i] : at[i + 1]] for i in rows)):
-                    c += np.bincount(np.fromiter((i for _, i in automaton.iter(text)), np.int64), minlength=len(words))
-        yield from flushed(last)
-
-    rows = docs.select("lang", "source", "text", F.lit(0).alias("shard"))
-    if shards > 1:
-        dealt = docs.select("lang", "source", "text").mapInArrow(deal, "lang string, source string, text string, shard int, salt int")
-        rows = dealt.repartition("shard", "lang", "source", "salt").sortWithinPartitions("shard")
-        rows = rows.select("lang", "source", "text", "shard")
-    return rows.mapInArrow(scan, "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-
-
-def shared_terms(shares: DataFrame) -> DataFrame:
-    """(lang, a, b, value): over the terms that both a and b have, what their divergence differs by from that of two sources
-    of which each lacks the other's: f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0). shares: lang, term, source, p, p0."""
+                    c += np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(words))
+        if last is not None:
+            yield from flushed(*last)
+
+    rows = docs.join(sizes, "lang")
+    order = ("lang", "lang_hash", "shard", "source")
+    whole = rows.where("shards = 1").select("lang", "source", "text", "lang_hash", F.lit(0).alias("shard"), F.xxhash64("text").alias("salt"))
+    found = whole.repartitionByRange(*order, "salt").sortWithinPartitions("lang", "shard").drop("salt").mapInArrow(scan, _POSTING)
+    if (sizes.agg(F.max("shards")).first()[0] or 0) > 1:
+        cut = rows.where("shards > 1").select("lang", "source", "text", "lang_hash", "shards").mapInArrow(deal, "lang string, source string, text string, lang_hash long, shard int, salt long")
+        found = found.union(cut.repartition(*order, "salt").sortWithinPartitions("lang", "shard").drop("salt").mapInArrow(scan, _POSTING))
+    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+
+
+_POSTING = "lang string, source string, term string, n long"
+
+
+def pair_sums(shares: DataFrame, groups_path: str) -> DataFrame:
+    """(lang, a, b, value): the sum of f over the language's terms, for each pair of its sources. shares: lang, term, place (the
+    source's number in its language), blocks (of SOURCES sources), p. groups_path: a table of lang, source, place, p0."""
+    own = F.col("place") / SOURCES
+    i, every = F.floor(own).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    cell = lambda a, b: F.struct(a.alias("i"), b.alias("j"))
+    # A posting goes to each block of pairs that its source is on a side of; with up to SOURCES sources, to one.
+    cells = F.array_distinct(F.concat(F.transform(every, lambda j: cell(i, j)), F.transform(every, lambda j: cell(j, i))))
+    rows = shares.select("lang", "term", "place", "p", F.explode(cells).alias("c")).groupBy("lang", "c", "term")
+    rows = rows.agg(F.collect_list(F.struct(F.col("place").cast("int").alias("place"), "p")).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = lambda p, q: (p - q) * (p - q) // q
-        sums: dict[str, Counter] = {}
-
-        def add(lang: str, sources: list[str], p: np.ndarray, p0: np.ndarray) -> None:
-            into = sums.setdefault(lang, Counter())
-            for i, a in enumerate(sources):
-                value = f(p[i], p) - f(p[i], p0) - f(p0[i], p) + f(p0[i], p0)
-                for b, v in zip(sources, value.tolist(), strict=True):
-                    into[a, b] += v
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            for lang, c in sums.items():
-                pairs = [(a, b, v) for (a, b), v in c.items() if a != b]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(pairs), pa.string()), *(pa.array([x[i] for x in pairs], t) for i, t in ((0, pa.string()), (1, pa.string()), (2, pa.int64())))], names=["lang", "a", "b", "value"])
-            sums.clear()
-
-        held: list[tuple] = []
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and row[:2] != held[-1][:2]:
-                    add(held[0][0], [x[2] for x in held], *(np.array([x[c] for x in held], np.int64) for c in (3, 4)))
-                    held = []
-                    if sum(map(len, sums.values())) > PAIRS:
-                        yield from flushed()
-                held.append(row)
-        if held:
-            add(held[0][0], [x[2] for x in held], *(np.array([x[c] for x in held], np.int64) for c in (3, 4)))
-        yield from flushed()
-
-    rows = shares.select("lang", "term", "source", "p", "p0").repartition("lang", "term").sortWithinPartitions("lang", "term")
-    return rows.mapInArrow(run, "lang string, a string, b string, value long")
+        import pyarrow.dataset as ds
+
+        last, names, p0, sums = None, [], None, None
+
+        def closed() -> pa.RecordBatch:
+            (lang, i, j), (m, n) = last, sums.shape
+            a, b = np.repeat(np.arange(m), n) + i * SOURCES, np.tile(np.arange(n), m) + j * SOURCES
+            real = np.flatnonzero(a != b)
+            text = lambda x: pa.array([names[k] for k in x.tolist()], pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(real), pa.string()), text(a[real]), text(b[real]), pa.array(sums.ravel()[real])], names=["lang", "a", "b", "value"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True))
+            lists = batch.column(3)
+            edge = lists.offsets.to_numpy()
+            flat = lists.values
+            place, p = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if keys[lo] != last:
+                    if last is not None:
+                        yield closed()
+                    if last is None or keys[lo][0] != last[0]:
+                        fs, root = filesystem(groups_path)
+                        t = ds.dataset(root, filesystem=fs, format="parquet").to_table(columns=["source", "place", "p0"], filter=ds.field("lang") == keys[lo][0]).sort_by("place")
+                        names, p0 = t.column("source").to_pylist(), t.column("p0").to_numpy()
+                    last = keys[lo]
+                    sums = np.zeros(tuple(len(p0[x * SOURCES : (x + 1) * SOURCES]) for x in last[1:]), np.int64)
+                row, at, q = np.repeat(np.arange(hi - lo), np.diff(edge[lo : hi + 1])), place[edge[lo] : edge[hi]], p[edge[lo] : edge[hi]]
+                sides = []
+                for x in last[1:]:
+                    side = np.tile(p0[x * SOURCES : (x + 1) * SOURCES], (hi - lo, 1))
+                    mine = at // SOURCES == x
+                    side[row[mine], at[mine] - x * SOURCES] = q[mine]
+                    sides.append(side)
+                for k in range(sums.shape[0]):
+                    d = sides[0][:, k : k + 1] - sides[1]
+                    sums[k] += (d * d // sides[1]).sum(axis=0)
+        if last is not None:
+            yield closed()
+
+    flat = rows.select("lang", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "own").sortWithinPartitions("lang", "i", "j")
+    return flat.mapInArrow(run, "lang string, a string, b string, value long")
 
 
 def share(count: str, total: str, terms: str) -> str:
     """1 + floor(SCALE * (count + 1) / (total + terms)), exact for any count."""
-    return f"1 + (cast({SCALE} as decimal(38, 0)) * ({count} + 1L)) div cast({total} + {terms} as decimal(20, 0))"
+    small = f"{SCALE}L * ({count} + 1L) div ({total} + {terms})"
+    large = f"(cast({SCALE} as decimal(38, 0)) * ({count} + 1L)) div cast({total} + {terms} as decimal(20, 0))"
+    return f"1 + case when {count} < 9000000000 then {small} else {large} end"
 
 
 def audit(docs: DataFrame) -> DataFrame:
@@ -210,32 +243,25 @@ def audit(docs: DataFrame) -> DataFrame:
     documents, no rows. Other columns are ignored."""
     spark, rows = docs.sparkSession, _rows(docs)
     kept = written(document_frequencies(rows).where(F.col("df") >= MIN_DOCS).select("lang", "term"), "audit-terms")
-    chars = kept.agg(F.sum(F.length("term") + 2)).first()[0] or 0
-    shards = max(1, -(-chars // AUTOMATON_CHARS))
-    path = work_path(spark, "audit-automata")
-    by_shard = kept.withColumn("shard", (F.crc32(F.col("term").cast("binary")) % shards).cast("int"))
-    if chars:
-        by_shard.repartition("shard").write.partitionBy("shard").parquet(path)
-        counts = written(postings(rows, path, shards), "audit-postings")
-    else:
-        counts = spark.createDataFrame([], "lang string, source string, term string, n long")
-    # Groups, and what each needs: its total, and its language's number of terms.
-    size = kept.groupBy("lang").agg(F.count("*").alias("terms"))
+    size = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.ceil(F.sum(F.length("term") + 2) / AUTOMATON_CHARS).cast("int").alias("shards"))
+    size = written(size.withColumn("lang_hash", F.xxhash64("lang")), "audit-languages")
+    path, groups_path = work_path(spark, "audit-automata"), work_path(spark, "audit-groups")
+    by_shard = kept.join(size, "lang").select("lang", "term", "lang_hash", (F.crc32(F.col("term").cast("binary")) % F.col("shards")).cast("int").alias("shard"))
+    by_shard.repartition("lang_hash", "shard").write.partitionBy("lang_hash", "shard").parquet(path)
+    counts = written(postings(rows, size.select("lang", "lang_hash", "shards"), path), "audit-postings")
+    # Groups, and what each needs: its total, its language's number of terms, and its number in the language.
     total = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = rows.select("lang", "source").distinct().join(total, ["lang", "source"], "left").join(size, "lang", "left")
-    groups = written(groups.select("lang", "source", F.coalesce("total", F.lit(0).cast("long")).alias("total"), F.coalesce("terms", F.lit(0).cast("long")).alias("terms")).withColumn("p0", F.expr(f"case when terms > 0 then {share('0L', 'total', 'terms')} end")), "audit-groups")
-    shares = counts.join(groups, ["lang", "source"]).withColumn("p", F.expr(share("n", "total", "terms")))
-    shares = written(shares.select("lang", "source", "term", "p", "p0", "n", "terms"), "audit-shares")
+    groups = groups.select("lang", "source", F.coalesce("total", F.lit(0).cast("long")).alias("total"), F.coalesce("terms", F.lit(0).cast("long")).alias("terms")).withColumn("p0", F.expr(f"case when terms > 0 then {share('0L', 'total', 'terms')} end"))
+    groups.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).write.parquet(groups_path)
+    groups = spark.read.parquet(groups_path)
+    blocks = groups.groupBy("lang").agg((F.floor((F.count("*") - 1) / SOURCES) + 1).cast("int").alias("blocks"))
+    shares = counts.join(groups.join(blocks, "lang"), ["lang", "source"]).select("lang", "source", "term", "place", "blocks", F.expr(share("n", "total", "terms")).alias("p"))
 
     f = lambda p, q: f"(({p} - {q}) * ({p} - {q}) div {q})"
-    a, b = (groups.select("lang", F.col("source").alias(s), F.col("p0").alias(f"{s}0"), "terms") for s in "ab")
-    both = a.join(b.drop("terms"), "lang").where("a <> b")
-    none = both.select("lang", "a", "b", F.expr(f"case when terms > 0 then cast(terms as decimal(20, 0)) * {f('a0', 'b0')} else 0 end").alias("value"))
-    of_share = shares.groupBy("lang", "source", "p").agg(F.count("*").alias("k"))
-    left = of_share.withColumnRenamed("source", "a").join(both, ["lang", "a"]).selectExpr("lang", "a", "b", f"cast(k as decimal(20, 0)) * ({f('p', 'b0')} - {f('a0', 'b0')}) as value")
-    right = of_share.withColumnRenamed("source", "b").join(both, ["lang", "b"]).selectExpr("lang", "a", "b", f"cast(k as decimal(20, 0)) * ({f('a0', 'p')} - {f('a0', 'b0')}) as value")
-    parts = [x.select("lang", "a", "b", F.col("value").cast("decimal(38, 0)").alias("value")) for x in (none, left, right, shared_terms(shares))]
-    pairs = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("lang", "a", "b").agg(F.sum("value").cast("long").alias("value"))
+    a, b = (groups.select("lang", F.col("source").alias(x)) for x in "ab")
+    none = a.join(b, "lang").where("a <> b").select("lang", "a", "b", F.lit(0).cast("long").alias("value"))
+    pairs = none.union(pair_sums(shares, groups_path)).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     pairs = pairs.select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), "value")
 
     of_lang = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("terms").alias("terms"))
