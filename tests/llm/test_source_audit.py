@@ -54,11 +54,11 @@ ROWS = (
 )
 
 
-@pytest.mark.parametrize("chars", [2 << 20, 12])
-def test_against_plain(spark, monkeypatch, chars):
+@pytest.mark.parametrize(("chars", "sources"), [(5 << 20, 1000), (12, 2)])
+def test_against_plain(spark, monkeypatch, chars, sources):
     monkeypatch.setattr(sa, "AUTOMATON_CHARS", chars)  # 12: several shards, and texts dealt out to them
     monkeypatch.setattr(sa, "SCAN_CHARS", 1000)
-    monkeypatch.setattr(sa, "PAIRS", 2)
+    monkeypatch.setattr(sa, "SOURCES", sources)  # 2: several blocks of pairs
     assert result(sa.audit(table(spark, ROWS, extra=True))) == plain(ROWS)
 
 
