@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.functions import schemas as S
 from tallyframe.functions.text import filled, safe_name
+from tallyframe.operators.planning import metric_fits
 
 #: Fields of a review, its roles and decisions.
 REVIEW_FIELDS = ("consensus", "critic", "decision", "orchestrator", "required", "retrieval")
@@ -23,6 +25,68 @@ VERSION_INCOMPATIBLE = ("Dataset scripts are no longer supported", "requires a d
 SUMMARY_METRICS = ("accuracy", "macro_f1", "exact_match", "qa_f1", "rouge_l", "numeric_match", "set_f1")
 
 
+#: The version of a hand-over, what its candidates may be for, confidences, tasks and methods of a context.
+HANDOFF_VERSION, INTENDED_USES, CONFIDENCES = 1, ("direct_inference",), ("high", "low", "medium")
+CONTEXT_TASKS = ("", "classification", "generation", "image_classification", "multilabel_classification", "multiple_choice", "numeric_qa", "qa", "relation_extraction", "summarization", "token_classification")
+CONTEXT_METHODS = ("", "accuracy", "auto", "exact_match", "macro_f1", "numeric_match", "qa_f1", "rouge_l", "set_f1")
+
+_words = S.Text(filled=True)
+_decision = S.Text(one_of=DECISIONS)
+_judged = {"confidence": S.Number(low=0, high=1), "reasoning": _words}
+_assessed = S.Record({"improvement_probable": S.Flag(), **_judged}, open=True)
+#: A review, a candidate and a hand-over; a reader checks the dataset, split and round that it expects besides.
+REVIEW = S.Record({"required": S.Flag(), "consensus": S.Flag(), "decision": _decision, "retrieval": _assessed, "critic": _assessed, "orchestrator": S.Record({"decision": _decision, **_judged}, open=True)}, open=True)
+CANDIDATE = S.Record(
+    {"candidate_id": _words, "condition": _words, "model": _words, "source": _words, "intended_use": S.Text(one_of=INTENDED_USES), "reason": _words, "rank": S.Number(whole=True), "score": S.Number()}, open=True
+)
+HANDOFF = S.Record(
+    {"handoff_version": S.Equals(HANDOFF_VERSION), "mock": S.Flag(), "owner": _words, "retrieval_agent": _words, "dataset": S.Text(), "split": S.Text(), "round": S.Number(whole=True), "candidates": S.Items(CANDIDATE, 1, ("candidate_id",))},
+    {"continuation_review": REVIEW, "provider_input_checksum": S.Text(pattern="^[0-9a-f]{64}$")}, open=True,
+)
+
+
+def _method_misfits(get: Callable[[str], Column]) -> Column:
+    method = F.coalesce(get("evaluation_method"), F.lit("auto"))
+    return (get("task") != "") & ~method.isin("", "auto") & ~metric_fits(get("task"), method)
+
+
+#: A context of a dataset and the models that are to be run on it.
+DATASET_CONTEXT = S.Record(
+    {**dict.fromkeys(("answer_column", "choices_column", "image_column", "notes", "prompt_template", "question_column"), S.Text()), "task": S.Text(one_of=CONTEXT_TASKS), "label_map": S.Map(S.Text())},
+    {**dict.fromkeys(("subset", "split", "context_column", "dataset_source", "answer_regex"), S.Text()), "dataset_kwargs": S.Map(), "label_threshold": S.Optional(S.Number()), "evaluation_method": S.Text(one_of=CONTEXT_METHODS), "choices_columns": S.Items(S.Text())},
+    rules=(("evaluation_method does not fit the task", _method_misfits),),
+)
+CONTEXT = S.Record({"dataset": S.Text(), "models": S.Items(S.Text()), "confidence": S.Text(one_of=CONFIDENCES), "dataset_context": DATASET_CONTEXT, "model_context": S.Record({"notes": S.Text()})})
+
+
+def handoff_error(handoff: Column, dataset: Column, split: Column, round_number: Column) -> Column:
+    """The first error of a hand-over (JSON text) for a round of a dataset's split; '' if there is none."""
+    own = lambda name: F.get_json_object(handoff, f"$.{name}")
+    expected = [F.when(~own(n).eqNullSafe(x.cast("string")), F.lit(f"$.{n}: not the expected one")) for n, x in (("dataset", dataset), ("split", split), ("round", round_number))]
+    error = S.first_error(handoff, HANDOFF)
+    return F.when(error != "", error).otherwise(F.coalesce(*expected, F.lit("")))
+
+
+def context_error(context: Column, dataset: Column, models: Column) -> Column:
+    """The first error of a context (JSON text) for a dataset and its models, in order; '' if there is none."""
+    named = F.from_json(context, "dataset string, models array<string>")
+    error = S.first_error(context, CONTEXT)
+    return F.when(error != "", error).when(~named["dataset"].eqNullSafe(dataset), "$.dataset: not the expected one").when(~named["models"].eqNullSafe(models), "$.models: not the expected ones").otherwise("")
+
+
+def readiness(specs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each spec (dataset, split, models, context: JSON text or null): the columns to keep, dataset, status, split, task,
+    metric, confidence and errors. A spec is ready if its context is there and valid."""
+    error = F.when(~filled(F.col("context")), "evaluation_context is missing").otherwise(context_error(F.col("context"), F.col("dataset"), F.col("models")))
+    rows = specs.withColumn("_error", error)
+    ready = F.col("_error") == ""
+    value = lambda path, default=None: F.when(ready, F.coalesce(F.get_json_object("context", path), F.lit(default)))
+    return rows.select(
+        *keep, "dataset", F.when(ready, "ready").otherwise("failed").alias("status"), F.when(ready, F.coalesce("split", F.lit("auto"))).alias("split"), value("$.dataset_context.task").alias("task"),
+        value("$.dataset_context.evaluation_method", "auto").alias("metric"), value("$.confidence").alias("confidence"), F.when(ready, F.array().cast("array<string>")).otherwise(F.array("_error")).alias("errors"),
+    )
+
+
 def review_error(review: Column) -> Column:
     """The first breach of the contract by a review (JSON text), '' if there is none: an object with all fields, boolean
     flags, known decisions, a boolean probability flag in each assessment, confidences in [0, 1] and reasons."""

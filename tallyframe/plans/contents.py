@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.functions import json_text
-from tallyframe.operators import search, sequences
+from tallyframe.operators import contracts, search, sequences
 from tallyframe.operators.text_metrics import score_rows
 from tallyframe.plans.cycles import derived, duck
 from tallyframe.plans.fixtures import table
@@ -90,3 +90,35 @@ def ranked_similarities(spark, sf_dir):
     writers.write_similarities(ranked, path, F.concat(F.lit("dataset"), F.col("query_id").cast("string")), F.concat(F.lit("node"), F.col("id").cast("string")))
     back = readers.read_csv(spark, path)
     return back.select("query_dataset", F.col("rank").cast("int").alias("rank"), F.col("dataset_node_id").cast("long").alias("dataset_node_id"), F.col("cosine_similarity").cast("double").alias("cosine_similarity"))
+
+
+#: Hand-overs with one fault in most of them.
+HANDOFFS = """SELECT event_id, concat('{{"handoff_version": ', CASE event_id % 13 WHEN 1 THEN '2' ELSE '1' END, ', "mock": ', CASE event_id % 13 WHEN 2 THEN '"no"' ELSE 'false' END, ', "owner": "', CASE event_id % 13 WHEN 3 THEN '  ' ELSE event_type END,
+  '", "retrieval_agent": "a", "dataset": "', event_type, '", "split": "test", ', CASE event_id % 13 WHEN 4 THEN '' ELSE concat('"round": ', cast(user_id % 3 AS {S}), ', ') END,
+  '"candidates": [', CASE event_id % 13 WHEN 5 THEN '' ELSE concat('{{"candidate_id": "c1", "condition": "x", "model": "m', cast(user_id AS {S}), '", "source": "s", "intended_use": "', CASE event_id % 13 WHEN 6 THEN 'other' ELSE 'direct_inference' END, '", "reason": "r", "rank": ', CASE event_id % 13 WHEN 7 THEN '1.5' ELSE '1' END, ', "score": 0.5}},',
+    '{{"candidate_id": "', CASE event_id % 13 WHEN 8 THEN 'c1' ELSE 'c2' END, '", "condition": "x", "model": "m", "source": "s", "intended_use": "direct_inference", "reason": "r", "rank": 2, "score": ', CASE event_id % 13 WHEN 9 THEN 'true' ELSE '1e3' END, '}}') END, ']',
+  CASE event_id % 13 WHEN 10 THEN ', "provider_input_checksum": "xyz"' WHEN 11 THEN ', "continuation_review": {{"required": true, "consensus": true, "decision": "stop", "retrieval": {{"improvement_probable": true, "confidence": 1.5, "reasoning": "r"}}, "critic": {{}}, "orchestrator": {{}}}}' ELSE '' END, CASE event_id % 13 WHEN 12 THEN '' ELSE '}}' END) AS handoff FROM {events}"""
+
+
+@query("""SELECT event_id, CASE event_id % 13 WHEN 1 THEN '$.handoff_version: not 1' WHEN 2 THEN '$.mock: not a truth value' WHEN 3 THEN '$.owner: blank' WHEN 4 THEN '$: missing round' WHEN 5 THEN '$.candidates: fewer than 1' WHEN 6 THEN '$.candidates[0].intended_use: not one of ''direct_inference'''
+  WHEN 7 THEN '$.candidates[0].rank: not a whole number' WHEN 8 THEN '$.candidates: repeated candidate_id' WHEN 9 THEN '$.candidates[1].score: not a number' WHEN 10 THEN '$.provider_input_checksum: not of its form' WHEN 11 THEN '$.continuation_review.retrieval.confidence: more than 1'
+  WHEN 12 THEN '$: not JSON' ELSE CASE WHEN user_id % 3 <> 1 THEN '$.round: not the expected one' ELSE '' END END AS error FROM events""")
+def handoff_contract(spark, sf_dir):
+    rows = derived(spark, sf_dir, HANDOFFS, "events").join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    return rows.select("event_id", contracts.handoff_error(F.col("handoff"), F.col("event_type"), F.lit("test"), F.lit(1)).alias("error"))
+
+
+CONTEXTS = """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE concat('{{"dataset": "', CASE event_id % 11 WHEN 1 THEN 'other' ELSE event_type END, '", "models": ["m1", ', CASE event_id % 11 WHEN 2 THEN '2' ELSE concat('"m', cast(user_id % 2 AS {S}), '"') END, '], "confidence": "', CASE event_id % 11 WHEN 3 THEN 'sure' ELSE 'high' END,
+  '", "model_context": {{"notes": ""', CASE event_id % 11 WHEN 4 THEN ', "zeta": 1, "eta": 2' ELSE '' END, '}}, "dataset_context": {{"question_column": "q", "answer_column": "a", "choices_column": "", "image_column": "", "task": "qa", "label_map": {{"0": ', CASE event_id % 11 WHEN 5 THEN '7' ELSE '"no"' END, ', "1": "yes"}}, "prompt_template": "", "notes": ""',
+  CASE event_id % 11 WHEN 6 THEN ', "evaluation_method": "rouge_l"' WHEN 7 THEN ', "label_threshold": true' WHEN 8 THEN ', "label_threshold": null, "evaluation_method": "qa_f1"' WHEN 9 THEN ', "choices_columns": ["a", ["b"]]' ELSE '' END, '}}}}') END AS context FROM {events}"""
+
+
+@query("""WITH k AS (SELECT event_id, event_type, user_id, event_id % 11 AS k FROM events), e AS (SELECT *, CASE k WHEN 0 THEN 'evaluation_context is missing' WHEN 1 THEN '$.dataset: not the expected one' WHEN 2 THEN '$.models[1]: not a text' WHEN 3 THEN '$.confidence: not one of ''high'', ''low'', ''medium''' WHEN 4 THEN '$.model_context: unknown eta, zeta'
+  WHEN 5 THEN '$.dataset_context.label_map.0: not a text' WHEN 6 THEN '$.dataset_context: evaluation_method does not fit the task' WHEN 7 THEN '$.dataset_context.label_threshold: not a number' WHEN 9 THEN '$.dataset_context.choices_columns[1]: not a text' ELSE CASE WHEN user_id % 2 = 0 THEN '$.models: not the expected ones' ELSE '' END END AS error FROM k)
+SELECT event_id, event_type AS dataset, CASE WHEN error = '' THEN 'ready' ELSE 'failed' END AS status, CASE WHEN error = '' THEN 'auto' END AS split, CASE WHEN error = '' THEN 'qa' END AS task, CASE WHEN error = '' THEN CASE WHEN k = 8 THEN 'qa_f1' ELSE 'auto' END END AS metric, CASE WHEN error = '' THEN 'high' END AS confidence, error AS errors FROM e""")
+def context_readiness(spark, sf_dir):
+    """A spec an event: its context is read, checked and reported on."""
+    rows = derived(spark, sf_dir, CONTEXTS, "events").join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    specs = rows.select(F.concat_ws("#", "event_type", F.col("event_id").cast("string")).alias("key"), F.col("event_type").alias("dataset"), F.lit(None).cast("string").alias("split"), F.array(F.lit("m1"), F.lit("m1")).alias("models"), "context", "event_id")
+    report = contracts.readiness(specs, ("event_id",))
+    return report.withColumn("errors", F.array_join("errors", "; "))
