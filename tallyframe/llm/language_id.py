@@ -7,6 +7,7 @@ have a fixed length and cover the whole text; their log probabilities are averag
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,9 @@ from tallyframe.llm.tokens import slices
 #: Bytes of a window; a text's last one is padded with spaces.
 WINDOW = 128
 EMBED, WIDTHS, FILTERS = 6, (2, 3, 4), 12
-#: Rows the network is fitted on, at most, with their whole texts. Rows of at most SHORT bytes come first, then a hash of
-#: the id decides; so longer ones are taken only for languages with too few short ones.
-SAMPLE_ROWS, SHORT = 1600, 4096
+#: Rows the network is fitted on, at most, chosen by a hash of the id; and windows of each, chosen by a hash from all windows
+#: of its whole text. So at most 51,200 windows (6.5 MB) go to the driver, whatever the texts' lengths.
+SAMPLE_ROWS, SAMPLE_WINDOWS = 1600, 32
 EPOCHS, RATE, BATCH = 3, 0.01, 64
 #: Windows scored at a time.
 CHUNK = 256
@@ -147,13 +148,14 @@ def predict(net: Network, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
 
 
 def training_windows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, bytes]]:
-    """(language, window): all windows with a letter of at most `rows` documents that are not held out, as many of each
-    language as there are, up to an equal share; sorted. Of rows that share an id, one text is used."""
+    """(language, window): of the windows with a letter of at most `rows` documents that are not held out, SAMPLE_WINDOWS a
+    document by the smallest hashes; as many documents of each language as there are, up to an equal share; sorted. Of rows
+    that share an id, one text is used."""
     known = docs.where("doc_id is not null and lang is not null").where(fold(F.col("doc_id")) != 0)
-    ids = known.select("doc_id", "lang", (F.octet_length(F.coalesce("text", F.lit(""))) > SHORT).alias("long"))
+    ids = known.select("doc_id", "lang")
     languages = ids.select("lang").distinct().count()
     share = max(1, rows // max(1, languages))
-    own = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")
+    own = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # The limit is pushed below the shuffle: a task sends at most `share` rows of a language.
     chosen = ids.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= share).select("doc_id").distinct()
     texts = one_each(known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id"), "doc_id").select("lang", "text")
@@ -163,10 +165,10 @@ def training_windows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str
             raw, offsets = text_column(b)
             for lang, lo, hi in zip(b.column(0).to_pylist(), offsets[:-1], offsets[1:], strict=True):
                 w = windows(folded(raw[lo:hi]))
-                w = [x.tobytes() for x in w[_LETTER[w].any(1)]]
+                w = sorted((x.tobytes() for x in w[_LETTER[w].any(1)]), key=lambda x: (zlib.crc32(x), x))[:SAMPLE_WINDOWS]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(w), pa.string()), pa.array(w, pa.binary())], names=["lang", "w"])
 
-    # At most `rows` whole texts.
+    # At most `rows` times SAMPLE_WINDOWS rows.
     return sorted((r[0], bytes(r[1])) for r in texts.mapInArrow(run, "lang string, w binary").collect())
 
 
