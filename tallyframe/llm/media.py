@@ -152,6 +152,15 @@ def payload(text: bytes) -> bytes:
     return text + b"\0" * (-len(text) % WIDTH if text else WIDTH)
 
 
+def page(text: bytes, digest: str, rows: int) -> str:
+    """A page with the structure of the text: a paragraph for each line that is not blank (its number and length), and the
+    figure of the payload where half of these lines are over."""
+    lines = [len(x) for x in text.split(b"\n") if x.strip()]
+    blocks = [f"<p>line {i}: {n} bytes</p>" for i, n in enumerate(lines)]
+    blocks.insert(len(lines) // 2, f'<figure><img src="sha256:{digest}" alt="text"><figcaption>{len(text)} bytes as {rows} rows</figcaption></figure>')
+    return f"<article>{''.join(blocks)}</article>"
+
+
 def store(docs: DataFrame, folder: str) -> DataFrame:
     """Stores each text's payload and returns (doc_id, n_bytes, html, digest, shard, offset, length): html refers to the
     payload by its digest; shard, offset and length are null where this task had stored an equal payload before."""
@@ -175,7 +184,7 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
                     file = file or AtomicFile(folder, f"blobs-{pid:08d}.bin")
                     place = (file.path, file.write(image), len(image))
                 n = int(hi - lo)
-                html = f'<article><p>{n} bytes of text</p><figure><img src="sha256:{digest}" alt="text"><figcaption>{n} bytes as {len(body) // WIDTH} rows</figcaption></figure></article>'
+                html = page(data[lo:hi], digest, len(body) // WIDTH)
                 out.append((doc_id, n, html, digest, *place))
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
