@@ -53,7 +53,11 @@ def test_text_media(spark, make, awkward):
     got = media.text_media(make(awkward, extra=True).repartition(3), work_path(spark, "test-media")).collect()
     key = lambda r: (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256)
     assert sorted(((r.doc_id, *key(r)) for r in got), key=str) == sorted(((i, *want(t)) for i, t in awkward), key=str)
-    assert len({r.feature for r in got}) == len({t or "" for _, t in awkward}) and all(r.pos == 1 and r.caption.startswith(f"{r.n_bytes} bytes") for r in got)
+    assert len({r.feature for r in got}) == len({t or "" for _, t in awkward}) and all(r.caption == f"{r.n_bytes} bytes as {r.payload_bytes // 64} rows" for r in got)
+    place = lambda t: sum(1 for x in (t or "").encode().split(b"\n") if x.strip()) // 2
+    assert sorted(((r.doc_id, r.pos) for r in got), key=str) == sorted(((i, place(t)) for i, t in awkward), key=str)
+    lines = media.text_media(make([(1, "a\n\nb <b>\n \nc\nd\ne"), (2, "\n\n"), (3, "x" * 200 + "\n" * 3000 + "y")]), work_path(spark, "test-media")).collect()
+    assert {(r.doc_id, r.pos) for r in lines} == {(1, 2), (2, 0), (3, 1)}
     x = np.frombuffer(media.payload(b"ab"), np.uint8)
     assert f"mean={int(x.sum()) * 1000 // 64}" in media.text_media(make([(1, "ab")]), work_path(spark, "test-media")).collect()[0].feature
     assert media.text_media(make([]), work_path(spark, "test-media")).collect() == []
