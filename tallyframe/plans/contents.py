@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tallyframe.functions import json_text
 from tallyframe.operators import contracts, search, sequences
 from tallyframe.operators.text_metrics import score_rows
 from tallyframe.plans.cycles import derived, duck
-from tallyframe.plans.fixtures import table
+from tallyframe.plans.fixtures import fixture, table, with_fixtures
 from tallyframe.plans.runs import norm
-from tallyframe.sources import readers, writers
+from tallyframe.sources import readers, task_folders, writers
 from tallyframe.sources.scratch import scratch
 
 QUERIES: dict = {}
@@ -122,3 +124,31 @@ def context_readiness(spark, sf_dir):
     specs = rows.select(F.concat_ws("#", "event_type", F.col("event_id").cast("string")).alias("key"), F.col("event_type").alias("dataset"), F.lit(None).cast("string").alias("split"), F.array(F.lit("m1"), F.lit("m1")).alias("models"), "context", "event_id")
     report = contracts.readiness(specs, ("event_id",))
     return report.withColumn("errors", F.array_join("errors", "; "))
+
+
+@query(with_fixtures("results") + """, t AS (SELECT *, ordinal % 37 AS task_index FROM results), f AS (SELECT task_index, arg_min(dataset, ordinal) AS dataset, arg_min(status, ordinal) AS eval_status, arg_min(model, ordinal) AS model FROM t WHERE task_index % 6 <> 5 GROUP BY 1),
+b AS (SELECT task_index, count(*) AS failures FROM t WHERE status = 'failed' AND task_index % 4 = 0 GROUP BY 1)
+SELECT s.task_index, f.dataset, f.model, coalesce(f.eval_status, 'missing_task_result') AS eval_status, coalesce(b.failures, 0) AS failures FROM (SELECT DISTINCT task_index::INT AS task_index FROM t) s LEFT JOIN f ON s.task_index = f.task_index LEFT JOIN b ON s.task_index = b.task_index""")
+def task_folder_results(spark, sf_dir):
+    """37 task folders, of which some have no result and some an array of failures, read through the registered source."""
+    root = scratch(spark, "tasks")
+    t = fixture(spark, sf_dir, "results").withColumn("task", F.col("ordinal") % 37)
+    rows = t.where("task % 6 <> 5").repartition("task").sortWithinPartitions("task", "ordinal")
+    rows.select("task", "dataset", "model", F.col("status").alias("eval_status")).write.partitionBy("task").option("header", True).csv(f"{root}/results")
+    failed = t.where("status = 'failed' and task % 4 = 0").groupBy("task").agg(F.to_json(F.collect_list(F.struct("dataset", "model"))).alias("value"))
+    failed.write.partitionBy("task").text(f"{root}/failures")
+    results = task_folders.read_tasks(spark, f"{root}/results", "part-*.csv", ["dataset", "model", "eval_status"])
+    failures = task_folders.read_tasks(spark, f"{root}/failures", "part-*.txt", [], "failures").groupBy("task_index").agg(F.count_if(F.get_json_object("failure", "$.model").isNotNull()).alias("failures"))
+    merged = task_folders.task_results(t.select(F.col("task").cast("int").alias("task_index")).distinct(), results, ["dataset", "model", "eval_status"], "eval_status")
+    return merged.join(failures, "task_index", "left").select("task_index", "dataset", "model", "eval_status", F.coalesce("failures", F.lit(0).cast("long")).alias("failures"))
+
+
+@query("SELECT event_type AS source, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE event_type <> 'view' GROUP BY 1")
+def stored_datasets(spark, sf_dir):
+    """A dataset a type, stored by subset and split; the clicks lie under their fallback's name, the purchases are flattened."""
+    root, e = scratch(spark, "datasets"), table(spark, sf_dir, "events").where("event_type <> 'view'")
+    e.withColumn("d", F.when(F.col("event_type") == "click", "old-clicks").otherwise(F.col("event_type"))).write.partitionBy("d").parquet(f"{root}/all")
+    names = [r.event_type for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # a few types
+    parts = [readers.load_dataset(spark, f"{root}/all", f"d={n}", fallbacks={"d=click": ("d=old-clicks", "")}, flatten={"d=purchase": lambda x: x.select("event_id", F.lit("purchase").alias("event_type"))}) for n in names]
+    rows = reduce(lambda a, b: a.unionByName(b), [p.select("event_id", "event_type") for p in parts])
+    return rows.groupBy(F.col("event_type").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))

@@ -182,3 +182,29 @@ SOURCES = {"parquet": lambda s, p: s.read.parquet(p), "csv": read_csv, "jsonl":
 
 def load(spark: SparkSession, kind: str, location: str) -> DataFrame:
     return SOURCES[kind](spark, location)
+
+
+def load_dataset(spark: SparkSession, root: str, dataset: str, subset: str = "", split: str = "", fallbacks: dict[str, tuple[str, str]] | None = None, flatten: dict | None = None, limit: int = 0, seed: int = 0, key: str = "") -> DataFrame:
+    """A split of a stored dataset (root/<dataset>/<subset>/<split>, Parquet; levels that are '' are left out). Where it isn't
+    there, the dataset's fallback (dataset, subset) is read, under its lower-cased name; the error is the first one if that
+    fails, too. flatten: a function for the dataset's name that makes examples of its rows. limit: so many rows, by a
+    hash of the seed and the key, in that order (sample_index)."""
+    from pyspark.errors import AnalysisException
+
+    from tallyframe.operators.selection import hashed_sample
+
+    def stored(name: str, part: str) -> DataFrame:
+        return spark.read.parquet("/".join(x for x in (root, name, part, split) if x))
+
+    try:
+        df = stored(dataset, subset)
+    except AnalysisException as first:
+        other = (fallbacks or {}).get(dataset.lower())
+        if other is None:
+            raise
+        try:
+            df = stored(*other)
+        except AnalysisException as second:
+            raise second from first
+    df = (flatten or {}).get(dataset, lambda x: x)(df)
+    return hashed_sample(df, key, limit, seed) if limit else df
