@@ -60,6 +60,50 @@ def prediction_audit(p: DataFrame, keys: list[str]) -> DataFrame:
     })
 
 
+def prediction_distribution(p: DataFrame, keys: list[str], limit: int = 20) -> DataFrame:
+    """(keys, value, n, place): the most frequent predictions, the first encountered of equals; a null is ''."""
+    n = p.groupBy(*keys, F.coalesce("prediction", F.lit("")).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("n"), "first_idx")
+    return n.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).drop("first_idx")
+
+
+def run_audit(p: DataFrame, summaries: DataFrame, keys: list[str], shown: int = 10) -> DataFrame:
+    """summaries (keys, score, labeled_total, unsupported_reason, tag_parse_failures, label_values) with the audit of their runs:
+    status, issues and warnings in order, and what prediction_audit() says. A run whose score was not measured is not looked
+    into; predictions outside the label values are named in order, `shown` of them."""
+    a = prediction_audit(p, keys).drop("status", "degenerate")
+    values = p.select(*keys, F.col("prediction").alias("value")).where("value <> ''").distinct()
+    # Only values outside the labels are gathered, each run's least `shown`.
+    known = summaries.select(*keys, F.explode("label_values").alias("value"))
+    outside = values.join(summaries.where(F.size("label_values") > 0).select(*keys), keys, "left_semi").join(known, [*keys, "value"], "left_anti")
+    least = outside.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("value"))).where(F.col("_n") <= shown)
+    least = least.groupBy(*keys).agg(F.array_sort(F.collect_list("value")).alias("_outside"))
+    rows = summaries.join(a, keys, "left").join(least, keys, "left")
+    unsupported, unmeasured = filled(F.col("unsupported_reason")), F.col("score").isNull() | (F.coalesce("labeled_total", F.lit(0)) == 0)
+    none, blank = F.coalesce("prediction_rows", F.lit(0)) == 0, F.col("blank_predictions") == F.col("prediction_rows")
+    looked = ~unsupported & ~unmeasured
+    when = lambda cond, text: F.when(cond, F.lit(text) if isinstance(text, str) else text)
+    issue = (
+        when(unsupported, F.col("unsupported_reason").cast("string")).when(unmeasured, "No labeled score was produced.")
+        .when(none, "predictions.jsonl is empty despite a labeled score.").when(blank, "All predictions are blank.")
+    )
+    failures = F.coalesce("tag_parse_failures", F.lit(0))
+    warnings = F.array(
+        when(looked & (failures != 0), F.concat(F.lit("Tagged-answer parsing failed for "), failures.cast("string"), F.lit(" examples."))),
+        when(looked & F.col("_outside").isNotNull(), F.concat(F.lit("Predictions outside label map values: "), F.array_join("_outside", ", "))),
+        when(looked & (F.col("prediction_rows") >= 10) & (F.col("top_count") >= 0.95 * F.col("prediction_rows")), F.concat(F.lit("Degenerate prediction distribution: "), F.col("top_prediction"))),
+    )
+    status = when(unsupported, "unsupported").when(unmeasured, "unmeasured").when(none | blank, "failed").otherwise("ok")
+    counted = [F.when(looked, F.col(c)).alias(c) for c in ("prediction_rows", "blank_predictions", "distinct_predictions", "top_prediction", "top_count", "top_fraction")]
+    return rows.select(*keys, status.alias("status"), issue.alias("issue"), F.filter(warnings, lambda x: x.isNotNull()).alias("warnings"), *counted)
+
+
+def with_metric_columns(df: DataFrame, metrics: tuple[str, ...], tagged: Column) -> DataFrame:
+    """df (metric, score, tag_parse_failures) as summaries have it: a column for each metric, the score in that of the row's
+    own, and tag_parse_failures only for tagged protocols."""
+    return df.withColumns({**{m: F.when(F.col("metric") == m, F.col("score")) for m in metrics}, "tag_parse_failures": F.when(tagged, F.col("tag_parse_failures"))})
+
+
 def histogram(p: DataFrame, keys: list[str], column: str) -> DataFrame:
     return p.groupBy(*keys, stringify(F.col(column)).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -118,12 +162,12 @@ def failure_modes(p: DataFrame, keys: list[str], results: DataFrame | None = Non
 
 
 def failed_by_all(p: DataFrame, first: int = 20, limit: int = 20) -> DataFrame:
-    """Keys of examples in every model's first `first` failures; a model without failures empties the result. Sorted as
-    text."""
+    """Examples in every model's first `first` failures, with the last model's target and prediction; a model without failures
+    empties the result. Sorted as text."""
     models = p.select("model").distinct().count()
     failed = scored(p).where("correct = false").withColumn("place", F.row_number().over(Window.partitionBy("model").orderBy("idx"))).where(F.col("place") <= first)
-    common = failed.groupBy(F.col("idx").cast("string").alias("example")).agg(F.countDistinct("model").alias("models")).where(F.col("models") == models)
-    return common.orderBy("example").limit(limit)
+    common = failed.groupBy(F.col("idx").cast("string").alias("example")).agg(F.countDistinct("model").alias("models"), F.max_by(F.struct("target_answer", "prediction"), "model").alias("last")).where(F.col("models") == models)
+    return common.orderBy("example").limit(limit).select("example", "models", "last.*")
 
 
 def dedupe_pairs(df: DataFrame) -> DataFrame:

@@ -94,6 +94,13 @@ def reviewed_stop(df: DataFrame, target: int) -> DataFrame:
     return df.withColumn("stop", (F.col("successes") >= target) & (target > 0) & ((F.col("votes_needed") == 0) | unanimous))
 
 
+def reviewed_stop_by_votes(df: DataFrame, target: int) -> DataFrame:
+    """reviewed_stop() of counted votes: df (successes, votes, others, votes_needed), others being the votes that aren't 'stop'.
+    Counts come from an aggregation with a partial step; no list of votes is needed."""
+    unanimous = (F.col("votes") >= F.col("votes_needed")) & (F.col("others") == 0)
+    return df.withColumn("stop", (F.col("successes") >= target) & (target > 0) & ((F.col("votes_needed") == 0) | unanimous))
+
+
 @dataclass
 class SelectionLoop:
     """A live loop. retrieve(round, seen) gives candidates (dataset, model, ordinal, ...); evaluate(candidates) gives

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.plans import artefacts, contents, cycles, details, numerics, runs, texts
+from tallyframe.plans import answers, artefacts, contents, cycles, details, numerics, runs, texts
 
-MODULES = (runs, texts, numerics, cycles, artefacts, details, contents)
+MODULES = (runs, texts, numerics, cycles, artefacts, details, contents, answers)
 
 
 def queries() -> dict:

@@ -125,12 +125,8 @@ SELECT k, successes, successes >= 5 AND (k % 3 = 0 OR (len(decisions) >= k % 3 *
 def reviewed_stops(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     said = F.when(F.col("value") > 60, "Stop").when(F.col("value") > 1, "stop").otherwise("go")
-    r = e.groupBy((F.col("user_id") % 50).alias("k")).agg(F.count_if(F.col("event_type") == "purchase").alias("successes"), F.collect_list(said).alias("decisions"))
-    return loop.reviewed_stop(r.withColumn("votes_needed", F.col("k") % 3 * 20), 5).select("k", "successes", "stop")
-
-
-CONFIGS = """SELECT p_partkey, concat('{{"use_cache":', CASE p_partkey % 3 WHEN 0 THEN 'null' WHEN 1 THEN 'false' ELSE 'true' END, ',"layers":[{{"use_cache":', CASE WHEN p_partkey % 2 = 0 THEN 'null' ELSE '1' END, '}}],"name":"', p_name, '"',
-  CASE WHEN p_partkey % 5 = 0 THEN ',"architectures":["XBertModel"]' ELSE ',"model_type":"own"' END, CASE WHEN p_partkey % 7 = 0 THEN ',"rope_type":"linear"' ELSE '' END, '}}') AS config FROM {part}"""
+    r = e.groupBy((F.col("user_id") % 50).alias("k")).agg(F.count_if(F.col("event_type") == "purchase").alias("successes"), F.count(said).alias("votes"), F.count_if(F.lower(said) != "stop").alias("others"))
+    return loop.reviewed_stop_by_votes(r.withColumn("votes_needed", F.col("k") % 3 * 20), 5).select("k", "successes", "stop")
 
 
 @query("""SELECT p_partkey, p_partkey % 3 < 1 OR p_partkey % 3 = 2 AS cache, p_partkey % 2 = 0 AS inner_cache, CASE WHEN p_partkey % 5 = 0 THEN 'bert' ELSE 'own' END AS kind, CASE WHEN p_partkey % 7 = 0 THEN 'linear' END AS rope, p_name AS name FROM part""")

@@ -179,7 +179,7 @@ def failure_modes(spark, sf_dir):
 
 
 @query(P + """, f AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY idx) AS place FROM s WHERE score < 1)
-SELECT idx::VARCHAR AS example, count(DISTINCT model) AS models FROM f WHERE place <= 60 GROUP BY 1 HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM s) ORDER BY 1 LIMIT 20""")
+SELECT idx::VARCHAR AS example, count(DISTINCT model) AS models, arg_max(target_answer, model) AS target_answer, arg_max(prediction, model) AS prediction FROM f WHERE place <= 60 GROUP BY 1 HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM s) ORDER BY 1 LIMIT 20""")
 def all_failed(spark, sf_dir):
     return agg.failed_by_all(fixture(spark, sf_dir, "predictions"), first=60)
 

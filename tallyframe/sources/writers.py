@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import zipfile
 from pathlib import Path
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions.text import filled
+
 #: Rows of a report, at most; a report of more is an error, not a cut.
 REPORT_ROWS = 10_000
 
@@ -44,6 +48,46 @@ def handoffs(df: DataFrame) -> DataFrame:
     return doc.withColumn("checksum", F.sha2("candidates", 256))
 
 
+#: What a frozen hand-over names as its owner, and the defaults of its candidates.
+FROZEN_OWNER, FROZEN_SOURCE, FROZEN_USE, FROZEN_REASON = "frozen_measured_preflight", "preflight_selection", "direct_inference", "Selected by measured preflight."
+
+
+def file_checksums(spark: SparkSession, paths: list[str]) -> list[dict[str, str]]:
+    """(path, checksum) of each source, in order: SHA-256 of a file, of a folder that of its files' digests in the order of
+    their names."""
+    out = []
+    for path in paths:
+        files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("c")).where("path not like '%/_SUCCESS'")
+        digests = [r.c for r in files.orderBy("path").collect()]  # one row a file
+        out.append({"path": path, "checksum": digests[0] if len(digests) == 1 else hashlib.sha256("".join(digests).encode()).hexdigest()})
+    return out
+
+
+def frozen_handoffs(ranked: DataFrame, splits: DataFrame, target: int, sources: list[dict[str, str]]) -> DataFrame:
+    """(dataset, handoff): a JSON hand-over for each dataset of splits (dataset, split) that has ranked rows: its first `target`
+    by final_rank, numbered from 1 without gaps. ranked: dataset, final_rank, candidate_id, model, retrieval_score, source,
+    intended_use, reason, score, metric, evaluation_protocol, as text. A score that is no finite number is an error when the
+    result is read. The hand-over names its sources and their joint checksum."""
+    checksum = hashlib.sha256(json.dumps(sources, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    place = F.row_number().over(Window.partitionBy("dataset").orderBy(F.col("final_rank").cast("long"), "candidate_id"))
+    rows = ranked.withColumn("_rank", place).where(F.col("_rank") <= target)
+    score = F.when(filled(F.col("retrieval_score")), F.col("retrieval_score").try_cast("double")).otherwise(0.0)
+    finite = score.isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf"))
+    sound = F.when(finite, score).otherwise(F.raise_error(F.concat(F.lit("no finite retrieval score for "), F.coalesce("model", F.lit("")))).cast("double"))
+    own = lambda c, default: F.when(filled(F.col(c)), F.col(c)).otherwise(default).alias(c)
+    candidate = F.struct(
+        "candidate_id", F.lit(FROZEN_OWNER).alias("condition"), "model", F.col("_rank").alias("rank"), sound.alias("score"), own("source", FROZEN_SOURCE), own("intended_use", FROZEN_USE), own("reason", FROZEN_REASON),
+        *[F.coalesce(c, F.lit("")).alias(f"preflight_{n}") for c, n in (("score", "score"), ("metric", "metric"), ("evaluation_protocol", "protocol"))],
+    )
+    lists = rows.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct(F.col("_rank"), candidate.alias("c")))).alias("l"))
+    frozen = F.struct(F.array(*[F.struct(F.lit(x["path"]).alias("path"), F.lit(x["checksum"]).alias("checksum")) for x in sources]).alias("ranked_models_sources"), F.lit(checksum).alias("combined_checksum"))
+    doc = F.struct(
+        F.lit(1).alias("handoff_version"), F.lit(FROZEN_OWNER).alias("owner"), F.lit(False).alias("mock"), F.lit(f"frozen-preflight@{checksum[:12]}").alias("retrieval_agent"), "dataset", F.coalesce("split", F.lit("auto")).alias("split"),
+        F.lit(1).alias("round"), frozen.alias("frozen_from"), F.transform("l", lambda x: x["c"]).alias("candidates"),
+    )
+    return splits.join(lists, "dataset").select("dataset", F.to_json(doc).alias("handoff"))
+
+
 def _rows(df: DataFrame) -> list[list[str]]:
     found = df.limit(REPORT_ROWS + 1).collect()
     if len(found) > REPORT_ROWS:
