@@ -204,6 +204,32 @@ def pivot_models(pairs: DataFrame, n: int) -> DataFrame:
     return placed.groupBy("dataset").agg(F.count(F.lit(1)).alias("models"), F.count_if(F.col("outcome") == "success").alias("successes"), *cells)
 
 
+#: The statuses that a report counts as successes, and the fields that it has for each model.
+REPORT_SUCCESS = ("ok", "success")
+REPORT_FIELDS = (
+    "model", "conditions", "source_methods", "recommendation_scores", "recommendation_reasoning", "status", "protocol", "metric", "score", "eval_total", "eval_labeled_total",
+    "codex_prompt", "codex_context", "model_context", "eval_notes", "failure_reason", "eval_output_dir",
+)
+
+
+def dataset_report(pairs: DataFrame, n: int = 0) -> DataFrame:
+    """A row for each dataset: its models counted in all and by status, and for its models in the order of their task index (a
+    missing one last) all of REPORT_FIELDS as model_<i>_<field>, text, '' where pairs has no such column or value. n: models
+    to have columns for; 0 for as many as the largest dataset has. pairs: one row a pair (dataset, task_index, status, ...)."""
+    have = set(pairs.columns)
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")
+    one = F.struct(F.coalesce(F.col("task_index").cast("long"), F.lit(10**9)).alias("_at"), cell("model").alias("_m"), *[cell(c).alias(c) for c in REPORT_FIELDS])
+    status = F.when(filled(F.col("status")), F.col("status")).otherwise("missing")
+    # The models of a dataset are distinct: a row's array is as long as the report is wide.
+    rows = pairs.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("model_count"), F.count_if(status.isin(*REPORT_SUCCESS)).alias("success_count"), F.count_if(status == "failed").alias("failed_count"), F.count_if(status == "unsupported").alias("unsupported_count"),
+        F.count_if(F.startswith(status, F.lit("missing"))).alias("missing_count"), F.array_sort(F.collect_list(one)).alias("_models"),
+    )
+    n = n or rows.agg(F.max("model_count")).first()[0] or 0
+    counts = [c for c in rows.columns if c != "_models"]
+    return rows.select(*counts, *[F.coalesce(F.get("_models", F.lit(i))[c], F.lit("")).alias(f"model_{i + 1}_{c}") for i in range(n) for c in REPORT_FIELDS])
+
+
 def contingency(a: DataFrame, b: DataFrame, key: str = "idx") -> DataFrame:
     """Two runs over the same examples: who was right, how often they agree, and the difference of their scores. Raises if
     an example is repeated, in one run only, or has another target there."""

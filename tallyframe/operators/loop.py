@@ -32,6 +32,11 @@ def replay(results: DataFrame, target: int = 0, minimum: float = 0.0) -> DataFra
     rows = annotate_comparability(with_outcome(results))
     good = (F.col("outcome") == "success") & F.col("comparable")
     rounds = rows.groupBy("dataset", "round").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(good).alias("successes"), F.max(F.when(good, F.col("score"))).alias("score"))
+    return stop_reasons(rounds, target, minimum)
+
+
+def stop_reasons(rounds: DataFrame, target: int = 0, minimum: float = 0.0) -> DataFrame:
+    """rounds (dataset, round, successes, score) with the best score before, successes so far, and the stop reason."""
     w = Window.partitionBy("dataset").orderBy("round")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     rounds = rounds.withColumns({"previous_best": F.max("score").over(before), "total_successes": F.sum("successes").over(w)})

@@ -27,9 +27,14 @@ def protocol_family(protocol: Column) -> Column:
     return F.when(protocol.isin(*ACCURACY_PROTOCOLS), "label_accuracy").otherwise(F.coalesce(protocol, F.lit("")))
 
 
+def comparability_key() -> Column:
+    """Metric and protocol family of a row (metric, evaluation_protocol): rows of one key can be compared."""
+    return F.concat_ws("\u0001", F.coalesce("metric", F.lit("")), protocol_family(F.col("evaluation_protocol")))
+
+
 def annotate_comparability(df: DataFrame) -> DataFrame:
     """The first success of a dataset fixes metric and protocol family; later ones that differ are non_comparable."""
-    key = F.concat_ws("\u0001", F.coalesce("metric", F.lit("")), protocol_family(F.col("evaluation_protocol")))
+    key = comparability_key()
     ok = F.col("outcome") == "success"
     first = F.col("_first")
     same = ok & (key == first)

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text
+from tallyframe.functions import vectors as v
 from tallyframe.operators import aggregates as agg
-from tallyframe.operators import contracts, dialogue, joins, ranking
+from tallyframe.operators import contracts, dialogue, joins, loop, ranking
 from tallyframe.operators.contracts import SUMMARY_METRICS
 from tallyframe.operators.numbering import numbered
 from tallyframe.plans.fixtures import fixture, table, with_fixtures
+from tallyframe.plans.runs import SQL as RUNS_SQL
 from tallyframe.sources import readers, writers
 from tallyframe.sources.scratch import scratch
+from tallyframe.streaming import loop_stream
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -124,3 +127,40 @@ def frozen_handoffs(spark, sf_dir):
     back = spark.read.parquet(f"{root}/handoffs").withColumn("error", contracts.handoff_error(F.col("handoff"), F.col("dataset"), F.lit("test"), F.lit(1)))
     each = back.select("dataset", "error", F.explode(F.from_json(F.get_json_object("handoff", "$.candidates"), "array<struct<rank: bigint, model: string, score: double, reason: string>>")).alias("c"))
     return each.select("dataset", "c.rank", "c.model", F.round("c.score", 9).alias("score"), "c.reason", "error")
+
+
+@query(RUNS_SQL["selection_loop"])
+def streamed_loop(spark, sf_dir):
+    """selection_loop over a stream: the results in files of no set order, two to a micro-batch."""
+    root, rows = scratch(spark, "loop-stream"), fixture(spark, sf_dir, "results")
+    rows.repartition(6, "ordinal").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    loop_stream.run(stream, f"{root}/out", f"{root}/state").awaitTermination()
+    return loop.until_stop(loop_stream.rounds_so_far(spark, f"{root}/out", target=100, minimum=0.05)).drop("seen_models")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), m AS (SELECT vec_id, list_transform(range(8), lambda d: list_sum(list_transform(range(8), lambda r: CASE WHEN (r + vec_id) % 3 <> 0 THEN x[r * 8 + d + 1] ELSE 0 END))) AS s, len(list_filter(range(8), lambda r: (r + vec_id) % 3 <> 0)) AS n FROM e),
+p AS (SELECT vec_id, list_transform(s, lambda z: z / n) AS p FROM m), q AS (SELECT vec_id, p, greatest(sqrt(list_sum(list_transform(p, lambda z: z * z))), 1e-8) AS l FROM p) SELECT vec_id, round(p[1] / l, 6) AS first, round(list_sum(p) / l, 6) AS total FROM q""")
+def masked_mean(spark, sf_dir):
+    """An embedding as eight token rows of eight dimensions, of which a mask leaves two in three."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", v.doubles(F.col("embedding")).alias("x"))
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice("x", r * 8 + 1, 8))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: ((r + F.col("vec_id")) % 3 != 0).cast("int"))
+    p = e.select("vec_id", v.mean_pool(tokens, mask).alias("p"))
+    return p.select("vec_id", F.round(F.get("p", F.lit(0)), 6).alias("first"), F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+_WIDE = 12
+_own = {"model": "model", "conditions": "conditions", "status": "status", "protocol": "evaluation_protocol", "metric": "metric", "score": "score::VARCHAR", "eval_labeled_total": "labeled_total::VARCHAR"}
+
+
+@query(with_fixtures("results") + """, d AS (SELECT *, row_number() OVER (PARTITION BY dataset, model ORDER BY ordinal DESC) AS rn, string_agg("condition", '; ') OVER (PARTITION BY dataset, model ORDER BY ordinal) AS cs FROM results),
+p AS (SELECT dataset, model, "condition" AS conditions, CASE WHEN ordinal % 4 = 0 THEN 'missing_task_result' ELSE status END AS status, evaluation_protocol, metric, score, labeled_total, row_number() OVER (PARTITION BY dataset ORDER BY CASE WHEN ordinal % 3 = 0 THEN 1000000000 ELSE ordinal END, model) AS place FROM d WHERE rn = 1)
+SELECT dataset, count(*) AS model_count, count_if(status IN ('ok', 'success')) AS success_count, count_if(status = 'failed') AS failed_count, count_if(status = 'unsupported') AS unsupported_count, count_if(status LIKE 'missing%') AS missing_count, """
+       + ", ".join(f"coalesce(max(CASE WHEN place = {i} THEN {_own.get(c, chr(39) * 2)} END), '') AS model_{i}_{c}" for i in range(1, _WIDE + 1) for c in agg.REPORT_FIELDS) + " FROM p GROUP BY 1")
+def dataset_report(spark, sf_dir):
+    """The last result of each pair, wide, with all fields."""
+    rows = fixture(spark, sf_dir, "results")
+    last = rows.groupBy("dataset", "model").agg(F.max_by(F.struct("ordinal", F.col("condition").alias("conditions"), "status", F.col("evaluation_protocol").alias("protocol"), "metric", "score", F.col("labeled_total").alias("eval_labeled_total")), "ordinal").alias("r")).select("dataset", "model", "r.*")
+    pairs = last.withColumns({"task_index": F.when(F.expr("ordinal % 3 <> 0"), F.col("ordinal")), "status": F.when(F.expr("ordinal % 4 = 0"), "missing_task_result").otherwise(F.col("status"))})
+    return agg.dataset_report(pairs, _WIDE)

@@ -251,15 +251,36 @@ def masked_candidates(spark, sf_dir):
     return scoring.masked_scores(rows, "vec_id").select("vec_id", "prediction", F.round("score", 6).alias("score"), "positions")
 
 
-@query(f"""WITH {E}, p AS (SELECT vec_id, list_transform(x, lambda z: (floor(abs(z) * 200)::INT % 256)) AS b FROM e) SELECT vec_id, round((list_avg(b) / 255 - 0.485) / 0.229, 6) AS red, round((list_avg(b) / 255 - 0.456) / 0.224, 6) AS green, round((list_max(b) / 255 - 0.406) / 0.225, 6) AS top_blue FROM p""")
+def _cubic(size: int, out: int) -> list[list[int]]:
+    """The fixed-point weights of a bicubic resize, pixel by pixel."""
+    rows, scale = [], size / out
+    for i in range(out):
+        centre, reach = (i + 0.5) * scale, 2 * max(scale, 1)
+        lo, hi = max(0, int(centre - reach + 0.5)), min(size, int(centre + reach + 0.5))
+        w = []
+        for j in range(size):
+            d = abs((j - centre + 0.5) / max(scale, 1))
+            k = (1.5 * d - 2.5) * d * d + 1 if d < 1 else ((-0.5 * d + 2.5) * d - 4) * d + 2 if d < 2 else 0.0
+            w.append(k if lo <= j < hi else 0.0)
+        rows.append([int(x / sum(w) * 2**22 + (0.5 if x >= 0 else -0.5)) for x in w])
+    return rows
+
+
+_dots = lambda weights, pick: f"list_transform({weights}, lambda w: list_transform(range(8), lambda k: greatest(0, least(255, (list_sum(list_transform(range(8), lambda j: w[j + 1] * {pick})) + 2097152) >> 22))))"
+
+
+@query(f"""WITH {E}, p AS (SELECT vec_id, list_transform(x, lambda z: (floor(abs(z) * 200)::BIGINT % 256)) AS b FROM e),
+h AS (SELECT vec_id, {_dots(_cubic(8, 3), 'b[(k * 8 + j + 1)::INT]')} AS h FROM p),
+t AS (SELECT vec_id, flatten(list_transform({_cubic(8, 3)}, lambda w: list_transform(h, lambda col: greatest(0, least(255, (list_sum(list_transform(range(8), lambda j: w[j + 1] * col[j + 1])) + 2097152) >> 22))))) AS b FROM h)
+SELECT vec_id, round((list_avg(b) / 255 - 0.485) / 0.229, 6) AS red, round((b[2] / 255 - 0.456) / 0.224, 6) AS green, round((list_max(b) / 255 - 0.406) / 0.225, 6) AS top_blue FROM t""")
 def image_tensor(spark, sf_dir):
-    """An embedding as a grey 8 x 8 image, resized to its own size (which changes nothing) and normalised."""
+    """An embedding as a grey 8 x 8 image, resized to 3 x 3 and normalised."""
     grey = F.transform(v.doubles(F.col("embedding")), lambda z: (F.floor(F.abs(z) * 200) % 256).cast("int"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.flatten(F.transform(grey, lambda b: F.array(b, b, b))).alias("p"))
-    same = rows.select("vec_id", scoring.resize(F.col("p"), F.lit(8), F.lit(8), 8).alias("p"))
-    planes = same.select("vec_id", scoring.channels(F.col("p"), 64).alias("c"))
-    mean = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / 64, 6)
-    return planes.select("vec_id", mean(F.get("c", F.lit(0))).alias("red"), mean(F.get("c", F.lit(1))).alias("green"), F.round(F.array_max(F.get("c", F.lit(2))), 6).alias("top_blue"))
+    small = rows.select("vec_id", scoring.resize(F.col("p"), F.lit(8), F.lit(8), 3).alias("p"))
+    planes = small.select("vec_id", scoring.channels(F.col("p"), 9).alias("c"))
+    mean = F.round(F.aggregate(F.get("c", F.lit(0)), F.lit(0.0), lambda s, x: s + x) / 9, 6)
+    return planes.select("vec_id", mean.alias("red"), F.round(F.get(F.get("c", F.lit(1)), F.lit(1)), 6).alias("green"), F.round(F.array_max(F.get("c", F.lit(2))), 6).alias("top_blue"))
 
 
 @query(f"WITH {E}, n AS (SELECT count(*) AS id, arg_min(x, vec_id) AS x FROM e) SELECT vec_id, round(list_sum(x), 6) AS total FROM e UNION ALL SELECT id, round(list_sum(x), 6) FROM n")
