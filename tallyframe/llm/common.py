@@ -74,6 +74,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parents[1]
     out = Path(tempfile.mkdtemp(prefix="tallyframe-"), "tallyframe_package.zip")
+    atexit.register(shutil.rmtree, out.parent, ignore_errors=True)
     with zipfile.ZipFile(out, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, str(Path(root.name) / f.relative_to(root)))
@@ -83,7 +84,8 @@ def ship_package(spark: SparkSession) -> None:
 
 def prepare(spark: SparkSession) -> None:
     """For Python stages: the package on every executor, and Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES
-    bytes, so that a worker's memory has a bound."""
+    bytes, so that a worker's memory has a bound. The settings stay with the session: plans are lazy, and read them when
+    they run."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
