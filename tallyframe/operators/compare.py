@@ -37,3 +37,8 @@ def winner(methods: list[str], tie: str = "tie") -> Column:
     at_top = F.filter(F.array(*[F.when(is_close(s, top), F.lit(m)) for m, s in zip(methods, scores, strict=True)]), lambda x: x.isNotNull())
     empty = reduce(lambda a, b: a | b, [s.isNull() for s in scores])
     return F.when(empty | (F.size(metrics) > 1), "incomplete").when(F.size(at_top) == 1, F.get(at_top, F.lit(0))).otherwise(tie)
+
+
+def winner_counts(df: DataFrame, winners: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+    """How often each of the winners won: a column for each, by keys or in all."""
+    return df.groupBy(*keys).agg(*[F.count_if(F.col("winner") == w).alias(w) for w in winners])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions.text import safe_name, unsafe_model_name
+
 
 def one_per_key(df: DataFrame, keys: list[str], order: list, name: str = "_rn") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) == 1).drop(name)
@@ -36,6 +38,14 @@ def missing_pairs(expected: DataFrame, found: DataFrame, keys: list[str]) -> Dat
     return expected.join(found.select(*keys).distinct(), keys, "left_anti")
 
 
+def models_of_logs(logs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """logs (run, name) with model: the candidate (run, model) of the run whose safe name the log has, the last of equals by
+    name; else the name turned back, as well as that goes."""
+    stem = F.regexp_replace(F.regexp_replace("name", r"_smoke\.stderr\.txt$", ""), r"_full\.stderr\.txt$", "")
+    own = candidates.groupBy("run", safe_name(F.col("model")).alias("_stem")).agg(F.max("model").alias("_model"))
+    return logs.withColumn("_stem", stem).join(own, ["run", "_stem"], "left").withColumn("model", F.coalesce("_model", unsafe_model_name(F.col("_stem")))).drop("_stem", "_model")
+
+
 def strict_pairs(a: DataFrame, b: DataFrame, key: str, same: dict[str, str] | None = None) -> DataFrame:
     """1:1 join that raises, when it runs, on a repeated key, a key of one side only, or columns of a that differ from those
     of b that `same` names. The other columns must differ in name. One shuffle: both sides are grouped by the key."""

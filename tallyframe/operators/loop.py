@@ -11,10 +11,10 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.text import stripped
+from tallyframe.functions.text import filled, stripped
 from tallyframe.operators.ranking import annotate_comparability, with_outcome
 
 
@@ -79,6 +79,62 @@ def call_provider(provider: Callable[[dict], dict], request: dict, retries: int
     raise RuntimeError(f"no valid answer in {retries + 1} attempts; last: {error}")
 
 
+def retrieve_with_retries(provider: Callable[[dict], dict], request: dict, seen: set[str], requested: int, retries: int = 2) -> tuple[dict | None, str]:
+    """(hand-over, reason): new candidates (model, ...) of a provider, asked again while they are too few, and told what was
+    accepted and why others were not. Models count by their folded names; ranks are given anew. What was collected when
+    attempts run out is enough, if it is something; else the provider's last error is raised, or the reason says whether it
+    had only known candidates."""
+    known, accepted, rejected, template, duplicates, error = {x.casefold() for x in seen}, [], [], None, 0, None
+    for attempt in range(1, retries + 2):
+        own = request if attempt == 1 else {**request, "seen_models": sorted({*request.get("seen_models", []), *(c["model"].casefold() for c in accepted)}), "retrieval_retry": {"attempt": attempt, "previous_rejections": list(rejected)}}
+        try:
+            answer = call_provider(provider, own, 0)
+        except RuntimeError as e:
+            error = e
+            rejected.append({"model": "", "reason": "provider_error", "detail": str(e)})
+            continue
+        template, error = answer, None
+        for c in answer["candidates"]:
+            name = str(c["model"]).casefold()
+            if name in known:
+                duplicates += 1
+                continue
+            known.add(name)
+            accepted.append(c)
+        rejected += answer.get("retrieval_rejections") or []
+        if len(accepted) >= requested:
+            break
+        rejected.append({"model": "", "reason": "insufficient_unique_candidates", "detail": f"Collected {len(accepted)} of {requested} requested candidates."})
+    if not accepted:
+        if error is not None:
+            raise error
+        return None, "no_new_candidates" if duplicates else "no_valid_candidates"
+    ranked = [{**c, "rank": i} for i, c in enumerate(accepted[:requested], 1)]
+    return {**template, "provider_input_checksum": checksum(request), "provider_attempt_count": attempt, "candidates": ranked, "retrieval_rejections": rejected}, "provider"
+
+
+def feedback(results: DataFrame) -> DataFrame:
+    """results (dataset, round, model, ordinal, and what annotate_comparability() reads): for each round of a dataset its best
+    comparable model (the first of equals) and score, the models to compare with, those to leave out, and observations, in
+    the order of the results. Lists hold distinct models."""
+    rows = annotate_comparability(with_outcome(results))
+    good = (F.col("outcome") == "success") & F.coalesce("comparable", F.lit(True))
+    out = F.coalesce(F.col("outcome") != "success", F.lit(True)) & filled(F.col("model"))
+    note = F.when(F.col("outcome") == "non_comparable", F.concat(F.lit("Exclude "), F.coalesce("model", F.lit("None")), F.lit(": "), F.col("non_comparable_reason"), F.lit(".")))
+    best = rows.groupBy("dataset", "round").agg(F.max_by(F.struct("model", "score"), F.when(good, F.struct("score", -F.col("ordinal")))).alias("_b"))
+
+    def listed(value: Column, name: str) -> DataFrame:
+        first = rows.select("dataset", "round", "ordinal", value.alias("v")).where("v is not null").groupBy("dataset", "round", "v").agg(F.min("ordinal").alias("at"))
+        return first.groupBy("dataset", "round").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(name))
+
+    joined = best
+    for value, name in ((F.when(good, F.col("model")), "baseline_models"), (F.when(out, F.col("model")), "candidate_exclusions"), (note, "_notes")):
+        joined = joined.join(listed(value, name), ["dataset", "round"], "left")
+    text = F.concat(F.lit("Best comparable model in this round was "), F.col("_b.model"), F.lit(" with score "), F.format_string("%.4f", "_b.score"), F.lit("."))
+    own = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    return joined.select("dataset", "round", F.col("_b.model").alias("best_model"), F.col("_b.score").alias("best_score"), own("baseline_models").alias("baseline_models"), own("candidate_exclusions").alias("candidate_exclusions"), F.concat(F.when(F.col("_b.model").isNotNull(), F.array(text)).otherwise(F.array().cast("array<string>")), own("_notes")).alias("observations"))
+
+
 #: Why a loop ends.
 STOP_REASONS = ("no_candidates", "duplicate_candidates", "all_candidates_failed", "target_reached", "no_improvement", "reviewed_stop", "static_rounds_finished", "max_rounds_reached")
 

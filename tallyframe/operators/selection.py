@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.contract import measured_success
+from tallyframe.functions.contract import measured_success, result_outcome
 from tallyframe.functions.text import filled, has_gold, normalize_label_text, stripped
 from tallyframe.operators.numbering import numbered
 
@@ -82,6 +82,37 @@ def failure_rows(results: DataFrame) -> DataFrame:
     return results.where(bad).select("dataset", "model", F.lit("result_audit").alias("stage"), "status")
 
 
+def first_filled(df: DataFrame, *columns: str) -> Column:
+    """The first of the columns that is there and has a text; null without one. Tables of two naming schemes are read so."""
+    own = [F.when(filled(F.col(c)), F.col(c).cast("string")) for c in columns if c in df.columns]
+    return F.coalesce(*own) if own else F.lit(None).cast("string")
+
+
+def pair_keys(df: DataFrame) -> DataFrame:
+    """df with dataset and model, whichever of two naming schemes it has them under."""
+    return df.withColumns({"dataset": first_filled(df, "query_dataset", "dataset"), "model": first_filled(df, "model_name", "model")})
+
+
+def failed_models(df: DataFrame) -> DataFrame:
+    """(dataset, models): the models of failed rows, distinct, by their first ordinal. A row that has a status is judged by it,
+    its score and its labelled rows (the columns of an evaluation come second, but for the labelled rows); one without, by
+    its outcome."""
+    status, score, labelled = first_filled(df, "status", "eval_status"), first_filled(df, "score", "eval_score"), first_filled(df, "eval_labeled_total", "labeled_total")
+    failed = F.when(status.isNotNull(), result_outcome(status, score, labelled) == "failure").otherwise(F.lower(first_filled(df, "outcome")) == "failure")
+    rows = pair_keys(df).where(failed).where("dataset is not null and model is not null")
+    first = rows.groupBy("dataset", "model").agg(F.min("ordinal").alias("at"))
+    return first.groupBy("dataset").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "model"))), lambda x: x["model"]).alias("models"))
+
+
+def unsupported_rows(plans: DataFrame) -> DataFrame:
+    """Summaries of plans (dataset, model, split, task, protocol, metric, notes array<string>) that can't be run: the note that says so
+    (else the first one) as the reason, and counts of 0."""
+    marked = F.get(F.filter("notes", lambda x: F.startswith(x, F.lit("Unsupported evaluation:"))), F.lit(0))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("double")
+    rows = plans.where("protocol = 'unsupported'")
+    return rows.select("model", "dataset", "split", "task", F.col("protocol").alias("evaluation_protocol"), "metric", zero.alias("total"), zero.alias("labeled_total"), zero.alias("correct"), none.alias("score"), none.alias("accuracy"), F.coalesce(marked, F.get("notes", F.lit(0))).alias("unsupported_reason"))
+
+
 def missing_rows(expected: DataFrame, results: DataFrame) -> DataFrame:
     """Expected pairs without a result, as failures."""
     gone = expected.select("dataset", "model").distinct().join(results.select("dataset", "model").distinct(), ["dataset", "model"], "left_anti")

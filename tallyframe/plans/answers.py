@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from tallyframe.functions import text
 from tallyframe.functions import vectors as v
 from tallyframe.operators import aggregates as agg
-from tallyframe.operators import contracts, dialogue, joins, loop, ranking
+from tallyframe.operators import compare, contracts, dialogue, joins, loop, ranking, selection
 from tallyframe.operators.contracts import SUMMARY_METRICS
 from tallyframe.operators.numbering import numbered
 from tallyframe.plans.fixtures import fixture, table, with_fixtures
+from tallyframe.plans.runs import C as RUNS_C
 from tallyframe.plans.runs import SQL as RUNS_SQL
 from tallyframe.sources import readers, writers
 from tallyframe.sources.scratch import scratch
@@ -164,3 +165,55 @@ def dataset_report(spark, sf_dir):
     last = rows.groupBy("dataset", "model").agg(F.max_by(F.struct("ordinal", F.col("condition").alias("conditions"), "status", F.col("evaluation_protocol").alias("protocol"), "metric", "score", F.col("labeled_total").alias("eval_labeled_total")), "ordinal").alias("r")).select("dataset", "model", "r.*")
     pairs = last.withColumns({"task_index": F.when(F.expr("ordinal % 3 <> 0"), F.col("ordinal")), "status": F.when(F.expr("ordinal % 4 = 0"), "missing_task_result").otherwise(F.col("status"))})
     return agg.dataset_report(pairs, _WIDE)
+
+
+@query(RUNS_C + """, b AS (SELECT dataset, "round", arg_max(model, struct_pack(s := score, o := -ordinal)) AS best_model, max(score) AS best_score FROM c WHERE outcome = 'success' AND comparable GROUP BY 1, 2),
+l AS (SELECT dataset, "round", string_agg(model, '|' ORDER BY o) AS baseline FROM (SELECT dataset, "round", model, min(ordinal) AS o FROM c WHERE outcome = 'success' AND comparable GROUP BY 1, 2, 3) GROUP BY 1, 2),
+x AS (SELECT dataset, "round", string_agg(model, '|' ORDER BY o) AS excluded FROM (SELECT dataset, "round", model, min(ordinal) AS o FROM c WHERE NOT (outcome = 'success' AND comparable) GROUP BY 1, 2, 3) GROUP BY 1, 2), r AS (SELECT DISTINCT dataset, "round" FROM c)
+SELECT r.dataset, r.round, best_model, best_score, coalesce(baseline, '') AS baseline, coalesce(excluded, '') AS excluded, CASE WHEN best_model IS NULL THEN '' ELSE 'Best comparable model in this round was ' || best_model || ' with score ' || printf('%.4f', best_score) || '.' END AS first_note
+FROM r LEFT JOIN b ON b.dataset = r.dataset AND b.round = r.round LEFT JOIN l ON l.dataset = r.dataset AND l.round = r.round LEFT JOIN x ON x.dataset = r.dataset AND x.round = r.round""")
+def aligned_feedback(spark, sf_dir):
+    f = loop.feedback(fixture(spark, sf_dir, "results"))
+    first = F.coalesce(F.get("observations", F.lit(0)), F.lit(""))
+    return f.select("dataset", "round", "best_model", "best_score", F.array_join("baseline_models", "|").alias("baseline"), F.array_join("candidate_exclusions", "|").alias("excluded"), F.when(F.startswith(first, F.lit("Best")), first).otherwise("").alias("first_note"))
+
+
+@query(with_fixtures("results") + """, f AS (SELECT dataset, model, min(ordinal) AS o FROM results WHERE CASE WHEN ordinal % 5 = 0 THEN ordinal % 2 = 0 ELSE NOT (status = 'planned' OR status = 'ok' AND score IS NOT NULL AND labeled_total > 0) END GROUP BY 1, 2) SELECT dataset, string_agg(model, '|' ORDER BY o) AS models FROM f GROUP BY 1""")
+def failed_models(spark, sf_dir):
+    """Rows of two naming schemes; every fifth has an outcome instead of a status."""
+    r = fixture(spark, sf_dir, "results")
+    rows = r.select("ordinal", F.when(F.expr("ordinal % 2 = 0"), F.col("dataset")).alias("query_dataset"), F.when(F.expr("ordinal % 2 = 1"), F.col("dataset")).alias("dataset"), F.when(F.expr("ordinal % 3 = 0"), F.col("model")).otherwise("").alias("model_name"), "model",
+        F.when(F.expr("ordinal % 5 <> 0"), F.col("status")).alias("eval_status"), "score", F.col("labeled_total").alias("eval_labeled_total"), F.when(F.expr("ordinal % 2 = 0"), "Failure").otherwise("success").alias("outcome"))
+    return selection.failed_models(rows).select("dataset", F.array_join("models", "|").alias("models"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'org' || p_partkey || '/a_b' ELSE 'x' || p_partkey || '/y_z' END AS model FROM part""")
+def log_models(spark, sf_dir):
+    """Logs of a run; a third of the models are among its candidates, the others are read off the names."""
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    known = F.expr("p_partkey % 3 = 0")
+    logs = p.select("p_partkey", (F.col("p_partkey") % 7).alias("run"), F.concat(F.when(known, F.concat(F.lit("org"), key, F.lit("_a_b"))).otherwise(F.concat(F.lit("x"), key, F.lit("_y_z"))), F.when(F.expr("p_partkey % 2 = 0"), "_smoke.stderr.txt").otherwise("_full.stderr.txt")).alias("name"))
+    return joins.models_of_logs(logs, p.where(known).select((F.col("p_partkey") % 7).alias("run"), F.concat(F.lit("org"), key, F.lit("/a_b")).alias("model"))).select("p_partkey", "model")
+
+
+@query("SELECT DISTINCT (event_id % 23)::INT AS task_index FROM events WHERE event_id % 23 % 4 = 1")
+def out_of_memory_tasks(spark, sf_dir):
+    root = scratch(spark, "logs")
+    e = table(spark, sf_dir, "events").withColumn("task", F.col("event_id") % 23)
+    line = F.when(F.expr("task % 4 = 1 and event_id % 3 = 0"), "x CUDA out of memory y").otherwise(F.col("event_type"))
+    e.select("task", F.lit("m").alias("model"), line.alias("value")).write.partitionBy("task", "model").text(root)
+    return readers.tasks_with_line(spark, root, "part-*.txt")
+
+
+@query("""SELECT event_id, event_type AS dataset, 0::BIGINT AS total, CASE WHEN event_id % 2 = 0 THEN 'Unsupported evaluation: ' || event_type ELSE 'first note' END AS unsupported_reason FROM events WHERE event_id % 3 = 0""")
+def unsupported_rows(spark, sf_dir):
+    notes = F.when(F.expr("event_id % 2 = 0"), F.array(F.lit("first note"), F.concat(F.lit("Unsupported evaluation: "), F.col("event_type")), F.lit("Unsupported evaluation: later"))).otherwise(F.array(F.lit("first note")))
+    none = F.lit("")
+    plans = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("model"), F.col("event_type").alias("dataset"), none.alias("split"), none.alias("task"), F.when(F.expr("event_id % 3 = 0"), "unsupported").otherwise("x").alias("protocol"), none.alias("metric"), notes.alias("notes"))
+    return selection.unsupported_rows(plans).select(F.col("model").cast("long").alias("event_id"), "dataset", "total", "unsupported_reason")
+
+
+@query("SELECT event_type AS dataset, count_if(event_id % 4 = 0) AS ours, count_if(event_id % 4 = 1) AS tie, 0::BIGINT AS incomplete FROM events GROUP BY 1")
+def winner_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("dataset"), F.when(F.expr("event_id % 4 = 0"), "ours").when(F.expr("event_id % 4 = 1"), "tie").otherwise("theirs").alias("winner"))
+    return compare.winner_counts(rows, ("ours", "tie", "incomplete"), ("dataset",))

@@ -208,3 +208,10 @@ def load_dataset(spark: SparkSession, root: str, dataset: str, subset: str = "",
             raise second from first
     df = (flatten or {}).get(dataset, lambda x: x)(df)
     return hashed_sample(df, key, limit, seed) if limit else df
+
+
+def tasks_with_line(spark: SparkSession, root: str, files: str = "*smoke.stderr.txt", text: str = "CUDA out of memory") -> DataFrame:
+    """(task_index): tasks below root that have a log of this name with the text in a line, at any depth of their folders."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).text(root)
+    found = lines.where(F.contains("value", F.lit(text))).select(F.regexp_extract(F.col("_metadata.file_path"), r"/task[_=](\d+)/", 1).try_cast("int").alias("task_index"))
+    return found.where("task_index is not null").distinct()
