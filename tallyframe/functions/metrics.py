@@ -23,10 +23,9 @@ def _f1(overlap: Column, n: Column, m: Column) -> Column:
 
 def token_f1(p: Column, r: Column) -> Column:
     """Of two token arrays: multiset overlap. Both are sorted together, each token with its side; a run of equal tokens adds
-    the smaller of its two counts, so that the work is that of a sort. Columns, not expressions, are expected: they are used
-    several times."""
+    the smaller of its two counts, so that the work is that of a sort. Arrays and overlap are bound, as each is named several
+    times. For answers; operators.text_metrics takes whole texts another way."""
     side = lambda arr, x: F.transform(arr, lambda t: F.struct(t.alias("t"), F.lit(x).alias("s")))
-    both = F.array_sort(F.concat(side(p, 0), side(r, 1)))
     start = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(0).alias("found"))
 
     def step(a: Column, x: Column) -> Column:
@@ -36,8 +35,11 @@ def token_f1(p: Column, r: Column) -> Column:
         hit = (x["s"] == 1) & (n > 0)
         return F.struct(x["t"].alias("t"), (n + F.when(x["s"] == 0, 1).when(hit, -1).otherwise(0)).alias("n"), (a["found"] + hit.cast("int")).alias("found"))
 
-    overlap = F.aggregate(both, start, step, lambda a: a["found"])
-    return _f1(overlap, F.size(p), F.size(r))
+    def counts(x: Column) -> Column:
+        both = F.sort_array(F.concat(side(x["p"], 0), side(x["r"], 1)))  # array_sort would compare by an interpreted lambda
+        return F.struct(F.aggregate(both, start, step, lambda a: a["found"]).alias("o"), F.size(x["p"]).alias("n"), F.size(x["r"]).alias("m"))
+
+    return bound(bound(F.struct(p.alias("p"), r.alias("r")), counts), lambda c: _f1(c["o"], c["n"], c["m"]))
 
 
 def lcs_length(p: Column, r: Column) -> Column:
