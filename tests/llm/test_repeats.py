@@ -68,6 +68,40 @@ def test_pieces_depend_on_windows_alone(length):
             assert name.setdefault(raw[a + i : a + i + length].tobytes(), (h, d - i)) == (h, d - i)
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_members_are_trimmed_to_what_can_repeat(seed):
+    """No window that two members share is lost, and of a pair only what both have is indexed."""
+    rng = random.Random(seed)
+    alphabet, length, anchor = rng.choice([b"ab", b"\x00a", b"abcd"]), 20, b"##"
+    some = lambda n: bytes(rng.choice(alphabet) for _ in range(n))
+    rows = []
+    for g in range(12):
+        left, right = some(18), some(18)
+        for k in range(rng.randint(1, 6)):
+            a, z = rng.randint(0, 18), rng.randint(0, 18)
+            side = some(rng.randint(0, 18 - a)) + left[18 - a :], right[:z] + some(rng.randint(0, 18 - z))
+            rows.append((g, g, k, 100 * k, 1, len(side[0]), anchor.join(side)))
+    kept = rp.trimmed(rows, length)
+    count = Counter((g, i - off, c[i : i + length]) for g, *_, off, c in rows for i in range(len(c) - length + 1))
+    left = {(k1, k2, at + i): c[i : i + length] for _, k1, k2, at, _, c in kept for i in range(len(c) - length + 1)}
+    for g, k1, k2, at, _, off, c in rows:
+        for i in range(len(c) - length + 1):
+            if count[g, i - off, c[i : i + length]] > 1:
+                assert left[k1, k2, at + i] == c[i : i + length]
+    members = Counter(r[0] for r in rows)
+    for g in (g for g, n in members.items() if n < 3):
+        parts = [c.rstrip(b"\0") for h, *_, c in kept if h == g]
+        assert len(set(parts)) < 2 and len(parts) in (0, members[g]) and (members[g] > 1 or not parts)
+
+
+def test_index_beyond_keys_of_three_ranks():
+    """Two ranks are a key where three do not fit; the result is that of three."""
+    rng = random.Random(3)
+    half = bytes(rng.choice(b"ab") for _ in range(1 << 20))
+    hit = rp.RunLengthIndex([half, half[5000:6000] + b"c", half[::-1]]).repeated(400)
+    assert list(np.flatnonzero(hit)) == [*range(5000, 5601), *range(len(half) + 1, len(half) + 602)]
+
+
 def corpus():
     rng = random.Random(5)
     words = [f"w{rng.randint(0, 999)}" for _ in range(300)]
