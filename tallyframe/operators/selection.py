@@ -67,6 +67,8 @@ def convert_candidates(records: DataFrame, excluded: DataFrame, limit: int) -> D
     # The record that fills the limit is the last of the first `limit` accepted ones; one row.
     full = r.where("reason is null").select("_place").orderBy("_place").limit(limit).agg(F.when(F.count(F.lit(1)) == limit, F.max("_place")).alias("_last"))
     looked = r.join(F.broadcast(full), F.col("_last").isNull() | (F.col("_place") <= F.col("_last")))
+    if limit < 1:  # full before any record
+        looked = looked.where(F.lit(False))
     return looked.select("ordinal", "model", "rank", "score", "reason")
 
 
